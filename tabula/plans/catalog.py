@@ -572,3 +572,277 @@ def q_oof_predictions(spark, sf):
     f = folds.kfold_shuffled(fx.train(spark, sf).select("id", "x_price"), K_FOLDS, "id")
     out = oof_mean_threshold(f, "x_price")
     return out.select("id", "fold", F.round("threshold", 6).alias("threshold"), "prediction")
+
+
+# ------------------------------------------------------------------ sources and sinks
+from tabula.plans import reports as rep  # noqa: E402
+from tabula.plans import search  # noqa: E402
+from tabula.session import scratch_path  # noqa: E402
+from tabula.sources import csv as csvio  # noqa: E402
+from tabula.sources import store  # noqa: E402
+
+TRAIN_SCHEMA = "id bigint, x_price double, x_month double, c_priority string, c_status string, class string"
+_RES_COLS = "name, score, params, model, features, n_trials, metadata, study"
+
+
+@query("scan_csv", fx.oracle_ctes("train") + "select * from train")
+def q_scan_csv(spark, sf):
+    path = csvio.write_csv(fx.train(spark, sf), scratch_path(spark, "train_csv"))
+    return csvio.read_csv_table(spark, path, TRAIN_SCHEMA)
+
+
+def _stored_results(spark, sf) -> str:
+    root = scratch_path(spark, "results")
+    res = fx.results(spark, sf)
+    store.save_results(res.where(F.col("name").endswith("_top_0")), root, "run_a")
+    store.save_results(res.where(~F.col("name").endswith("_top_0")), root, "run_b")
+    return root
+
+
+@query("list_results", fx.oracle_ctes("results") + "select distinct name from results")
+def q_list_results(spark, sf):
+    return store.list_results(spark, _stored_results(spark, sf))
+
+
+@query("save_results", fx.oracle_ctes("results") + f"select {_RES_COLS} from results")
+def q_save_results(spark, sf):
+    root = scratch_path(spark, "results")
+    store.save_results(fx.results(spark, sf), root, "run_a")
+    return spark.read.parquet(root).select(*[c.strip() for c in _RES_COLS.split(",")])
+
+
+@query(
+    "read_run_results",
+    fx.oracle_ctes("results") + f"select {_RES_COLS}, 'run_a' as run from results where name like '%\\_top\\_0' escape '\\'",
+)
+def q_read_run_results(spark, sf):
+    return store.load_run_results(spark, _stored_results(spark, sf), "run_a").select(
+        *[c.strip() for c in _RES_COLS.split(",")], "run"
+    )
+
+
+_SELECTION = ["p1_top_1", "p2_top_0", "p4_top_2"]
+
+
+@query(
+    "read_selected_results",
+    fx.oracle_ctes("results") + f"select {_RES_COLS} from results where name in ('p1_top_1', 'p2_top_0', 'p4_top_2')",
+)
+def q_read_selected_results(spark, sf):
+    res = store.read_selected_results(spark, _stored_results(spark, sf), _SELECTION)
+    return res.select(*[c.strip() for c in _RES_COLS.split(",")])
+
+
+@query("write_results_csv", fx.oracle_ctes("results") + "select name, score, params, model, features, n_trials, metadata from results")
+def q_write_results_csv(spark, sf):
+    path = csvio.write_csv(rep.results_report(fx.results(spark, sf)), scratch_path(spark, "results_csv"))
+    return csvio.read_csv_table(
+        spark, path, "name string, score double, params string, model string, features string, n_trials int, metadata string"
+    )
+
+
+@query(
+    "write_scores_csv",
+    _subset_oracle_body() + "select combination, round(avg(score), 12) as score from ss group by combination",
+)
+def q_write_scores_csv(spark, sf):
+    path = csvio.write_csv(q_mean_score_by_combination(spark, sf), scratch_path(spark, "scores_csv"))
+    return csvio.read_csv_table(spark, path, "combination string, score double")
+
+
+@query(
+    "write_predictions_csv",
+    fx.oracle_ctes("pred")
+    + """select id, case when (case when p1=1 then 0.25 else 0 end + case when p2=1 then 0.25 else 0 end
+                              + case when p3=1 then 0.25 else 0 end + case when p4=1 then 0.25 else 0 end) > 0.5
+                         then 'p' else 'e' end as class from pred""",
+)
+def q_write_predictions_csv(spark, sf):
+    v = vote.vote_hard(fx.pred(spark, sf), {m: 0.25 for m in fx.RULE_MODELS}, out_col="class")
+    path = csvio.write_csv(cleaning.unlabel_targets(v), scratch_path(spark, "pred_csv"))
+    return csvio.read_csv_table(spark, path, "id bigint, class string")
+
+
+@query("append_trials", fx.oracle_ctes("trials") + "select study, number, value, state from trials")
+def q_append_trials(spark, sf):
+    ev = spark.sql(fx.TRIALS_COLS_SQL, events=fx.table(spark, sf, "events"))
+    half = ev.groupBy("study").agg(F.expr("percentile_disc(0.5) within group (order by event_id)").alias("__mid"))
+    ev = ev.join(half, "study").withColumnRenamed("event_id", "seq")
+    root = scratch_path(spark, "trials")
+    store.append_trials(spark, root, ev.where(F.col("seq") <= F.col("__mid")).drop("__mid"))
+    return store.append_trials(spark, root, ev.where(F.col("seq") > F.col("__mid")).drop("__mid"))
+
+
+@query(
+    "study_trial_counts",
+    fx.oracle_ctes("trials") + "select study, count(*) as n_trials from trials group by study",
+)
+def q_study_trial_counts(spark, sf):
+    return store.study_trial_counts(fx.trials(spark, sf))
+
+
+# ------------------------------------------------------------------ search state
+def _recursive_trials_oracle(body: str) -> str:
+    return (
+        "with recursive "
+        + fx.oracle_ctes("trials")[len("with ") :]
+        + f""", r(study, number, best, cnt) as (
+            select study, number, value, 0 from trials where number = 0
+            union all
+            select t.study, t.number,
+                   case when r.best is null or (t.value is not null and t.value > r.best * cast({1 + MIN_IMPROVEMENT} as double))
+                        then t.value else r.best end,
+                   case when r.best is null or (t.value is not null and t.value > r.best * cast({1 + MIN_IMPROVEMENT} as double)) then 0
+                        when t.value is not null then r.cnt + 1 else r.cnt end
+            from r join trials t on t.study = r.study and t.number = r.number + 1)
+        """
+        + body
+    )
+
+
+@query(
+    "patience_state",
+    _recursive_trials_oracle(
+        """select r.study, r.best as best_value, cast(r.cnt as bigint) as no_improvement_count
+           from r join (select study, max(number) as mx from trials group by study) m
+             on r.study = m.study and r.number = m.mx"""
+    ),
+)
+def q_patience_state(spark, sf):
+    return search.patience_state(fx.trials(spark, sf), MIN_IMPROVEMENT)
+
+
+@query(
+    "early_stop_point",
+    _recursive_trials_oracle(
+        f""", e(study, number, best, cnt) as (
+            select study, number, value, 0 from trials where number = 0
+            union all
+            select t.study, t.number,
+                   case when e.best is null or (t.value is not null and t.value > e.best * cast({1 + MIN_IMPROVEMENT} as double))
+                        then t.value else e.best end,
+                   case when e.best is null then 0
+                        when t.value is not null and t.value > e.best * cast({1 + MIN_IMPROVEMENT} as double) then 0
+                        else e.cnt + 1 end
+            from e join trials t on t.study = e.study and t.number = e.number + 1)
+        select s.study, cast(min(e.number) as bigint) as stop_number,
+               arg_min(e.best, e.number) as best_value_at_stop, cast(s.n as bigint) as n_trials
+        from (select study, count(*) as n from trials group by study) s
+        left join e on e.study = s.study and e.cnt >= {PATIENCE}
+        group by s.study, s.n"""
+    ),
+)
+def q_early_stop_point(spark, sf):
+    return search.early_stop_point(fx.trials(spark, sf), PATIENCE, MIN_IMPROVEMENT)
+
+
+@query(
+    "top_trials",
+    fx.oracle_ctes("trials")
+    + """select study, number, value, cast(rk as int) as rank, study || '_top_' || cast(rk as string) as name from (
+           select *, row_number() over (partition by study order by value desc, number) - 1 as rk
+           from trials where state = 'COMPLETE' and value is not null) t where rk < 3""",
+)
+def q_top_trials(spark, sf):
+    return search.top_trials(fx.trials(spark, sf), k=3)
+
+
+_SAMPLE_MODELS = tuple(search.DISPATCH_ORDER)
+
+
+def _sample_trials_oracle() -> str:
+    import math
+
+    parts = []
+    for m in _SAMPLE_MODELS:
+        for param, spec in search.SEARCH_SPACES[m].items():
+            u = f"(('0x' || substr(md5(concat_ws('-', '42', study, cast(number as string), '{m}', '{param}')), 1, 8))::bigint / cast(4294967296 as double))"
+            kind = spec[0]
+            if kind == "log":
+                val = f"exp({math.log(spec[1])!r} + {u} * {math.log(spec[2] / spec[1])!r})"
+                ch = "cast(null as string)"
+            elif kind == "float":
+                val = f"(cast({float(spec[1])!r} as double) + {u} * cast({float(spec[2] - spec[1])!r} as double))"
+                ch = "cast(null as string)"
+            elif kind == "int":
+                step = spec[3] if len(spec) > 3 else 1
+                n = (spec[2] - spec[1]) // step + 1
+                val = f"cast({spec[1]} + {step} * floor({u} * {n}) as double)"
+                ch = "cast(null as string)"
+            else:
+                choices = ", ".join("'" + (c if c is not None else "None") + "'" for c in spec[1])
+                val = "cast(null as double)"
+                ch = f"([{choices}])[cast(floor({u} * {len(spec[1])}) as bigint) + 1]"
+            parts.append(
+                f"select study, number, '{m}' as model, '{param}' as param, round({val}, 9) as value, {ch} as choice from trials"
+            )
+    return fx.oracle_ctes("trials") + " union all ".join(parts)
+
+
+@query("sample_trials", _sample_trials_oracle())
+def q_sample_trials(spark, sf):
+    s = search.sample_trials(fx.trials(spark, sf).select("study", "number"), _SAMPLE_MODELS, seed=42)
+    return s.select("study", "number", "model", "param", F.round("value", 9).alias("value"), "choice")
+
+
+# ------------------------------------------------------------------ reports and candidates
+from tabula.operators import candidates as cand  # noqa: E402
+
+
+@query("results_report", fx.oracle_ctes("results") + "select name, score, params, model, features, n_trials, metadata from results")
+def q_results_report(spark, sf):
+    return rep.results_report(fx.results(spark, sf))
+
+
+@query(
+    "params_match",
+    fx.oracle_ctes("results")
+    + """, fs2 as (select combination, fold from fold_scores)
+         select r.name, 'fold' as key, cast(json_extract_string(replace(r.params, '''', '"'), '$.fold') as string) as stored,
+                cast(f.fold as string) as actual,
+                cast(json_extract_string(replace(r.params, '''', '"'), '$.fold') as string) = cast(f.fold as string) as match
+         from results r left join (select combination || '_top_' || cast(row_number() over (partition by combination order by score desc, fold) - 1 as string) as name, fold
+                                   from fold_scores) f on r.name = f.name""",
+)
+def q_params_match(spark, sf):
+    res = fx.results(spark, sf)
+    tr = fx.rule_fold_scores(spark, sf).select(
+        F.col("combination").alias("study"), F.col("fold").cast("long").alias("number"), F.col("score").alias("value"), F.lit("COMPLETE").alias("state")
+    )
+    actual = search.top_trials(tr, k=3).select("name", F.lit("fold").alias("key"), F.col("number").cast("string").alias("value"))
+    return rep.params_match(res, actual)
+
+
+@query(
+    "pending_candidates",
+    fx.oracle_ctes("results")
+    + """, c as (select study || '_' as name from results union select 'p5_' union select 'p9_')
+         select distinct name from c where not exists (
+           select 1 from results r where r.name in (c.name || 'top_0', c.name || 'top_1', c.name || 'top_2'))""",
+)
+def q_pending_candidates(spark, sf):
+    res = fx.results(spark, sf)
+    extra = spark.createDataFrame([("p5_",), ("p9_",)], "name string")
+    cands = res.select(F.concat(F.col("study"), F.lit("_")).alias("name")).unionByName(extra).distinct()
+    # a candidate with one stored top_k is finished; here all rule models are
+    return cand.pending_candidates(cands, res)
+
+
+@query(
+    "feature_set_ablation",
+    fx.oracle_ctes("train")
+    + """, base as (select c_priority, c_status, x_month, class, count(*) as n from train group by c_priority, c_status, x_month, class),
+         cb as (select c_priority, c_status, x_month, class, sum(n) as n,
+                       grouping_id(c_priority, c_status, x_month, class) as gid
+                from base group by cube(c_priority, c_status, x_month, class)),
+         k as (select *, row_number() over (partition by gid, c_priority, c_status, x_month order by n desc, class) as r
+               from cb where gid % 2 = 0)
+         select cast((case when gid & 8 = 0 then 1 else 0 end) + (case when gid & 4 = 0 then 2 else 0 end)
+                     + (case when gid & 2 = 0 then 4 else 0 end) as int) as mask,
+                concat_ws('_', case when gid & 8 = 0 then 'c_priority' end, case when gid & 4 = 0 then 'c_status' end,
+                          case when gid & 2 = 0 then 'x_month' end) as features,
+                count(*) as n_keys, sum(n) / (select cast(count(*) as double) from train) as accuracy
+         from k where r = 1 group by gid""",
+)
+def q_feature_set_ablation(spark, sf):
+    return cand.ablation_accuracy(fx.train(spark, sf), ["c_priority", "c_status", "x_month"], "class")
