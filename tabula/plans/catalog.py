@@ -846,3 +846,163 @@ def q_pending_candidates(spark, sf):
 )
 def q_feature_set_ablation(spark, sf):
     return cand.ablation_accuracy(fx.train(spark, sf), ["c_priority", "c_status", "x_month"], "class")
+
+
+# ------------------------------------------------------------------ preprocessing
+from pyspark.ml.feature import Imputer  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from tabula.operators import preprocess as pp  # noqa: E402
+
+_PP_FEATURES = ["x_price", "x_month", "c_priority", "c_status"]
+_UNSEEN = "case when x_month = 12 then 'Z' else c_status end"
+
+
+def _fit_apply(spark, sf):
+    """Train rows with contiguous folds: fit on folds 1-4, apply to fold 0
+    (fold 0 gets one unseen status value)."""
+    t = folds.kfold_contiguous(fx.train(spark, sf).drop("class"), K_FOLDS, ["id"])
+    fit_rows = t.where(F.col("fold") != 0).drop("fold")
+    apply_rows = t.where(F.col("fold") == 0).drop("fold").withColumn("c_status", F.expr(_UNSEEN))
+    return fit_rows, apply_rows
+
+
+_FA_SQL = (
+    fx.oracle_ctes("train")
+    + f""", tf as (select *, cast(ntile({K_FOLDS}) over (order by id) - 1 as int) as fold from train),
+    fr as (select id, x_price, x_month, coalesce(c_priority, 'dna') as c_priority, c_status from tf where fold <> 0),
+    ar as (select id, x_price, x_month, coalesce(c_priority, 'dna') as c_priority, {_UNSEEN} as c_status from tf where fold = 0),
+    vocab as (select 'c_priority' as col, value, cast(row_number() over (order by value) - 1 as int) as idx
+              from (select distinct c_priority as value from fr) a
+              union all
+              select 'c_status' as col, value, cast(row_number() over (order by value) - 1 as int) as idx
+              from (select distinct c_status as value from fr) b),
+    pm as (select avg(x_price) as mp from fr),
+    fi as (select coalesce(x_price, (select mp from pm)) as xp, x_month from fr),
+    st as (select avg(xp) as m1, stddev_pop(xp) as s1, avg(x_month) as m2, stddev_pop(x_month) as s2 from fi),
+    kp as (select count(*) - 1 as k from vocab where col = 'c_priority'),
+    slots as (
+      select ar.id, 0 as slot, 'x_price' as feature, (coalesce(ar.x_price, (select mp from pm)) - st.m1) / case when st.s1 = 0 then 1 else st.s1 end as value from ar, st
+      union all
+      select ar.id, 1, 'x_month', (ar.x_month - st.m2) / case when st.s2 = 0 then 1 else st.s2 end from ar, st
+      union all
+      select ar.id, 2 + v.idx - 1, 'c_priority_' || v.value, case when ar.c_priority = v.value then 1.0 else 0.0 end
+      from ar, vocab v where v.col = 'c_priority' and v.idx >= 1
+      union all
+      select ar.id, 2 + (select k from kp) + v.idx - 1, 'c_status_' || v.value, case when ar.c_status = v.value then 1.0 else 0.0 end
+      from ar, vocab v where v.col = 'c_status' and v.idx >= 1)
+    """
+)
+
+
+def _fitted_pipeline(spark, sf):
+    fit_rows, apply_rows = _fit_apply(spark, sf)
+    pipe = pp.build_preprocessing(fit_rows.schema, features_in=_PP_FEATURES)
+    model = pipe.fit(fit_rows)
+    names = pp.feature_names(model, fit_rows.schema, _PP_FEATURES)
+    return model.transform(apply_rows), names
+
+
+@query("assemble_features", _FA_SQL + "select id, cast(slot as int) as slot, round(value, 9) as value from slots")
+def q_assemble_features(spark, sf):
+    out, names = _fitted_pipeline(spark, sf)
+    return pp.features_long(out, names, "id").select("id", "slot", F.round("value", 9).alias("value"))
+
+
+@query("pipeline_transform", _FA_SQL + "select id, feature, round(value, 9) as value from slots")
+def q_pipeline_transform(spark, sf):
+    out, names = _fitted_pipeline(spark, sf)
+    wide = pp.dense_named(out, names, keep=["id"])
+    long = metrics.unpivot_predictions(wide, names, keep=["id"], model_col="feature", value_col="value")
+    return long.select("id", "feature", F.round("value", 9).alias("value"))
+
+
+@query(
+    "one_hot_drop_first",
+    _FA_SQL
+    + """select ar.id, v.col as "column", v.value as category from ar join vocab v
+           on (v.col = 'c_priority' and ar.c_priority = v.value) or (v.col = 'c_status' and ar.c_status = v.value)
+         where v.idx >= 1""",
+)
+def q_one_hot_drop_first(spark, sf):
+    fit_rows, apply_rows = _fit_apply(spark, sf)
+    cols = ["c_priority", "c_status"]
+    fill = pp.build_preprocessing(fit_rows.schema, features_in=cols).getStages()[0]
+    fit_s, apply_s = fill.transform(fit_rows), fill.transform(apply_rows)
+    model = pp.DropFirstOneHot(inputCols=[f"{c}__str" for c in cols]).fit(fit_s)
+    labels = pp.one_hot_labels(model)
+    out = model.transform(apply_s)
+    parts = []
+    for c in cols:
+        lab = F.array(*[F.lit(v) for v in labels[f"{c}__str"]])
+        hot = out.select("id", F.posexplode(vector_to_array(F.col(f"{c}__str_ohe"))).alias("slot", "v")).where("v = 1.0")
+        parts.append(hot.select("id", F.lit(c).alias("column"), F.element_at(lab, F.col("slot") + 1).alias("category")))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "category_vocab",
+    _FA_SQL + 'select col as "column", idx, value from vocab',
+)
+def q_category_vocab(spark, sf):
+    fit_rows, _ = _fit_apply(spark, sf)
+    cols = ["c_priority", "c_status"]
+    fill = pp.build_preprocessing(fit_rows.schema, features_in=cols).getStages()[0]
+    model = pp.DropFirstOneHot(inputCols=[f"{c}__str" for c in cols]).fit(fill.transform(fit_rows))
+    indexer = model.stages[0]
+    rows = [(c, i, v) for c, labels in zip(cols, indexer.labelsArray) for i, v in enumerate(labels)]
+    return spark.createDataFrame(rows, "column string, idx int, value string")
+
+
+@query(
+    "pipeline_passthrough",
+    _FA_SQL
+    + """select ar.id, round((coalesce(ar.x_price, (select mp from pm)) - st.m1) / case when st.s1 = 0 then 1 else st.s1 end, 9) as x_price,
+                round((ar.x_month - st.m2) / case when st.s2 = 0 then 1 else st.s2 end, 9) as x_month,
+                ar.c_priority, ar.c_status from ar, st""",
+)
+def q_pipeline_passthrough(spark, sf):
+    fit_rows, apply_rows = _fit_apply(spark, sf)
+    pipe = pp.build_preprocessing(fit_rows.schema, features_in=_PP_FEATURES, allow_strings=True, keep=["id"])
+    out = pipe.fit(fit_rows).transform(apply_rows)
+    return out.select("id", F.round("x_price", 9).alias("x_price"), F.round("x_month", 9).alias("x_month"), "c_priority", "c_status")
+
+
+@query("impute_constant", fx.oracle_ctes("train") + "select id, coalesce(c_priority, 'dna') as c_priority from train")
+def q_impute_constant(spark, sf):
+    t = fx.train(spark, sf).select("id", "c_priority")
+    fill = pp.build_preprocessing(t.schema, features_in=["c_priority"], allow_strings=True, keep=["id"])
+    return fill.fit(t).transform(t)
+
+
+@query(
+    "impute_mean",
+    """with dl as (select d.doc_id, cast(l.quality as double) as quality, cast(l.toxic as double) as toxic
+                   from documents d left join labels l on d.doc_id = l.doc_id)
+       select doc_id, round(coalesce(quality, (select avg(quality) from dl)), 12) as quality,
+              round(coalesce(toxic, (select avg(toxic) from dl)), 12) as toxic from dl""",
+)
+def q_impute_mean(spark, sf):
+    d = fx.table(spark, sf, "documents").select("doc_id")
+    lab = fx.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double"))
+    dl = d.join(lab, "doc_id", "left")
+    imp = Imputer(strategy="mean", inputCols=["quality", "toxic"], outputCols=["quality", "toxic"]).fit(dl)
+    out = imp.transform(dl)
+    return out.select("doc_id", r12(F.col("quality")).alias("quality"), r12(F.col("toxic")).alias("toxic"))
+
+
+@query(
+    "standard_scale",
+    fx.oracle_ctes("train")
+    + """, ti as (select id, coalesce(x_price, (select avg(x_price) from train)) as xp, x_month, cast(1 as double) as const from train),
+         st as (select avg(xp) m1, stddev_pop(xp) s1, avg(x_month) m2, stddev_pop(x_month) s2, avg(const) m3, stddev_pop(const) s3 from ti)
+         select id, round((xp - m1) / case when s1 = 0 then 1 else s1 end, 9) as x_price,
+                round((x_month - m2) / case when s2 = 0 then 1 else s2 end, 9) as x_month,
+                round((const - m3) / case when s3 = 0 then 1 else s3 end, 9) as const from ti, st""",
+)
+def q_standard_scale(spark, sf):
+    t = fx.train(spark, sf).select("id", "x_price", "x_month", F.lit(1.0).alias("const"))
+    cols = ["x_price", "x_month", "const"]
+    t = Imputer(strategy="mean", inputCols=cols, outputCols=cols).fit(t).transform(t)
+    sc = pp.PopulationScaler(inputCols=cols, outputCols=cols).fit(t)
+    return sc.transform(t).select("id", *[F.round(c, 9).alias(c) for c in cols])
