@@ -148,12 +148,16 @@ def build_preprocessing(
     exclude: Sequence[str] = (),
     features_col: str = "features",
     keep: Sequence[str] = (),
+    model_name: str | None = None,
 ) -> Pipeline:
-    """The preprocessing (and optional model) pipeline for a schema."""
+    """The preprocessing (and optional model) pipeline for a schema.
+    ``model_name`` names the learner family for the string rule; every Spark
+    ML classifier counts as numeric-only."""
     if enforce_input_dataframe and features_in is not None:
         raise ValueError("Cannot enforce input dataframe and use features_in at the same time")
     num, cat = split_columns(schema, features_in, exclude)
-    model_name = type(model).__name__ if model is not None else None
+    if model is not None and model_name is None:
+        model_name = "ridge"  # Spark ML classifiers take numeric vectors only
     keep_strings = strings_allowed(model_name, allow_strings)
     stages: list = []
     if num:

@@ -1006,3 +1006,112 @@ def q_standard_scale(spark, sf):
     t = Imputer(strategy="mean", inputCols=cols, outputCols=cols).fit(t).transform(t)
     sc = pp.PopulationScaler(inputCols=cols, outputCols=cols).fit(t)
     return sc.transform(t).select("id", *[F.round(c, 9).alias(c) for c in cols])
+
+
+# ------------------------------------------------------------------ learners
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+
+from tabula.operators import learners as lrn  # noqa: E402
+
+RIDGE_ALPHA = 10.0
+KNN_K = 5
+
+
+@query(
+    "ridge_classify",
+    fx.oracle_ctes("train")
+    + f""", ti as (select id, coalesce(x_price, (select avg(x_price) from train)) as xp,
+                         case when class = 'p' then cast(1 as double) else cast(-1 as double) end as ys from train),
+         st as (select avg(xp) as m, stddev_pop(xp) as s from ti),
+         xs as (select id, (xp - m) / s as x, ys from ti, st),
+         co as (select count(*) as n, covar_pop(x, ys) as c, var_pop(x) as v, avg(x) as mx, avg(ys) as my from xs),
+         wb as (select n * c / (n * v + {RIDGE_ALPHA}) as w, my - (n * c / (n * v + {RIDGE_ALPHA})) * mx as b from co)
+         select id, case when w * x + b > 0 then 1 else 0 end as prediction from xs, wb""",
+)
+def q_ridge_classify(spark, sf):
+    t = cleaning.label_targets(fx.train(spark, sf).select("id", "x_price", "class"))
+    t = Imputer(strategy="mean", inputCols=["x_price"], outputCols=["x_price"]).fit(t).transform(t)
+    t = pp.PopulationScaler(inputCols=["x_price"], outputCols=["x_price"]).fit(t).transform(t)
+    t = VectorAssembler(inputCols=["x_price"], outputCol="features").transform(t)
+    model = lrn.RidgeClassifier(alpha=RIDGE_ALPHA, labelCol="class").fit(t)
+    return model.transform(t).select("id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query(
+    "samme_round",
+    fx.oracle_ctes("pred")
+    + """, m as (select id, case when p1 <> y then cast(1 as double) else cast(0 as double) end as miss,
+                        cast(1 as double) / count(*) over () as w from pred),
+         e as (select sum(w * miss) / sum(w) as err from m),
+         a as (select err, ln((1 - err) / err) as alpha from e),
+         nw as (select id, w * exp(alpha * miss) as w2, err, alpha from m, a)
+         select id, round(w2 / (select sum(w2) from nw), 12) as weight, round(err, 12) as err, round(alpha, 12) as alpha from nw""",
+)
+def q_samme_round(spark, sf):
+    p = fx.pred(spark, sf)
+    n = p.select(F.count(F.lit(1))).scalar()
+    m = p.select("id", (F.col("p1") != F.col("y")).cast("double").alias("miss"), (F.lit(1.0) / n).alias("w"))
+    out = lrn.samme_reweight(m, "miss", "w", learning_rate=1.0)
+    return out.select("id", r12(F.col("w")).alias("weight"), r12(F.col("err")).alias("err"), r12(F.col("alpha")).alias("alpha"))
+
+
+@query(
+    "knn_cosine",
+    f"""with q as (select vec_id, cast(embedding as double[]) as e from embeddings where vec_id % 5 = 0),
+        r as (select vec_id, cast(embedding as double[]) as e, label from embeddings where vec_id % 5 <> 0),
+        s as (select q.vec_id as qid, r.vec_id as rid, r.label, list_cosine_similarity(q.e, r.e) as sim from q, r),
+        t as (select *, row_number() over (partition by qid order by sim desc, rid) as rk from s),
+        v as (select qid, label, count(*) as c from t where rk <= {KNN_K} group by qid, label),
+        w as (select qid, label, row_number() over (partition by qid order by c desc, label) as r2 from v)
+        select qid, label as prediction from w where r2 = 1""",
+)
+def q_knn_cosine(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    is_query = (F.col("vec_id") % 5) == 0
+    q = e.where(is_query).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    r = e.where(~is_query).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return lrn.knn_vote(lrn.knn_cosine(q, r, KNN_K))
+
+
+def _learner_fold0(spark, sf, model_name: str, params: dict) -> DataFrame:
+    """Preprocessing + learner fitted on folds 1-4 of ``train``, scored on fold 0."""
+    t = cleaning.label_targets(fx.train(spark, sf)).withColumn("class", F.col("class").cast("double"))
+    t = folds.kfold_contiguous(t, K_FOLDS, ["id"])
+    fit_rows, apply_rows = t.where(F.col("fold") != 0), t.where(F.col("fold") == 0)
+    est = lrn.make_learner(model_name, params, label_col="class")
+    pipe = pp.build_preprocessing(fit_rows.schema, features_in=_PP_FEATURES, model=est, model_name=model_name)
+    out = pipe.fit(fit_rows).transform(apply_rows)
+    return out.select("id", F.col("prediction").cast("int").alias("prediction"), F.col("class").cast("int").alias("label"))
+
+
+@query("gbt_classify")
+def q_gbt_classify(spark, sf):
+    return _learner_fold0(spark, sf, "XGBClassifier", {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.2})
+
+
+@query("random_forest")
+def q_random_forest(spark, sf):
+    return _learner_fold0(spark, sf, "RandomForestClassifier", {"n_estimators": 30, "max_depth": 6, "max_features": "sqrt"})
+
+
+@query("linear_svc")
+def q_linear_svc(spark, sf):
+    n = fx.table(spark, sf, "orders").count()
+    return _learner_fold0(spark, sf, "SVC", {"C": 1.0, "kernel": "linear", "n_rows": n * 0.8})
+
+
+@query("adaboost_samme")
+def q_adaboost_samme(spark, sf):
+    return _learner_fold0(spark, sf, "AdaBoostClassifier", {"n_estimators": 5, "learning_rate": 0.5})
+
+
+@query("score_models")
+def q_score_models(spark, sf):
+    from tabula.plans.ensemble import score_members
+
+    t = cleaning.label_targets(fx.train(spark, sf)).withColumn("class", F.col("class").cast("double"))
+    members = {
+        "RidgeClassifier_top_0": ("RidgeClassifier", {"alpha": 1.0}),
+        "LGBMClassifier_top_0": ("LGBMClassifier", {"n_estimators": 15, "max_depth": 4, "learning_rate": 0.3}),
+    }
+    return score_members(t, t, members, _PP_FEATURES, "class", method="predict")

@@ -61,3 +61,162 @@ def oof_mean_threshold(df: DataFrame, x_col: str, fold_col: str = "fold") -> Dat
 def weights_by_name(weights: DataFrame, names: Sequence[str]) -> Mapping[str, float]:
     got = {r["name"]: float(r["weight"]) for r in weights.select("name", "weight").collect()}
     return {n: got[n] for n in names}
+
+
+# ---------------------------------------------------------------- fitted members
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import LogisticRegression  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from tabula.operators import preprocess as pp  # noqa: E402
+from tabula.operators.folds import kfold_contiguous, kfold_shuffled  # noqa: E402
+from tabula.operators.learners import make_learner  # noqa: E402
+
+Members = Mapping[str, tuple[str, dict]]
+NO_PROBA = ("ridge", "svc")
+
+
+def member_pipeline(schema, model_name: str, params: dict, features: Sequence[str], label_col: str) -> Pipeline:
+    est = make_learner(model_name, params, label_col=label_col)
+    return pp.build_preprocessing(schema, features_in=features, model=est, model_name=model_name)
+
+
+def fit_members(df: DataFrame, members: Members, features: Sequence[str], label_col: str) -> dict[str, PipelineModel]:
+    """Fit every member pipeline on ``df`` (each fit is a distributed job)."""
+    return {name: member_pipeline(df.schema, m, p, features, label_col).fit(df) for name, (m, p) in members.items()}
+
+
+def predict_members(models: Mapping[str, PipelineModel], df: DataFrame, keep: Sequence[str], method: str = "predict") -> DataFrame:
+    """One column per member: the label (``predict``) or the probability
+    array (``predict_proba``). Members without probabilities raise."""
+    if method not in ("predict", "predict_proba"):
+        raise ValueError(f"Prediction method {method} not recognized. Use 'predict' or 'predict_proba'")
+    out = df.select(*keep, *[c for c in df.columns if c not in keep])
+    cols = list(keep)
+    for name, model in models.items():
+        if method == "predict_proba" and any(k in name.lower() for k in NO_PROBA):
+            raise ValueError(f"{name} has no predict_proba")
+        scored = model.transform(out)
+        if method == "predict":
+            val = F.col("prediction").cast("int")
+        else:
+            val = vector_to_array(F.col("probability"))
+        out = scored.select(*out.columns, val.alias(name))
+        cols.append(name)
+    return out.select(*cols)
+
+
+def score_members(fit_df: DataFrame, apply_df: DataFrame, members: Members, features: Sequence[str], label_col: str, method: str = "predict") -> DataFrame:
+    """Fit members on ``fit_df`` and return long predictions ``(id, model, prediction)``."""
+    models = fit_members(fit_df, members, features, label_col)
+    wide = predict_members(models, apply_df, ["id"], method)
+    return metrics.unpivot_predictions(wide, list(members), keep=["id"])
+
+
+def fold_predictions(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int, order_cols: Sequence[str]) -> DataFrame:
+    """Per fold: fit members on the other folds, predict the fold. Returns the
+    checkpointed wide table ``(id, fold, label, m1..mn)``."""
+    f = kfold_contiguous(df, k, order_cols).persist()
+    parts = []
+    for i in range(k):
+        tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
+        models = fit_members(tr, members, features, label_col)
+        parts.append(predict_members(models, te, ["id", "fold", label_col]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.checkpoint()
+    f.unpersist()
+    return out
+
+
+def optimize_ensemble(df: DataFrame, members: Members, weights: Sequence[float], features: Sequence[str], label_col: str,
+                      k: int = 5, order_cols: Sequence[str] = ("id",)) -> DataFrame:
+    """fit/predict once per fold, then score all subsets from the pattern table."""
+    preds = fold_predictions(df, members, features, label_col, k, order_cols)
+    return optimize_ensemble_rules(preds, list(members), weights, label_col)
+
+
+def test_ensemble(df: DataFrame, members: Members, weights: Sequence[float], features: Sequence[str], label_col: str,
+                  k: int = 5, order_cols: Sequence[str] = ("id",)) -> DataFrame:
+    """V11 with fitted members."""
+    preds = fold_predictions(df, members, features, label_col, k, order_cols)
+    return test_ensemble_rules(preds, list(members), weights, label_col)
+
+
+# ---------------------------------------------------------------- stacking
+class StackingEnsemble:
+    """Out-of-fold member predictions (shuffled K-fold) become extra numeric
+    features of a meta model; members are then refitted on all rows."""
+
+    def __init__(self, members: Members, features: Sequence[str], label_col: str, k: int = 5, meta: Estimator | None = None):
+        self.members, self.features, self.label_col, self.k = dict(members), list(features), label_col, k
+        self.meta = meta
+        self.member_models: dict[str, PipelineModel] = {}
+        self.meta_model: PipelineModel | None = None
+
+    def oof(self, df: DataFrame) -> DataFrame:
+        f = kfold_shuffled(df, self.k, "id").persist()
+        parts = []
+        for i in range(self.k):
+            models = fit_members(f.where(F.col("fold") != i), self.members, self.features, self.label_col)
+            parts.append(predict_members(models, f.where(F.col("fold") == i), ["id"]))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out = out.checkpoint()
+        f.unpersist()
+        return out
+
+    def _meta_pipeline(self, schema) -> Pipeline:
+        meta = self.meta or LogisticRegression(labelCol=self.label_col, maxIter=50)
+        meta.setLabelCol(self.label_col)
+        stack_feats = self.features + [f"m_{n}" for n in self.members]
+        return pp.build_preprocessing(schema, features_in=stack_feats, model=meta, model_name="stacking-meta")
+
+    def fit(self, df: DataFrame) -> StackingEnsemble:
+        oof = self.oof(df).select("id", *[F.col(n).cast("double").alias(f"m_{n}") for n in self.members])
+        meta_in = df.join(oof, "id")
+        self.meta_model = self._meta_pipeline(meta_in.schema).fit(meta_in)
+        self.member_models = fit_members(df, self.members, self.features, self.label_col)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        preds = predict_members(self.member_models, df, ["id"]).select(
+            "id", *[F.col(n).cast("double").alias(f"m_{n}") for n in self.members]
+        )
+        return self.meta_model.transform(df.join(preds, "id"))
+
+
+from pyspark.ml import Estimator  # noqa: E402
+
+
+def soft_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """V3 with fitted members: weighted probability mass per class, argmax."""
+    probs = predict_members(models, df, ["id"], method="predict_proba")
+    return vote.vote_soft(probs, weights)
+
+
+def hard_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    preds = predict_members(models, df, ["id"])
+    return vote.vote_hard(preds, weights)
+
+
+def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int = 3) -> DataFrame:
+    """CV accuracy of soft voting vs stacking: two rows ``(model, score)``."""
+    f = kfold_contiguous(df, k, ["id"]).persist()
+    w = {n: 1.0 / len(members) for n in members}
+    soft, stack = [], []
+    for i in range(k):
+        tr, te = f.where(F.col("fold") != i).drop("fold"), f.where(F.col("fold") == i).drop("fold")
+        models = fit_members(tr, members, features, label_col)
+        sv = soft_vote_predict(models, te, w).join(te.select("id", label_col), "id")
+        soft.append(sv.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
+        st = StackingEnsemble(members, features, label_col, k=3).fit(tr).transform(te)
+        stack.append(st.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
+    f.unpersist()
+    spark = df.sparkSession
+    return spark.createDataFrame([("soft_voting", float(np.mean(soft))), ("stacking", float(np.mean(stack)))], "model string, score double")
+
+
+import numpy as np  # noqa: E402
