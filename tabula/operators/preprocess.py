@@ -157,8 +157,10 @@ def build_preprocessing(
         raise ValueError("Cannot enforce input dataframe and use features_in at the same time")
     num, cat = split_columns(schema, features_in, exclude)
     if model is not None and model_name is None:
-        model_name = "ridge"  # Spark ML classifiers take numeric vectors only
+        model_name = "ridge"
     keep_strings = strings_allowed(model_name, allow_strings)
+    if model is not None:
+        keep_strings = False  # Spark ML classifiers read one numeric vector
     stages: list = []
     if num:
         stages.append(Imputer(strategy="mean", inputCols=num, outputCols=[f"{c}__imp" for c in num]))

@@ -670,7 +670,8 @@ def q_append_trials(spark, sf):
     ev = ev.join(half, "study").withColumnRenamed("event_id", "seq")
     root = scratch_path(spark, "trials")
     store.append_trials(spark, root, ev.where(F.col("seq") <= F.col("__mid")).drop("__mid"))
-    return store.append_trials(spark, root, ev.where(F.col("seq") > F.col("__mid")).drop("__mid"))
+    out = store.append_trials(spark, root, ev.where(F.col("seq") > F.col("__mid")).drop("__mid"))
+    return out.select("study", "number", "value", "state")
 
 
 @query(
@@ -1115,3 +1116,118 @@ def q_score_models(spark, sf):
         "LGBMClassifier_top_0": ("LGBMClassifier", {"n_estimators": 15, "max_depth": 4, "learning_rate": 0.3}),
     }
     return score_members(t, t, members, _PP_FEATURES, "class", method="predict")
+
+
+# ------------------------------------------------------------------ jobs (rows-only checks)
+from tabula.plans import ensemble as ens  # noqa: E402
+from tabula.plans import jobs  # noqa: E402
+
+_JOB_FEATURES = _PP_FEATURES
+
+
+def _labelled_train(spark, sf):
+    return cleaning.engineer_features(fx.train(spark, sf)).withColumn("class", F.col("class").cast("double"))
+
+
+_STACK_MEMBERS = {
+    "RidgeClassifier_top_0": ("RidgeClassifier", {"alpha": 1.0}),
+    "RandomForestClassifier_top_0": ("RandomForestClassifier", {"n_estimators": 10, "max_depth": 5}),
+}
+
+
+@query("cv_objective")
+def q_cv_objective(spark, sf):
+    t = _labelled_train(spark, sf)
+    trials = [{"alpha": 0.1}, {"alpha": 10.0}, {"alpha": 1000.0}]
+    scores = jobs.cv_objective(t, "RidgeClassifier", trials, _JOB_FEATURES, "class", n_cv=K_FOLDS)
+    return spark.createDataFrame([(json.dumps(p), s) for p, s in zip(trials, scores)], "params string, score double")
+
+
+@query("search_study")
+def q_search_study(spark, sf):
+    t = _labelled_train(spark, sf)
+    root = scratch_path(spark, "trials")
+    return jobs.search_study(spark, t, "RidgeClassifier_", "RidgeClassifier", _JOB_FEATURES, "class", root, n_trials=6, batch=3)
+
+
+@query("search_job")
+def q_search_job(spark, sf):
+    return jobs.search_job(
+        spark, fx.train(spark, sf), ["RidgeClassifier", "SVC"], _JOB_FEATURES,
+        scratch_path(spark, "results"), scratch_path(spark, "trials"), limit_data_percentage=0.15, n_trials=3, batch=3, n_cv=3,
+    )
+
+
+@query("stacking_fit")
+def q_stacking_fit(spark, sf):
+    t = folds.kfold_contiguous(_labelled_train(spark, sf), K_FOLDS, ["id"])
+    st = ens.StackingEnsemble(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).fit(t.where("fold <> 0").drop("fold"))
+    return st.oof(t.where("fold <> 0").drop("fold"))
+
+
+@query("stacking_predict")
+def q_stacking_predict(spark, sf):
+    t = folds.kfold_contiguous(_labelled_train(spark, sf), K_FOLDS, ["id"])
+    st = ens.StackingEnsemble(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).fit(t.where("fold <> 0").drop("fold"))
+    out = st.transform(t.where("fold = 0").drop("fold"))
+    return out.select("id", F.col("prediction").cast("int").alias("prediction"), F.col("class").cast("int").alias("label"))
+
+
+@query("compare_ensembles")
+def q_compare_ensembles(spark, sf):
+    members = {
+        "LGBMClassifier_top_0": ("LGBMClassifier", {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}),
+        "RandomForestClassifier_top_0": ("RandomForestClassifier", {"n_estimators": 10, "max_depth": 5}),
+    }
+    return ens.compare_ensembles(_labelled_train(spark, sf), members, _JOB_FEATURES, "class", k=3)
+
+
+def _job_results(spark) -> DataFrame:
+    rows = [
+        ("RidgeClassifier_top_0", 0.80, json.dumps({"alpha": 1.0}), "RidgeClassifier"),
+        ("RandomForestClassifier_top_0", 0.85, json.dumps({"n_estimators": 10, "max_depth": 5}), "RandomForestClassifier"),
+        ("LGBMClassifier_top_0", 0.86, json.dumps({"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}), "LGBMClassifier"),
+    ]
+    return spark.createDataFrame(rows, "name string, score double, params string, model string")
+
+
+@query("ensemble_job")
+def q_ensemble_job(spark, sf):
+    out = scratch_path(spark, "ensemble_job")
+    return jobs.ensemble_job(spark, fx.train(spark, sf), _job_results(spark), [r[0] for r in _job_results(spark).collect()],
+                             _JOB_FEATURES, out, sample_fraction=0.5, n_cv=3)
+
+
+@query("predict_job")
+def q_predict_job(spark, sf):
+    t = folds.kfold_contiguous(fx.train(spark, sf), K_FOLDS, ["id"])
+    train, test = t.where("fold <> 0").drop("fold"), t.where("fold = 0").drop("fold", "class")
+    d = scratch_path(spark, "ensemble")
+    members = {n: (m, json.loads(p)) for n, _, p, m in _job_results(spark).collect()}
+    jobs.save_ensemble(spark, d, members, {n: 1.0 / len(members) for n in members}, _JOB_FEATURES, train.schema)
+    return jobs.predict_job(spark, train, test, d, scratch_path(spark, "predictions_csv"))
+
+
+@query("ensemble_save_load")
+def q_ensemble_save_load(spark, sf):
+    t = folds.kfold_contiguous(_labelled_train(spark, sf), K_FOLDS, ["id"])
+    d = scratch_path(spark, "ensemble")
+    members = {n: (m, json.loads(p)) for n, _, p, m in _job_results(spark).collect()}
+    jobs.save_ensemble(spark, d, members, {n: 1.0 / len(members) for n in members}, _JOB_FEATURES, t.schema)
+    _, weights, _, pipes = jobs.load_ensemble(spark, d)
+    fitted = {n: p.fit(t.where("fold <> 0")) for n, p in pipes.items()}
+    return ens.hard_vote_predict(fitted, t.where("fold = 0"), weights)
+
+
+@query(
+    "prediction_parity",
+    fx.oracle_ctes("pred")
+    + " union all ".join(f"select '{m}' as model, count(*) as n, cast(0 as bigint) as mismatches from pred" for m in fx.RULE_MODELS),
+)
+def q_prediction_parity(spark, sf):
+    p = fx.pred(spark, sf)
+    inside = vote.align_predictions({m: p.select("id", F.col(m).alias("prediction")) for m in fx.RULE_MODELS})
+    return rep.prediction_parity(inside, p.select("id", *fx.RULE_MODELS), fx.RULE_MODELS)
+
+
+import json  # noqa: E402

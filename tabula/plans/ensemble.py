@@ -116,7 +116,7 @@ def score_members(fit_df: DataFrame, apply_df: DataFrame, members: Members, feat
 def fold_predictions(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int, order_cols: Sequence[str]) -> DataFrame:
     """Per fold: fit members on the other folds, predict the fold. Returns the
     checkpointed wide table ``(id, fold, label, m1..mn)``."""
-    f = kfold_contiguous(df, k, order_cols).persist()
+    f = kfold_contiguous(df, k, order_cols).checkpoint()
     parts = []
     for i in range(k):
         tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
@@ -156,7 +156,7 @@ class StackingEnsemble:
         self.meta_model: PipelineModel | None = None
 
     def oof(self, df: DataFrame) -> DataFrame:
-        f = kfold_shuffled(df, self.k, "id").persist()
+        f = kfold_shuffled(df, self.k, "id").checkpoint()
         parts = []
         for i in range(self.k):
             models = fit_members(f.where(F.col("fold") != i), self.members, self.features, self.label_col)
@@ -175,10 +175,13 @@ class StackingEnsemble:
         return pp.build_preprocessing(schema, features_in=stack_feats, model=meta, model_name="stacking-meta")
 
     def fit(self, df: DataFrame) -> StackingEnsemble:
+        df = df.persist()
         oof = self.oof(df).select("id", *[F.col(n).cast("double").alias(f"m_{n}") for n in self.members])
-        meta_in = df.join(oof, "id")
+        meta_in = df.join(oof, "id").persist()
         self.meta_model = self._meta_pipeline(meta_in.schema).fit(meta_in)
         self.member_models = fit_members(df, self.members, self.features, self.label_col)
+        meta_in.unpersist()
+        df.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -204,7 +207,7 @@ def hard_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weight
 
 def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int = 3) -> DataFrame:
     """CV accuracy of soft voting vs stacking: two rows ``(model, score)``."""
-    f = kfold_contiguous(df, k, ["id"]).persist()
+    f = kfold_contiguous(df, k, ["id"]).checkpoint()
     w = {n: 1.0 / len(members) for n in members}
     soft, stack = [], []
     for i in range(k):
