@@ -215,3 +215,23 @@ def test_metrics_accuracy_matches_pandas(spark):
     pdf = p.toPandas()
     for m in fx.RULE_MODELS:
         assert math.isclose(got[m], (pdf[m] == pdf["y"]).mean())
+
+
+def test_streaming_scoring_matches_batch(spark):
+    from tabula.plans import ensemble as ens
+    from tabula.session import scratch_path
+    from tabula.streaming.scoring import score_stream
+
+    t = cleaning.engineer_features(fx.train(spark, SF_SMALL)).withColumn("class", F.col("class").cast("double"))
+    feats = ["x_price", "x_month", "c_priority", "c_status"]
+    members = {"RidgeClassifier_top_0": ("RidgeClassifier", {"alpha": 1.0})}
+    models = ens.fit_members(t, members, feats, "class")
+    src = scratch_path(spark, "stream-src")
+    test_rows = t.drop("class")
+    test_rows.write.parquet(src)
+    out = scratch_path(spark, "stream-out")
+    score_stream(spark, src, test_rows.schema, models, {"RidgeClassifier_top_0": 1.0}, out)
+    streamed = spark.read.parquet(out)
+    batch = cleaning.unlabel_targets(ens.hard_vote_predict(models, test_rows, {"RidgeClassifier_top_0": 1.0}).withColumnRenamed("prediction", "class"))
+    assert streamed.count() == batch.count()
+    assert streamed.exceptAll(batch).count() == 0
