@@ -264,6 +264,9 @@ class AdaBoostSAMMEModel(Model):
 
 
 # ------------------------------------------------------------------ L8 k-NN
+KNN_BLOCK_ROWS = 20_000
+
+
 def knn_cosine(
     queries: DataFrame,
     refs: DataFrame,
@@ -273,13 +276,17 @@ def knn_cosine(
     label_col: str = "label",
     query_blocks: int | None = None,
     ref_blocks: int | None = None,
+    block_rows: int = KNN_BLOCK_ROWS,
 ) -> DataFrame:
     """Exact cosine k nearest references per query: ``(qid, rid, sim, label, rank)``.
-    Ties in similarity go to the smaller reference id."""
-    spark = queries.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    qb = query_blocks or max(1, int(math.sqrt(nparts)))
-    rb = ref_blocks or max(1, int(math.sqrt(nparts)))
+    Ties in similarity go to the smaller reference id.
+
+    Block counts follow the data (``ceil(rows / block_rows)``), so one cogroup
+    task holds at most about ``2 * block_rows`` rows at any table size."""
+    if query_blocks is None or ref_blocks is None:
+        counts = queries.select(F.count(F.lit(1))).first()[0], refs.select(F.count(F.lit(1))).first()[0]
+    qb = query_blocks or max(1, math.ceil(counts[0] / block_rows))
+    rb = ref_blocks or max(1, math.ceil(counts[1] / block_rows))
     q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qv"))
     r = refs.select(F.col(id_col).alias("rid"), F.col(vec_col).cast("array<double>").alias("rv"), F.col(label_col).alias("rlabel"))
     q = q.withColumn("__qb", F.pmod(F.xxhash64("qid"), F.lit(qb))).withColumn("__rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
@@ -296,16 +303,15 @@ def knn_cosine(
         sims = (qm @ rm.T) / np.outer(qn, rn)
         rid = rpdf["rid"].to_numpy()
         kk = min(k, len(rid))
-        # order by (-sim, rid); stable lexsort keeps exact tie semantics
-        out_q, out_r, out_s, out_l = [], [], [], []
-        lab = rpdf["rlabel"].to_numpy()
-        for i in range(sims.shape[0]):
-            order = np.lexsort((rid, -sims[i]))[:kk]
-            out_q.append(np.full(kk, qpdf["qid"].iat[i]))
-            out_r.append(rid[order])
-            out_s.append(sims[i][order])
-            out_l.append(lab[order])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "rid": np.concatenate(out_r), "sim": np.concatenate(out_s), "label": np.concatenate(out_l)})
+        # rows ordered by (-sim, rid): exact tie semantics, vectorised per block
+        order = np.lexsort((np.broadcast_to(rid, sims.shape), -sims), axis=-1)[:, :kk]
+        rows = np.arange(sims.shape[0])[:, None]
+        return pd.DataFrame({
+            "qid": np.repeat(qpdf["qid"].to_numpy(), kk),
+            "rid": rid[order].ravel(),
+            "sim": sims[rows, order].ravel(),
+            "label": rpdf["rlabel"].to_numpy()[order].ravel(),
+        })
 
     cand = q.groupBy("__qb", "__rb").cogroup(r.groupBy("__qb", "__rb")).applyInPandas(
         block_topk, f"qid long, rid long, sim double, label {label_type}"

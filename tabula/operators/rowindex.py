@@ -1,45 +1,61 @@
 """Distributed row numbering without a single-partition window.
 
 ``row_number() over (order by k)`` (no PARTITION BY) moves every row into one
-task. Here rows are range-partitioned on the order key, numbered inside each
-partition (``monotonically_increasing_id`` after a local sort), and shifted by
-the row counts of all earlier partitions. The offsets table has one row per
-(partition, group), so it is bounded by ``partitions x groups``; AQE decides at
-run time whether to broadcast it.
+task. Instead:
 
-The same routine numbers rows inside groups (``group_cols``) even when one
-group holds a large share of all rows: a hot group is spread over many range
-partitions instead of landing in one window task.
+1. the leading order column is mapped to a number by a MONOTONE function
+   (numbers as doubles, timestamps as microseconds, strings by their first UTF-8
+   bytes) and cut into ``n`` buckets at approximate quantiles (one
+   ``percentile_approx`` aggregate; only the ``n - 1`` cut points reach the
+   driver). Because the mapping is monotone, ``(bucket, order_cols)`` sorts
+   exactly like ``order_cols``;
+2. one aggregate counts rows per (group, bucket); prefix sums over that small
+   table give each bucket's offset (AQE broadcasts it when small);
+3. rows are hash-partitioned on (group, bucket) and numbered with
+   ``row_number()`` inside each bucket; index = offset + number - 1.
 
-The range-partitioned frame is persisted (memory and disk) so that the count
-pass and the numbering pass read the SAME partitions: two separate range
-exchanges would sample their bounds independently. A lost cached block is
-recomputed through the same exchange (same bounds), and the order columns must
-be a total order (end them with a unique key), so recomputed partitions get
-exactly the same numbers. ``release_cached()`` unpersists these frames.
+Every step is a pure function of the data: no cached copy, no partition ids,
+no ``monotonically_increasing_id``. A lost executor recomputes exactly the same
+numbers. With ``group_cols`` the numbering restarts per group while a hot
+group (one key holding a large share of all rows) is still spread over all
+buckets. The order columns must form a total order (end them with a unique
+key); the leading column should have many distinct values, because rows
+sharing one mapped value share one bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_PID, _MID, _CNT, _FIRST, _OFF = "__ri_pid", "__ri_mid", "__ri_cnt", "__ri_first", "__ri_off"
-_CACHED: list[DataFrame] = []
+_KEY, _BUCKET, _CNT, _OFF, _RN = "__ri_key", "__ri_bucket", "__ri_cnt", "__ri_off", "__ri_rn"
+_LOWEST = -1.0e308
 
 
-def release_cached() -> None:
-    """Unpersist the range-partitioned frames created by this module."""
-    while _CACHED:
-        _CACHED.pop().unpersist()
-
-
-def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+def _monotone_key(df: DataFrame, c: str | Column) -> Column:
+    """A double that never decreases when the column value increases (Spark's
+    ascending order, NULLs first)."""
+    if isinstance(c, Column):
+        expr = c
+        dtype = df.select(c).schema.fields[0].dataType
+    else:
+        expr = F.col(c)
+        dtype = df.schema[c].dataType
+    if isinstance(dtype, T.NumericType):
+        key = expr.cast("double")
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        key = F.unix_micros(expr.cast("timestamp")).cast("double")
+    elif isinstance(dtype, (T.StringType, T.BinaryType)):
+        raw = F.encode(expr, "UTF-8") if isinstance(dtype, T.StringType) else expr
+        # first 6 bytes as a big-endian number (shorter values padded with 0x00)
+        key = F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
+    else:
+        raise TypeError(f"unsupported leading order type {dtype.simpleString()}")
+    return F.coalesce(key, F.lit(_LOWEST))
 
 
 def with_row_index(
@@ -53,26 +69,30 @@ def with_row_index(
     (within ``group_cols`` if given)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*_as_cols(group_cols), *_as_cols(order_cols)]
-    ranged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    _CACHED.append(ranged)
-    stats = ranged.groupBy(_PID, *group_cols).agg(F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_FIRST))
-    w = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w), F.lit(0)).cast("long")).drop(_CNT)
-    o = offsets.alias("__ri_o")
-    r = ranged.alias("__ri_r")
-    conds = [F.col(f"__ri_r.{_PID}") == F.col(f"__ri_o.{_PID}")]
-    conds += [F.col(f"__ri_r.{g}").eqNullSafe(F.col(f"__ri_o.{g}")) for g in group_cols]
-    joined = r.join(o, reduce(lambda a, b: a & b, conds), "inner")
-    out_cols = [F.col(f"__ri_r.{c}") for c in df.columns]
-    idx = (F.col(f"__ri_o.{_OFF}") + F.col(f"__ri_r.{_MID}") - F.col(f"__ri_o.{_FIRST}")).cast("long").alias(name)
-    return joined.select(*out_cols, idx)
+    keyed = df.withColumn(_KEY, _monotone_key(df, order_cols[0]))
+    probs = [i / n for i in range(1, n)]
+    cuts: list[float] = []
+    if probs:
+        got = keyed.select(F.percentile_approx(_KEY, probs, 10_000).alias("q")).first()["q"] or []
+        cuts = sorted({float(v) for v in got if v is not None and v > _LOWEST})
+    splits = [float("-inf"), *cuts, float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep").transform(keyed)
+    bucketed = bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_KEY)
+
+    counts = bucketed.groupBy(*group_cols, _BUCKET).agg(F.count(F.lit(1)).alias(_CNT))
+    w_off = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w_off), F.lit(0)).cast("long")).drop(_CNT)
+
+    w_rn = Window.partitionBy(*group_cols, _BUCKET).orderBy(*order_cols)
+    numbered = bucketed.repartition(n, *group_cols, _BUCKET).withColumn(_RN, F.row_number().over(w_rn))
+    # renamed copies: both sides derive from ``bucketed`` (avoid self-join ambiguity)
+    o = offsets.select(*[F.col(g).alias(f"__ri_g{i}") for i, g in enumerate(group_cols)], F.col(_BUCKET).alias("__ri_ob"), _OFF)
+    cond = F.col(_BUCKET) == F.col("__ri_ob")
+    for i, g in enumerate(group_cols):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__ri_g{i}"))
+    joined = numbered.join(o, cond, "inner")
+    idx = (F.col(_OFF) + F.col(_RN) - F.lit(1)).cast("long").alias(name)
+    return joined.select(*[F.col(c) for c in df.columns], idx)
 
 
 def with_group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column], name: str) -> DataFrame:

@@ -8,13 +8,25 @@ to 12 decimals on both sides.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabula.operators import candidates as cand
 from tabula.operators import cleaning, folds, metrics, vote
+from tabula.operators import learners as lrn
+from tabula.operators import preprocess as pp
+from tabula.plans import ensemble as ens
 from tabula.plans import fixtures as fx
+from tabula.plans import jobs, search
+from tabula.plans import reports as rep
+from tabula.session import scratch_path
+from tabula.sources import csv as csvio
+from tabula.sources import store
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -44,10 +56,10 @@ def r12(c):
     return F.round(c, 12)
 
 
-def _models_weights(spark: SparkSession, sf: str, direction: str = "maximize") -> dict[str, float]:
+def _models_weights(spark: SparkSession, sf: str, direction: str = "maximize", pred_df: DataFrame | None = None) -> dict[str, float]:
     """Weights of the rule models from their top_0 result scores (a 4-row,
     model-count-bounded table brought to the driver to build the vote plan)."""
-    res = fx.results(spark, sf).where(F.col("name").endswith("_top_0"))
+    res = fx.results(spark, sf, pred_df).where(F.col("name").endswith("_top_0"))
     w = vote.ensemble_weights(res, direction).select("study", F.round("weight", 12).alias("weight"))
     got = {r["study"]: r["weight"] for r in w.collect()}
     return {m: got[m] for m in fx.RULE_MODELS}
@@ -318,8 +330,9 @@ def _subset_oracle_body() -> str:
 
 @query("subset_scores", _subset_oracle_body() + "select combination, fold, round(score, 12) as score from ss")
 def q_subset_scores(spark, sf):
-    w = _models_weights(spark, sf)
-    s = vote.subset_scores(fx.pred(spark, sf), fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
+    p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
+    s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     return s.select("combination", "fold", r12(F.col("score")).alias("score"))
 
 
@@ -328,8 +341,9 @@ def q_subset_scores(spark, sf):
     _subset_oracle_body() + "select combination, round(avg(score), 12) as score from ss group by combination",
 )
 def q_mean_score_by_combination(spark, sf):
-    w = _models_weights(spark, sf)
-    s = vote.subset_scores(fx.pred(spark, sf), fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
+    p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
+    s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     return metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
 
 
@@ -346,8 +360,9 @@ _BEST_SQL = """, ms as (select combination, round(avg(score), 12) as score from
          unnest(string_split(combination, '-')) with ordinality as u(member, pos)""",
 )
 def q_best_combination(spark, sf):
-    w = _models_weights(spark, sf)
-    s = vote.subset_scores(fx.pred(spark, sf), fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
+    p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
+    s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     ms = metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
     return metrics.best_combination(ms)
 
@@ -361,8 +376,9 @@ def q_best_combination(spark, sf):
 def q_optimize_ensemble(spark, sf):
     from tabula.plans.ensemble import optimize_ensemble_rules
 
-    w = _models_weights(spark, sf)
-    return optimize_ensemble_rules(fx.pred(spark, sf), fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
+    p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
+    return optimize_ensemble_rules(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
 
 
 @query(
@@ -377,8 +393,9 @@ def q_optimize_ensemble(spark, sf):
 def q_top_vs_singles(spark, sf):
     from tabula.plans.reports import top_vs_singles
 
-    w = _models_weights(spark, sf)
-    s = vote.subset_scores(fx.pred(spark, sf), fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
+    p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
+    s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     ms = metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
     return top_vs_singles(ms)
 
@@ -394,11 +411,12 @@ def q_top_vs_singles(spark, sf):
 def q_final_members(spark, sf):
     from tabula.plans.ensemble import final_members
 
-    w = _models_weights(spark, sf)
-    s = vote.subset_scores(fx.pred(spark, sf), fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
+    p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
+    s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     ms = metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
     best = metrics.best_combination(ms)
-    res = fx.results(spark, sf).where(F.col("name").endswith("_top_0"))
+    res = fx.results(spark, sf, p).where(F.col("name").endswith("_top_0"))
     return final_members(res, best).select("name", "score", "study")
 
 
@@ -433,8 +451,8 @@ def q_classification_metrics(spark, sf):
          from ss group by fold""",
 )
 def q_fold_model_pivot(spark, sf):
-    w = _models_weights(spark, sf)
     p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
     p = p.withColumn("ensemble", vote.hard_vote_expr([F.col(m) for m in fx.RULE_MODELS], [w[m] for m in fx.RULE_MODELS]))
     scores = metrics.fold_scores(p, [*fx.RULE_MODELS, "ensemble"], "y")
     return metrics.fold_model_pivot(scores, [*fx.RULE_MODELS, "ensemble"])
@@ -480,8 +498,9 @@ def q_vote_hard(spark, sf):
                          then 'p' else 'e' end as prediction from pred, wp""",
 )
 def q_vote_string_labels(spark, sf):
-    w = _models_weights(spark, sf)
-    p = fx.pred(spark, sf).select("id", *[F.when(F.col(m) == 1, "p").otherwise("e").alias(m) for m in fx.RULE_MODELS])
+    p0 = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p0)
+    p = p0.select("id", *[F.when(F.col(m) == 1, "p").otherwise("e").alias(m) for m in fx.RULE_MODELS])
     return vote.vote_hard(p, w)
 
 
@@ -552,8 +571,9 @@ def q_argmax_label(spark, sf):
 def q_test_ensemble(spark, sf):
     from tabula.plans.ensemble import test_ensemble_rules
 
-    w = _models_weights(spark, sf)
-    return test_ensemble_rules(fx.pred(spark, sf), fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
+    p = fx.pred(spark, sf)
+    w = _models_weights(spark, sf, pred_df=p)
+    return test_ensemble_rules(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
 
 
 @query(
@@ -575,11 +595,6 @@ def q_oof_predictions(spark, sf):
 
 
 # ------------------------------------------------------------------ sources and sinks
-from tabula.plans import reports as rep  # noqa: E402
-from tabula.plans import search  # noqa: E402
-from tabula.session import scratch_path  # noqa: E402
-from tabula.sources import csv as csvio  # noqa: E402
-from tabula.sources import store  # noqa: E402
 
 TRAIN_SCHEMA = "id bigint, x_price double, x_month double, c_priority string, c_status string, class string"
 _RES_COLS = "name, score, params, model, features, n_trials, metadata, study"
@@ -787,7 +802,6 @@ def q_sample_trials(spark, sf):
 
 
 # ------------------------------------------------------------------ reports and candidates
-from tabula.operators import candidates as cand  # noqa: E402
 
 
 @query("results_report", fx.oracle_ctes("results") + "select name, score, params, model, features, n_trials, metadata from results")
@@ -850,10 +864,7 @@ def q_feature_set_ablation(spark, sf):
 
 
 # ------------------------------------------------------------------ preprocessing
-from pyspark.ml.feature import Imputer  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
-from tabula.operators import preprocess as pp  # noqa: E402
 
 _PP_FEATURES = ["x_price", "x_month", "c_priority", "c_status"]
 _UNSEEN = "case when x_month = 12 then 'Z' else c_status end"
@@ -1010,9 +1021,7 @@ def q_standard_scale(spark, sf):
 
 
 # ------------------------------------------------------------------ learners
-from pyspark.ml.feature import VectorAssembler  # noqa: E402
 
-from tabula.operators import learners as lrn  # noqa: E402
 
 RIDGE_ALPHA = 10.0
 KNN_K = 5
@@ -1119,8 +1128,6 @@ def q_score_models(spark, sf):
 
 
 # ------------------------------------------------------------------ jobs (rows-only checks)
-from tabula.plans import ensemble as ens  # noqa: E402
-from tabula.plans import jobs  # noqa: E402
 
 _JOB_FEATURES = _PP_FEATURES
 
@@ -1228,6 +1235,3 @@ def q_prediction_parity(spark, sf):
     p = fx.pred(spark, sf)
     inside = vote.align_predictions({m: p.select("id", F.col(m).alias("prediction")) for m in fx.RULE_MODELS})
     return rep.prediction_parity(inside, p.select("id", *fx.RULE_MODELS), fx.RULE_MODELS)
-
-
-import json  # noqa: E402

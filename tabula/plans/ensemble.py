@@ -11,10 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabula.operators import metrics, vote
+from tabula.operators import preprocess as pp
+from tabula.operators.folds import kfold_contiguous, kfold_shuffled
+from tabula.operators.learners import make_learner
 
 
 # ---------------------------------------------------------------- rule-model forms
@@ -64,13 +72,7 @@ def weights_by_name(weights: DataFrame, names: Sequence[str]) -> Mapping[str, fl
 
 
 # ---------------------------------------------------------------- fitted members
-from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
-from pyspark.ml.classification import LogisticRegression  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
-from tabula.operators import preprocess as pp  # noqa: E402
-from tabula.operators.folds import kfold_contiguous, kfold_shuffled  # noqa: E402
-from tabula.operators.learners import make_learner  # noqa: E402
 
 Members = Mapping[str, tuple[str, dict]]
 NO_PROBA = ("ridge", "svc")
@@ -191,9 +193,6 @@ class StackingEnsemble:
         return self.meta_model.transform(df.join(preds, "id"))
 
 
-from pyspark.ml import Estimator  # noqa: E402
-
-
 def soft_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """V3 with fitted members: weighted probability mass per class, argmax."""
     probs = predict_members(models, df, ["id"], method="predict_proba")
@@ -220,6 +219,3 @@ def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str],
     f.unpersist()
     spark = df.sparkSession
     return spark.createDataFrame([("soft_voting", float(np.mean(soft))), ("stacking", float(np.mean(stack)))], "model string, score double")
-
-
-import numpy as np  # noqa: E402

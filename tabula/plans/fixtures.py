@@ -135,16 +135,16 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("study", (F.col("number") - 1).cast("long").alias("number"), "value", "state")
 
 
-def rule_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_scores(pred(spark, sf_dir), RULE_MODELS, "y")
+def rule_fold_scores(spark: SparkSession, sf_dir: str, pred_df: DataFrame | None = None) -> DataFrame:
+    return fold_scores(pred_df if pred_df is not None else pred(spark, sf_dir), RULE_MODELS, "y")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, pred_df: DataFrame | None = None) -> DataFrame:
     """Search-result rows derived from the rule models' fold scores: each model
     is a study, each fold a trial, the best three become ``<model>_top_<k>``."""
     from tabula.plans.search import top_trials
 
-    fs = rule_fold_scores(spark, sf_dir)
+    fs = rule_fold_scores(spark, sf_dir, pred_df)
     tr = fs.select(F.col("combination").alias("study"), F.col("fold").cast("long").alias("number"), F.col("score").alias("value"), F.lit("COMPLETE").alias("state"))
     top = top_trials(tr, k=3)
     n_trials = tr.groupBy("study").agg(F.count(F.lit(1)).cast("int").alias("n_trials"))
