@@ -44,39 +44,32 @@ from tabula.plans.search import space_for
 # ------------------------------------------------------------------ L1 ridge
 def gram_matrix(df: DataFrame, features_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, int]:
     """``(A, b, n)`` with ``A = [X 1]^T [X 1]``, ``b = [X 1]^T y`` from one
-    distributed pass; only ``(d+1)^2 + (d+1)`` numbers reach the driver."""
+    distributed pass: each partition packs its partial ``A`` and ``b`` into ONE
+    vector, and ``Summarizer.sum`` adds them with partial aggregation, so the
+    shuffle carries one row per partition and only ``(d+1)^2 + (d+1)`` numbers
+    reach the driver."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
     x = df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"))
 
     def partial(it):
-        acc_a = None
-        acc_b = None
+        acc = None
         for pdf in it:
             if len(pdf) == 0:
                 continue
             xm = np.vstack(pdf["x"].to_numpy())
             x1 = np.hstack([xm, np.ones((xm.shape[0], 1))])
-            ya = pdf["y"].to_numpy()
-            a = x1.T @ x1
-            b = x1.T @ ya
-            acc_a = a if acc_a is None else acc_a + a
-            acc_b = b if acc_b is None else acc_b + b
-        if acc_a is None:
-            return
-        m = acc_a.shape[0]
-        ii, jj = np.meshgrid(np.arange(m), np.arange(m), indexing="ij")
-        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "v": acc_a.ravel()})
-        yield pd.DataFrame({"i": np.arange(m), "j": np.full(m, -1), "v": acc_b})
-
-    parts = x.mapInPandas(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    rows = parts.collect()
-    m = max(r["i"] for r in rows) + 1
-    a = np.zeros((m, m))
-    b = np.zeros(m)
-    for r in rows:
-        if r["j"] < 0:
-            b[r["i"]] = r["v"]
-        else:
-            a[r["i"], r["j"]] = r["v"]
+            packed = np.concatenate([(x1.T @ x1).ravel(), x1.T @ pdf["y"].to_numpy()])
+            acc = packed if acc is None else acc + packed
+        if acc is not None:
+            yield pd.DataFrame({"v": [acc.tolist()]})
+
+    packed = x.mapInPandas(partial, "v array<double>").select(array_to_vector("v").alias("v"))
+    total = np.asarray(packed.select(Summarizer.sum(F.col("v")).alias("s")).first()["s"].toArray())
+    m = int(round((-1 + math.sqrt(1 + 4 * len(total))) / 2))  # len = m^2 + m
+    a = total[: m * m].reshape(m, m)
+    b = total[m * m :]
     return a, b, int(round(a[m - 1, m - 1]))
 
 
