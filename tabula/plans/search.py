@@ -8,7 +8,9 @@
   value above ``b_i * (1 + min_improvement)``. Each chain step is one
   distributed filter + min aggregate over all studies at once; the number of
   steps is the chain length (logarithmic in max/min for a positive
-  improvement), and no study is ever gathered into one task.
+  improvement), and no study is ever gathered into one task. With positive
+  values every chain element is a running record, so the steps scan only the
+  record trials (found with bucketed running maxima, no per-study window).
 * H6 ``top_trials``: ``row_number() <= k`` per study, which Spark executes
   with a partial WindowGroupLimit before the shuffle.
 * H2/H3/H8: cross-validated objective and the search job over Spark ML
@@ -146,12 +148,45 @@ def _improves(value: Column, best: Column, min_improvement: float, direction: st
     return value < best * F.lit(1.0 - min_improvement)
 
 
+RECORD_BUCKET_ROWS = 1_000_000
+
+
+def running_records(trials: DataFrame, direction: str = "maximize", bucket_rows: int = RECORD_BUCKET_ROWS) -> DataFrame:
+    """Trials whose value beats every earlier value of their study (running
+    max, or min when minimising), without a per-study window: trial numbers are
+    cut into fixed-size buckets, each bucket gets a local running extreme, and
+    a prefix extreme over the (small) per-bucket table supplies the part before
+    the bucket. A study holding most rows is spread over many buckets."""
+    better = F.greatest if direction == "maximize" else F.least
+    agg = F.max if direction == "maximize" else F.min
+    t = trials.where(F.col("value").isNotNull()).select("study", "number", "value").withColumn(
+        "__b", F.floor(F.col("number") / F.lit(bucket_rows)).cast("long")
+    )
+    w_local = Window.partitionBy("study", "__b").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    local = t.withColumn("__prev_local", agg("value").over(w_local))
+    per_bucket = t.groupBy("study", "__b").agg(agg("value").alias("__bx"))
+    w_pre = Window.partitionBy("study").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = per_bucket.withColumn("__prev_bucket", agg("__bx").over(w_pre)).select(
+        F.col("study").alias("__s"), F.col("__b").alias("__pb"), "__prev_bucket"
+    )
+    j = local.join(prefix, (F.col("study") == F.col("__s")) & (F.col("__b") == F.col("__pb")))
+    prev = better(F.col("__prev_local"), F.col("__prev_bucket"))  # NULLs ignored
+    beats = (F.col("value") > prev) if direction == "maximize" else (F.col("value") < prev)
+    return j.where(prev.isNull() | beats).select("study", "number", "value")
+
+
 def best_chain(trials: DataFrame, min_improvement: float, direction: str = "maximize", max_steps: int = 10_000) -> DataFrame:
     """All "new best" trials per study, in order: ``(study, step, number, value)``.
 
     Step 0 is the first trial with a value; step i+1 is the first later trial
-    whose value beats step i by more than ``min_improvement``."""
-    t = trials.where(F.col("value").isNotNull()).select("study", "number", "value").persist()
+    whose value beats step i by more than ``min_improvement``. When every value
+    is positive, each chain element beats all earlier values, so the steps run
+    over the running-record trials only (usually a logarithmic share)."""
+    positive = trials.select(F.min("value")).first()[0]
+    if positive is not None and positive > 0 and min_improvement >= 0:
+        t = running_records(trials, direction).persist()
+    else:
+        t = trials.where(F.col("value").isNotNull()).select("study", "number", "value").persist()
     first = t.groupBy("study").agg(F.min(F.struct("number", "value")).alias("s"))
     frontier = first.select("study", F.lit(0).alias("step"), F.col("s.number").alias("number"), F.col("s.value").alias("value"))
     frontier = frontier.checkpoint()

@@ -235,3 +235,19 @@ def test_streaming_scoring_matches_batch(spark):
     batch = cleaning.unlabel_targets(ens.hard_vote_predict(models, test_rows, {"RidgeClassifier_top_0": 1.0}).withColumnRenamed("prediction", "class"))
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_running_records_equal_sequential(spark):
+    tr = fx.trials(spark, SF_SMALL)
+    got = {(r["study"], r["number"]) for r in search.running_records(tr, bucket_rows=7).collect()}
+    pdf = tr.toPandas().sort_values(["study", "number"])
+    exp = set()
+    for study, g in pdf.groupby("study"):
+        best = None
+        for n, v in zip(g["number"], g["value"]):
+            if pd.isna(v):
+                continue
+            if best is None or v > best:
+                exp.add((study, n))
+                best = v
+    assert got == exp
