@@ -36,9 +36,8 @@ def kfold_contiguous(df: DataFrame, k: int, order_cols: Sequence[str | Column],
     """Unshuffled K-fold: contiguous blocks in ``order_cols`` order."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    n = df.select(F.count(F.lit(1))).scalar()
-    idx = with_row_index(df, order_cols, name="__fold_idx")
-    return idx.withColumn(fold_col, _ntile_fold(F.col("__fold_idx"), n, k)).drop("__fold_idx")
+    idx = with_row_index(df, order_cols, name="__fold_idx", total_name="__fold_n")
+    return idx.withColumn(fold_col, _ntile_fold(F.col("__fold_idx"), F.col("__fold_n"), k)).drop("__fold_idx", "__fold_n")
 
 
 def kfold_shuffled(df: DataFrame, k: int, id_col: str, seed: int = STACKING_FOLD_SEED, fold_col: str = "fold") -> DataFrame:

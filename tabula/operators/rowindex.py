@@ -64,9 +64,11 @@ def with_row_index(
     name: str = "row_idx",
     group_cols: Sequence[str] = (),
     num_partitions: int | None = None,
+    total_name: str | None = None,
 ) -> DataFrame:
     """Add a 0-based ``name`` = position of the row in ``order_cols`` order
-    (within ``group_cols`` if given)."""
+    (within ``group_cols`` if given); ``total_name`` also adds the row count
+    (of the group), taken from the same per-bucket counts (no extra scan)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn(_KEY, _monotone_key(df, order_cols[0]))
@@ -81,18 +83,22 @@ def with_row_index(
 
     counts = bucketed.groupBy(*group_cols, _BUCKET).agg(F.count(F.lit(1)).alias(_CNT))
     w_off = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w_off), F.lit(0)).cast("long")).drop(_CNT)
+    offsets = counts.withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w_off), F.lit(0)).cast("long"))
+    offsets = offsets.withColumn("__ri_total", F.sum(_CNT).over(Window.partitionBy(*group_cols)).cast("long")).drop(_CNT)
 
     w_rn = Window.partitionBy(*group_cols, _BUCKET).orderBy(*order_cols)
     numbered = bucketed.repartition(n, *group_cols, _BUCKET).withColumn(_RN, F.row_number().over(w_rn))
     # renamed copies: both sides derive from ``bucketed`` (avoid self-join ambiguity)
-    o = offsets.select(*[F.col(g).alias(f"__ri_g{i}") for i, g in enumerate(group_cols)], F.col(_BUCKET).alias("__ri_ob"), _OFF)
+    o = offsets.select(
+        *[F.col(g).alias(f"__ri_g{i}") for i, g in enumerate(group_cols)], F.col(_BUCKET).alias("__ri_ob"), _OFF, "__ri_total"
+    )
     cond = F.col(_BUCKET) == F.col("__ri_ob")
     for i, g in enumerate(group_cols):
         cond = cond & F.col(g).eqNullSafe(F.col(f"__ri_g{i}"))
     joined = numbered.join(o, cond, "inner")
     idx = (F.col(_OFF) + F.col(_RN) - F.lit(1)).cast("long").alias(name)
-    return joined.select(*[F.col(c) for c in df.columns], idx)
+    extra = [F.col("__ri_total").alias(total_name)] if total_name else []
+    return joined.select(*[F.col(c) for c in df.columns], idx, *extra)
 
 
 def with_group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column], name: str) -> DataFrame:

@@ -175,38 +175,70 @@ def running_records(trials: DataFrame, direction: str = "maximize", bucket_rows:
     return j.where(prev.isNull() | beats).select("study", "number", "value")
 
 
-def best_chain(trials: DataFrame, min_improvement: float, direction: str = "maximize", max_steps: int = 10_000) -> DataFrame:
+CHAIN_BATCH = 20_000
+
+
+def best_chain(
+    trials: DataFrame, min_improvement: float, direction: str = "maximize", batch: int = CHAIN_BATCH, max_rounds: int = 1_000_000
+) -> DataFrame:
     """All "new best" trials per study, in order: ``(study, step, number, value)``.
 
     Step 0 is the first trial with a value; step i+1 is the first later trial
-    whose value beats step i by more than ``min_improvement``. When every value
-    is positive, each chain element beats all earlier values, so the steps run
-    over the running-record trials only (usually a logarithmic share)."""
-    positive = trials.select(F.min("value")).first()[0]
-    if positive is not None and positive > 0 and min_improvement >= 0:
-        t = running_records(trials, direction).persist()
+    whose value beats step i by more than ``min_improvement``. When no value is
+    negative, each chain element beats all earlier values, so only the
+    running-record trials are scanned. Each round takes the next ``batch``
+    candidates of every study (a window-limited, bounded array) and folds them
+    with a JVM ``aggregate``; rounds = candidates / batch, not chain length."""
+    spark = trials.sparkSession
+    lowest = trials.select(F.min("value")).first()[0]
+    # with values >= 0 and a non-negative improvement, b' > b*(1+m) >= b (or
+    # b' < b*(1-m) <= b when minimising): every chain element is a record
+    if lowest is not None and lowest >= 0 and min_improvement >= 0:
+        t = running_records(trials, direction)
     else:
-        t = trials.where(F.col("value").isNotNull()).select("study", "number", "value").persist()
-    first = t.groupBy("study").agg(F.min(F.struct("number", "value")).alias("s"))
-    frontier = first.select("study", F.lit(0).alias("step"), F.col("s.number").alias("number"), F.col("s.value").alias("value"))
-    frontier = frontier.checkpoint()
-    chain = frontier
-    for step in range(1, max_steps + 1):
-        f = frontier.select("study", F.col("number").alias("__pos"), F.col("value").alias("__best"))
-        nxt = (
-            t.join(f, "study")
-            .where((F.col("number") > F.col("__pos")) & _improves(F.col("value"), F.col("__best"), min_improvement, direction))
-            .groupBy("study")
-            .agg(F.min(F.struct("number", "value")).alias("s"))
-            .select("study", F.lit(step).alias("step"), F.col("s.number").alias("number"), F.col("s.value").alias("value"))
-            .checkpoint()
+        t = trials.where(F.col("value").isNotNull()).select("study", "number", "value")
+    t = t.checkpoint()
+    frontier = t.select("study").distinct().select(
+        "study", F.lit(-1).cast("long").alias("__pos"), F.lit(None).cast("double").alias("__best"), F.lit(0).alias("__steps")
+    ).checkpoint()
+    chains = []
+    elem = "struct<number:bigint,value:double>"
+    for _ in range(max_rounds):
+        cand = t.join(frontier, "study").where(F.col("number") > F.col("__pos"))
+        w = Window.partitionBy("study").orderBy("number")
+        cand = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= batch)
+        grouped = cand.groupBy("study").agg(
+            F.array_sort(F.collect_list(F.struct("number", "value"))).alias("__xs"),
+            F.first("__best").alias("__best"),
+            F.first("__steps").alias("__steps"),
+            F.max("number").alias("__last"),
         )
-        if nxt.isEmpty():
+        init = F.struct(F.col("__best").alias("best"), F.array().cast(f"array<{elem}>").alias("chain"))
+
+        def step(acc, x):
+            take = acc["best"].isNull() | _improves(x["value"], acc["best"], min_improvement, direction)
+            return F.when(
+                take,
+                F.struct(x["value"].alias("best"), F.concat(acc["chain"], F.array(F.struct(x["number"].alias("number"), x["value"].alias("value")))).alias("chain")),
+            ).otherwise(acc)
+
+        folded = grouped.select("study", "__last", "__steps", F.aggregate("__xs", init, step).alias("__f")).checkpoint()
+        if folded.isEmpty():
             break
-        chain = chain.unionByName(nxt)
-        frontier = nxt
-    t.unpersist()
-    return chain.checkpoint()
+        chains.append(
+            folded.select("study", "__steps", F.posexplode("__f.chain").alias("__i", "__e")).select(
+                "study", (F.col("__steps") + F.col("__i")).alias("step"), F.col("__e.number").alias("number"), F.col("__e.value").alias("value")
+            )
+        )
+        frontier = folded.select(
+            "study", F.col("__last").alias("__pos"), F.col("__f.best").alias("__best"), (F.col("__steps") + F.size("__f.chain")).alias("__steps")
+        ).checkpoint()
+    if not chains:
+        return spark.createDataFrame([], "study string, step int, number bigint, value double")
+    out = chains[0]
+    for c in chains[1:]:
+        out = out.unionByName(c)
+    return out.checkpoint()
 
 
 def patience_state(trials: DataFrame, min_improvement: float, direction: str = "maximize") -> DataFrame:
