@@ -56,6 +56,13 @@ def r12(c):
     return F.round(c, 12)
 
 
+def _pred_once(spark: SparkSession, sf: str) -> DataFrame:
+    """``pred`` materialised once in the checkpoint folder, for queries that read
+    it twice (vote weights, then the votes): one narrow write instead of
+    recomputing the fold index over ``orders``."""
+    return fx.pred(spark, sf).checkpoint()
+
+
 def _models_weights(spark: SparkSession, sf: str, direction: str = "maximize", pred_df: DataFrame | None = None) -> dict[str, float]:
     """Weights of the rule models from their top_0 result scores (a 4-row,
     model-count-bounded table brought to the driver to build the vote plan)."""
@@ -330,7 +337,7 @@ def _subset_oracle_body() -> str:
 
 @query("subset_scores", _subset_oracle_body() + "select combination, fold, round(score, 12) as score from ss")
 def q_subset_scores(spark, sf):
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     return s.select("combination", "fold", r12(F.col("score")).alias("score"))
@@ -341,7 +348,7 @@ def q_subset_scores(spark, sf):
     _subset_oracle_body() + "select combination, round(avg(score), 12) as score from ss group by combination",
 )
 def q_mean_score_by_combination(spark, sf):
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     return metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
@@ -360,7 +367,7 @@ _BEST_SQL = """, ms as (select combination, round(avg(score), 12) as score from
          unnest(string_split(combination, '-')) with ordinality as u(member, pos)""",
 )
 def q_best_combination(spark, sf):
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     ms = metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
@@ -376,7 +383,7 @@ def q_best_combination(spark, sf):
 def q_optimize_ensemble(spark, sf):
     from tabula.plans.ensemble import optimize_ensemble_rules
 
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     return optimize_ensemble_rules(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
 
@@ -393,7 +400,7 @@ def q_optimize_ensemble(spark, sf):
 def q_top_vs_singles(spark, sf):
     from tabula.plans.reports import top_vs_singles
 
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     ms = metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
@@ -411,7 +418,7 @@ def q_top_vs_singles(spark, sf):
 def q_final_members(spark, sf):
     from tabula.plans.ensemble import final_members
 
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     s = vote.subset_scores(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
     ms = metrics.mean_score_by_combination(s).select("combination", r12(F.col("score")).alias("score"))
@@ -451,7 +458,7 @@ def q_classification_metrics(spark, sf):
          from ss group by fold""",
 )
 def q_fold_model_pivot(spark, sf):
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     p = p.withColumn("ensemble", vote.hard_vote_expr([F.col(m) for m in fx.RULE_MODELS], [w[m] for m in fx.RULE_MODELS]))
     scores = metrics.fold_scores(p, [*fx.RULE_MODELS, "ensemble"], "y")
@@ -498,7 +505,7 @@ def q_vote_hard(spark, sf):
                          then 'p' else 'e' end as prediction from pred, wp""",
 )
 def q_vote_string_labels(spark, sf):
-    p0 = fx.pred(spark, sf)
+    p0 = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p0)
     p = p0.select("id", *[F.when(F.col(m) == 1, "p").otherwise("e").alias(m) for m in fx.RULE_MODELS])
     return vote.vote_hard(p, w)
@@ -571,7 +578,7 @@ def q_argmax_label(spark, sf):
 def q_test_ensemble(spark, sf):
     from tabula.plans.ensemble import test_ensemble_rules
 
-    p = fx.pred(spark, sf)
+    p = _pred_once(spark, sf)
     w = _models_weights(spark, sf, pred_df=p)
     return test_ensemble_rules(p, fx.RULE_MODELS, [w[m] for m in fx.RULE_MODELS], "y")
 
