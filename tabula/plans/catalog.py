@@ -1196,19 +1196,30 @@ def q_compare_ensembles(spark, sf):
     return ens.compare_ensembles(_labelled_train(spark, sf), members, _JOB_FEATURES, "class", k=3)
 
 
-def _job_results(spark) -> DataFrame:
-    rows = [
-        ("RidgeClassifier_top_0", 0.80, json.dumps({"alpha": 1.0}), "RidgeClassifier"),
-        ("RandomForestClassifier_top_0", 0.85, json.dumps({"n_estimators": 10, "max_depth": 5}), "RandomForestClassifier"),
-        ("LGBMClassifier_top_0", 0.86, json.dumps({"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}), "LGBMClassifier"),
-    ]
+# Member configurations of the ensemble jobs (model family + parameters), the
+# counterpart of the ensemble config file; scores always come from the data.
+_ENSEMBLE_MEMBERS = {
+    "RidgeClassifier_top_0": ("RidgeClassifier", {"alpha": 1.0}),
+    "RandomForestClassifier_top_0": ("RandomForestClassifier", {"n_estimators": 10, "max_depth": 5}),
+    "LGBMClassifier_top_0": ("LGBMClassifier", {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}),
+}
+
+
+def _member_results(spark, sf) -> DataFrame:
+    """Search-result rows for the ensemble members: each score is the member's
+    3-fold stratified CV accuracy on the cleaned ``train`` table."""
+    t = _labelled_train(spark, sf).checkpoint()
+    rows = []
+    for name, (model, params) in _ENSEMBLE_MEMBERS.items():
+        score = jobs.cv_objective(t, model, [params], _JOB_FEATURES, "class", n_cv=3)[0]
+        rows.append((name, float(score), json.dumps(params), model))
     return spark.createDataFrame(rows, "name string, score double, params string, model string")
 
 
 @query("ensemble_job")
 def q_ensemble_job(spark, sf):
     out = scratch_path(spark, "ensemble_job")
-    return jobs.ensemble_job(spark, fx.train(spark, sf), _job_results(spark), [r[0] for r in _job_results(spark).collect()],
+    return jobs.ensemble_job(spark, fx.train(spark, sf), _member_results(spark, sf), list(_ENSEMBLE_MEMBERS),
                              _JOB_FEATURES, out, sample_fraction=0.5, n_cv=3)
 
 
@@ -1217,7 +1228,7 @@ def q_predict_job(spark, sf):
     t = folds.kfold_contiguous(fx.train(spark, sf), K_FOLDS, ["id"])
     train, test = t.where("fold <> 0").drop("fold"), t.where("fold = 0").drop("fold", "class")
     d = scratch_path(spark, "ensemble")
-    members = {n: (m, json.loads(p)) for n, _, p, m in _job_results(spark).collect()}
+    members = dict(_ENSEMBLE_MEMBERS)
     jobs.save_ensemble(spark, d, members, {n: 1.0 / len(members) for n in members}, _JOB_FEATURES, train.schema)
     return jobs.predict_job(spark, train, test, d, scratch_path(spark, "predictions_csv"))
 
@@ -1226,7 +1237,7 @@ def q_predict_job(spark, sf):
 def q_ensemble_save_load(spark, sf):
     t = folds.kfold_contiguous(_labelled_train(spark, sf), K_FOLDS, ["id"])
     d = scratch_path(spark, "ensemble")
-    members = {n: (m, json.loads(p)) for n, _, p, m in _job_results(spark).collect()}
+    members = dict(_ENSEMBLE_MEMBERS)
     jobs.save_ensemble(spark, d, members, {n: 1.0 / len(members) for n in members}, _JOB_FEATURES, t.schema)
     _, weights, _, pipes = jobs.load_ensemble(spark, d)
     fitted = {n: p.fit(t.where("fold <> 0")) for n, p in pipes.items()}
