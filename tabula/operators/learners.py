@@ -323,7 +323,7 @@ def knn_vote(neigh: DataFrame, weights: str = "uniform") -> DataFrame:
 
 
 class KNNCosineClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    """Lazy learner: ``fit`` keeps the (cached) reference rows; ``transform``
+    """Lazy learner: ``fit`` keeps the (checkpointed) reference rows; ``transform``
     runs the exact blocked search. Rows need an ``id`` column."""
 
     k = Param(Params._dummy(), "k", "neighbours", typeConverter=TypeConverters.toInt)
