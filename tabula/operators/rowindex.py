@@ -47,6 +47,8 @@ def _monotone_key(df: DataFrame, c: str | Column) -> Column:
         dtype = df.schema[c].dataType
     if isinstance(dtype, T.NumericType):
         key = expr.cast("double")
+    elif isinstance(dtype, T.BooleanType):
+        key = expr.cast("int").cast("double")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         key = F.unix_micros(expr.cast("timestamp")).cast("double")
     elif isinstance(dtype, (T.StringType, T.BinaryType)):
