@@ -1190,10 +1190,10 @@ def q_stacking_predict(spark, sf):
 @query("compare_ensembles")
 def q_compare_ensembles(spark, sf):
     members = {
-        "LGBMClassifier_top_0": ("LGBMClassifier", {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3}),
-        "RandomForestClassifier_top_0": ("RandomForestClassifier", {"n_estimators": 10, "max_depth": 5}),
+        "LGBMClassifier_top_0": ("LGBMClassifier", {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3}),
+        "RandomForestClassifier_top_0": ("RandomForestClassifier", {"n_estimators": 5, "max_depth": 5}),
     }
-    return ens.compare_ensembles(_labelled_train(spark, sf), members, _JOB_FEATURES, "class", k=3)
+    return ens.compare_ensembles(_labelled_train(spark, sf), members, _JOB_FEATURES, "class", k=2, inner_k=2)
 
 
 # Member configurations of the ensemble jobs (model family + parameters), the

@@ -204,7 +204,7 @@ def hard_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weight
     return vote.vote_hard(preds, weights)
 
 
-def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int = 3) -> DataFrame:
+def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int = 3, inner_k: int = 3) -> DataFrame:
     """CV accuracy of soft voting vs stacking: two rows ``(model, score)``."""
     f = kfold_contiguous(df, k, ["id"]).checkpoint()
     w = {n: 1.0 / len(members) for n in members}
@@ -214,7 +214,7 @@ def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str],
         models = fit_members(tr, members, features, label_col)
         sv = soft_vote_predict(models, te, w).join(te.select("id", label_col), "id")
         soft.append(sv.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
-        st = StackingEnsemble(members, features, label_col, k=3).fit(tr).transform(te)
+        st = StackingEnsemble(members, features, label_col, k=inner_k).fit(tr).transform(te)
         stack.append(st.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
     f.unpersist()
     spark = df.sparkSession
