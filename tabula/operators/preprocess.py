@@ -3,15 +3,15 @@
 ``build_preprocessing`` walks the input schema once and returns a plain
 ``pyspark.ml.Pipeline``:
 
-    [column selection] -> mean Imputer -> population StandardScaler (numeric)
-    -> constant 'dna' imputation (SQLTransformer) -> drop-first one-hot
+    [column selection] -> mean imputation + population scaling (numeric, one
+    fused pass) -> constant 'dna' imputation (SQLTransformer) -> drop-first one-hot
     (StringIndexer alphabetAsc + OneHotEncoder + VectorSlicer) -> VectorAssembler
     -> [classifier]
 
 All statistics are learned by ``fit`` on the rows it is given (the training
 fold) and applied unchanged by ``transform`` (any rows). Every stage is a
-built-in JVM stage except the scaler, whose fitted means / stds are plain
-params (persisted by ``DefaultParamsWriter``).
+built-in JVM stage except the numeric imputer-scaler, whose fitted means /
+stds are plain params (persisted by ``DefaultParamsWriter``).
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
-    Imputer,
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
@@ -94,6 +93,49 @@ class PopulationScalerModel(Model, _ScalerParams, DefaultParamsReadable, Default
         return out
 
 
+class MeanImputeScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
+    """T1 + T3 fused: NULL -> training mean, then ``(x - mean) / std`` with the
+    population std of the IMPUTED column. One aggregate pass gives both: imputed
+    values sit at the mean, so they add nothing to the squared deviations and
+    ``var_imputed = var_pop(non-null) * count(non-null) / count(*)``."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> MeanImputeScalerModel:
+        cols = self.getInputCols()
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, c in enumerate(cols):
+            x = F.col(c).cast("double")
+            aggs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"), F.count(x).alias(f"k{i}")]
+        row = df.agg(*aggs).first()
+        n = row["n"] or 0
+        means, stds = [], []
+        for i in range(len(cols)):
+            m, v, k = row[f"m{i}"], row[f"v{i}"], row[f"k{i}"]
+            means.append(float(m) if m is not None else 0.0)
+            stds.append(float((v * k / n) ** 0.5) if (v is not None and n) else 0.0)
+        model = MeanImputeScalerModel(inputCols=cols, outputCols=self.getOutputCols())
+        return model._set(means=means, stds=stds)
+
+
+class MeanImputeScalerModel(Model, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for c, o, m, s in zip(self.getInputCols(), self.getOutputCols(), self.getOrDefault("means"), self.getOrDefault("stds")):
+            scale = s if s != 0.0 else 1.0
+            x = F.coalesce(F.col(c).cast("double"), F.lit(m))
+            out = out.withColumn(o, (x - F.lit(m)) / F.lit(scale))
+        return out
+
+
 # ------------------------------------------------------------------ T5 one-hot
 class DropFirstOneHot(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """One-hot with the first (alphabetically smallest) category dropped;
@@ -163,8 +205,7 @@ def build_preprocessing(
         keep_strings = False  # Spark ML classifiers read one numeric vector
     stages: list = []
     if num:
-        stages.append(Imputer(strategy="mean", inputCols=num, outputCols=[f"{c}__imp" for c in num]))
-        stages.append(PopulationScaler(inputCols=[f"{c}__imp" for c in num], outputCols=[f"{c}_scaled" for c in num]))
+        stages.append(MeanImputeScaler(inputCols=num, outputCols=[f"{c}_scaled" for c in num]))
     if cat:
         fills = ", ".join(f"coalesce({backtick(c)}, '{MISSING_CATEGORY}') AS {backtick(c + '__str')}" for c in cat)
         stages.append(SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"))
