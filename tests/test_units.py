@@ -185,7 +185,7 @@ def test_knn_equals_brute_force(spark):
 def test_learners_beat_majority_rate(spark):
     from tabula.plans import catalog
 
-    for name in ("gbt_classify", "random_forest"):
+    for name in ("gbt_classify", "random_forest", "linear_svc", "adaboost_samme", "stacking_predict"):
         out = catalog.QUERIES[name](spark, SF_MID)
         acc = out.select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
         major = out.select(F.avg("label")).first()[0]
