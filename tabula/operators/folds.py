@@ -78,11 +78,10 @@ def fold_split_counts(df: DataFrame, fold_col: str = "fold", label_col: str | No
     if label_col is not None:
         aggs.append(F.sum(F.col(label_col).cast("long")).alias("n_pos_test"))
     per_fold = df.groupBy(fold_col).agg(*aggs)
-    total = df.select(F.count(F.lit(1))).scalar()
-    out = per_fold.withColumn("n_train", (total - F.col("n_test")).cast("long"))
+    everything = Window.partitionBy()  # over the k per-fold rows only
+    out = per_fold.withColumn("n_train", (F.sum("n_test").over(everything) - F.col("n_test")).cast("long"))
     if label_col is not None:
-        total_pos = df.select(F.sum(F.col(label_col).cast("long"))).scalar()
-        out = out.withColumn("n_pos_train", (total_pos - F.col("n_pos_test")).cast("long"))
+        out = out.withColumn("n_pos_train", (F.sum("n_pos_test").over(everything) - F.col("n_pos_test")).cast("long"))
     return out
 
 
@@ -94,21 +93,21 @@ def head_fraction(df: DataFrame, fraction: float, order_cols: Sequence[str | Col
     """First ``int(n * fraction)`` rows in ``order_cols`` order (P5)."""
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = F.floor(n * F.lit(fraction)).cast("long")
-    return with_row_index(df, order_cols, "__h").where(F.col("__h") < k).drop("__h")
+    idx = with_row_index(df, order_cols, "__h", total_name="__n")
+    k = F.floor(F.col("__n") * F.lit(fraction)).cast("long")
+    return idx.where(F.col("__h") < k).drop("__h", "__n")
 
 
 def split_halves(df: DataFrame, order_cols: Sequence[str | Column], half_col: str = "half") -> DataFrame:
     """Head and tail ``int(n * 0.5)`` rows (P9); an odd middle row is in neither."""
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = F.col("__n")
     h = F.floor(n * F.lit(0.5)).cast("long")
     idx = F.col("__p")
     return (
-        with_row_index(df, order_cols, "__p")
+        with_row_index(df, order_cols, "__p", total_name="__n")
         .withColumn(half_col, F.when(idx < h, F.lit("head")).when(idx >= n - h, F.lit("tail")))
         .where(F.col(half_col).isNotNull())
-        .drop("__p")
+        .drop("__p", "__n")
     )
 
 
@@ -118,7 +117,7 @@ def sample_exact(df: DataFrame, fraction: float, id_col: str, seed: int = 42) ->
     contiguous folds."""
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = F.bround(n * F.lit(fraction)).cast("long")  # pandas uses Python round()
     keyed = df.withColumn("__sk", hash_order_key(seed, id_col))
-    return with_row_index(keyed, ["__sk", id_col], "sample_order").where(F.col("sample_order") < k).drop("__sk")
+    idx = with_row_index(keyed, ["__sk", id_col], "sample_order", total_name="__n")
+    k = F.bround(F.col("__n") * F.lit(fraction)).cast("long")  # pandas uses Python round()
+    return idx.where(F.col("sample_order") < k).drop("__sk", "__n")

@@ -55,10 +55,14 @@ def oof_mean_threshold(df: DataFrame, x_col: str, fold_col: str = "fold") -> Dat
     """Out-of-fold predictions of a one-parameter rule (V12 on a rule model):
     for fold f the threshold is the mean of ``x_col`` over the other folds,
     obtained from ONE per-fold aggregate by subtraction from the totals."""
+    from pyspark.sql import Window
+
     per = df.groupBy(fold_col).agg(F.sum(x_col).alias("__sx"), F.count(x_col).alias("__nx"))
-    tot_s = df.select(F.sum(x_col)).scalar()
-    tot_n = df.select(F.count(x_col)).scalar()
-    th = per.select(fold_col, ((tot_s - F.col("__sx")) / (tot_n - F.col("__nx"))).alias("threshold"))
+    everything = Window.partitionBy()  # over the k per-fold rows only
+    th = per.select(
+        fold_col,
+        ((F.sum("__sx").over(everything) - F.col("__sx")) / (F.sum("__nx").over(everything) - F.col("__nx"))).alias("threshold"),
+    )
     # one row per fold
     out = df.join(F.broadcast(th), fold_col)
     return out.select(
