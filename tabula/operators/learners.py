@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.plans.search import space_for
+from tabula.session import checkpointed
 
 
 # ------------------------------------------------------------------ L1 ridge
@@ -237,7 +238,7 @@ class AdaBoostSAMME(Estimator, _AdaParams):
             alphas.append(a)
             if err <= 1e-10:
                 break
-            cur = scored.select(fc, lc, (F.col("__w") * F.exp(F.lit(a) * F.col("__miss"))).alias("__w")).checkpoint()
+            cur = checkpointed(scored.select(fc, lc, (F.col("__w") * F.exp(F.lit(a) * F.col("__miss"))).alias("__w")))
         return AdaBoostSAMMEModel(trees, alphas, fc, self.getPredictionCol())
 
 
@@ -337,7 +338,7 @@ class KNNCosineClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionC
 
     def _fit(self, df: DataFrame):
         refs = df.select("id", vector_to_array(F.col(self.getFeaturesCol())).alias("vec"), F.col(self.getLabelCol()).alias("label"))
-        return KNNCosineModel(refs.checkpoint(), self.getOrDefault("k"), self.getOrDefault("weights"), self.getFeaturesCol(), self.getPredictionCol())
+        return KNNCosineModel(checkpointed(refs), self.getOrDefault("k"), self.getOrDefault("weights"), self.getFeaturesCol(), self.getPredictionCol())
 
 
 class KNNCosineModel(Model):

@@ -24,7 +24,7 @@ from tabula.plans import ensemble as ens
 from tabula.plans import fixtures as fx
 from tabula.plans import jobs, search
 from tabula.plans import reports as rep
-from tabula.session import scratch_path
+from tabula.session import checkpointed, scratch_path
 from tabula.sources import csv as csvio
 from tabula.sources import store
 
@@ -60,7 +60,7 @@ def _pred_once(spark: SparkSession, sf: str) -> DataFrame:
     """``pred`` materialised once in the checkpoint folder, for queries that read
     it twice (vote weights, then the votes): one narrow write instead of
     recomputing the fold index over ``orders``."""
-    return fx.pred(spark, sf).checkpoint()
+    return checkpointed(fx.pred(spark, sf))
 
 
 def _models_weights(spark: SparkSession, sf: str, direction: str = "maximize", pred_df: DataFrame | None = None) -> dict[str, float]:
@@ -1208,7 +1208,7 @@ _ENSEMBLE_MEMBERS = {
 def _member_results(spark, sf) -> DataFrame:
     """Search-result rows for the ensemble members: each score is the member's
     3-fold stratified CV accuracy on the cleaned ``train`` table."""
-    t = _labelled_train(spark, sf).checkpoint()
+    t = checkpointed(_labelled_train(spark, sf))
     rows = []
     for name, (model, params) in _ENSEMBLE_MEMBERS.items():
         score = jobs.cv_objective(t, model, [params], _JOB_FEATURES, "class", n_cv=3)[0]

@@ -23,6 +23,7 @@ from tabula.operators import metrics, vote
 from tabula.operators import preprocess as pp
 from tabula.operators.folds import kfold_contiguous, kfold_shuffled
 from tabula.operators.learners import make_learner
+from tabula.session import checkpointed
 
 
 # ---------------------------------------------------------------- rule-model forms
@@ -122,7 +123,7 @@ def score_members(fit_df: DataFrame, apply_df: DataFrame, members: Members, feat
 def fold_predictions(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int, order_cols: Sequence[str]) -> DataFrame:
     """Per fold: fit members on the other folds, predict the fold. Returns the
     checkpointed wide table ``(id, fold, label, m1..mn)``."""
-    f = kfold_contiguous(df, k, order_cols).checkpoint()
+    f = checkpointed(kfold_contiguous(df, k, order_cols))
     parts = []
     for i in range(k):
         tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
@@ -131,7 +132,7 @@ def fold_predictions(df: DataFrame, members: Members, features: Sequence[str], l
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.checkpoint()
+    out = checkpointed(out)
     f.unpersist()
     return out
 
@@ -162,7 +163,7 @@ class StackingEnsemble:
         self.meta_model: PipelineModel | None = None
 
     def oof(self, df: DataFrame) -> DataFrame:
-        f = kfold_shuffled(df, self.k, "id").checkpoint()
+        f = checkpointed(kfold_shuffled(df, self.k, "id"))
         parts = []
         for i in range(self.k):
             models = fit_members(f.where(F.col("fold") != i), self.members, self.features, self.label_col)
@@ -170,7 +171,7 @@ class StackingEnsemble:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.checkpoint()
+        out = checkpointed(out)
         f.unpersist()
         return out
 
@@ -210,7 +211,7 @@ def hard_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weight
 
 def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int = 3, inner_k: int = 3) -> DataFrame:
     """CV accuracy of soft voting vs stacking: two rows ``(model, score)``."""
-    f = kfold_contiguous(df, k, ["id"]).checkpoint()
+    f = checkpointed(kfold_contiguous(df, k, ["id"]))
     w = {n: 1.0 / len(members) for n in members}
     soft, stack = [], []
     for i in range(k):

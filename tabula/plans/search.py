@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.functions.exprs import md5_uniform
+from tabula.session import checkpointed
 
 # The search spaces of the reference workflow, per model family.
 # (kind, low, high[, step]) for numbers, ("cat", choices) for categories;
@@ -197,10 +198,10 @@ def best_chain(
         t = running_records(trials, direction)
     else:
         t = trials.where(F.col("value").isNotNull()).select("study", "number", "value")
-    t = t.checkpoint()
-    frontier = t.select("study").distinct().select(
+    t = checkpointed(t)
+    frontier = checkpointed(t.select("study").distinct().select(
         "study", F.lit(-1).cast("long").alias("__pos"), F.lit(None).cast("double").alias("__best"), F.lit(0).alias("__steps")
-    ).checkpoint()
+    ))
     chains = []
     elem = "struct<number:bigint,value:double>"
     for _ in range(max_rounds):
@@ -222,7 +223,7 @@ def best_chain(
                 F.struct(x["value"].alias("best"), F.concat(acc["chain"], F.array(F.struct(x["number"].alias("number"), x["value"].alias("value")))).alias("chain")),
             ).otherwise(acc)
 
-        folded = grouped.select("study", "__last", "__steps", F.aggregate("__xs", init, step).alias("__f")).checkpoint()
+        folded = checkpointed(grouped.select("study", "__last", "__steps", F.aggregate("__xs", init, step).alias("__f")))
         if folded.isEmpty():
             break
         chains.append(
@@ -230,15 +231,15 @@ def best_chain(
                 "study", (F.col("__steps") + F.col("__i")).alias("step"), F.col("__e.number").alias("number"), F.col("__e.value").alias("value")
             )
         )
-        frontier = folded.select(
+        frontier = checkpointed(folded.select(
             "study", F.col("__last").alias("__pos"), F.col("__f.best").alias("__best"), (F.col("__steps") + F.size("__f.chain")).alias("__steps")
-        ).checkpoint()
+        ))
     if not chains:
         return spark.createDataFrame([], "study string, step int, number bigint, value double")
     out = chains[0]
     for c in chains[1:]:
         out = out.unionByName(c)
-    return out.checkpoint()
+    return checkpointed(out)
 
 
 def patience_state(trials: DataFrame, min_improvement: float, direction: str = "maximize") -> DataFrame:

@@ -53,3 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never a machine-local tmp)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tabula-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df):
+    """``df.checkpoint()`` into the session's checkpoint folder (reliable,
+    eager; cuts lineage). The folder comes from the session's configuration."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
