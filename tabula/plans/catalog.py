@@ -778,8 +778,10 @@ def _sample_trials_oracle() -> str:
 
     parts = []
     for m in _SAMPLE_MODELS:
-        for param, spec in search.SEARCH_SPACES[m].items():
-            u = f"(('0x' || substr(md5(concat_ws('-', '42', study, cast(number as string), '{m}', '{param}')), 1, 8))::bigint / cast(4294967296 as double))"
+        for j, (param, spec) in enumerate(search.SEARCH_SPACES[m].items()):
+            g, slot = divmod(j, search.UNIFORMS_PER_HASH)
+            h = f"md5(concat_ws('-', '42', study, cast(number as string), '{m}', '{g}'))"
+            u = f"(('0x' || substr({h}, {1 + 8 * slot}, 8))::bigint / cast(4294967296 as double))"
             kind = spec[0]
             if kind == "log":
                 val = f"exp({math.log(spec[1])!r} + {u} * {math.log(spec[2] / spec[1])!r})"

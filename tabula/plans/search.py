@@ -126,19 +126,34 @@ def _param_value(u: Column, spec: tuple) -> tuple[Column, Column]:
     return F.lit(None).cast("double"), F.element_at(arr, (F.floor(u * F.lit(len(choices))) + 1).cast("int"))
 
 
+UNIFORMS_PER_HASH = 4  # an md5 has 32 hex digits = four 8-digit uniforms
+
+
+def trial_uniform(hash_col: Column, slot: int) -> Column:
+    """Uniform in [0, 1) from the ``slot``-th 8 hex digits of an md5 column."""
+    return F.conv(F.substring(hash_col, 1 + 8 * slot, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def sample_trials(trial_keys: DataFrame, models: Sequence[str], seed: int = 42) -> DataFrame:
     """H1: parameters for every ``(study, number)`` row of ``trial_keys`` under
-    each model's space: ``(study, number, model, param, value, choice)``."""
-    rows = []
+    each model's space: ``(study, number, model, param, value, choice)``.
+
+    Parameter ``j`` of model ``m`` reads slot ``j % 4`` of
+    ``md5('<seed>-<study>-<number>-<m>-<j // 4>')``."""
+    hashes, parts = {}, []
     for m in models:
-        for param, spec in SEARCH_SPACES[space_for(m)].items():
-            rows.append((m, param, spec))
-    parts = []
-    for m, param, spec in rows:
-        u = md5_uniform(F.lit(str(seed)), F.col("study"), F.col("number").cast("string"), F.lit(m), F.lit(param))
-        val, choice = _param_value(u, spec)
-        parts.append(F.struct(F.lit(m).alias("model"), F.lit(param).alias("param"), val.alias("value"), choice.alias("choice")))
-    return trial_keys.select("study", "number", F.explode(F.array(*parts)).alias("p")).select(
+        for j, (param, spec) in enumerate(SEARCH_SPACES[space_for(m)].items()):
+            key = (m, j // UNIFORMS_PER_HASH)
+            if key not in hashes:
+                hashes[key] = f"__h{len(hashes)}"
+            u = trial_uniform(F.col(hashes[key]), j % UNIFORMS_PER_HASH)
+            val, choice = _param_value(u, spec)
+            parts.append(F.struct(F.lit(m).alias("model"), F.lit(param).alias("param"), val.alias("value"), choice.alias("choice")))
+    hcols = [
+        F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("study"), F.col("number").cast("string"), F.lit(m), F.lit(str(g)))).alias(name)
+        for (m, g), name in hashes.items()
+    ]
+    return trial_keys.select("study", "number", *hcols).select("study", "number", F.explode(F.array(*parts)).alias("p")).select(
         "study", "number", "p.model", "p.param", "p.value", "p.choice"
     )
 
