@@ -182,9 +182,9 @@ def q_kfold_stratified(spark, sf):
 @query(
     "fold_split_counts",
     fx.oracle_ctes("pred")
-    + """select fold, count(*) as n_test, sum(y) as n_pos_test,
+    + """select fold, count(*) as n_test, cast(sum(y) as bigint) as n_pos_test,
                 (select count(*) from pred) - count(*) as n_train,
-                (select sum(y) from pred) - sum(y) as n_pos_train
+                cast((select sum(y) from pred) - sum(y) as bigint) as n_pos_train
          from pred group by fold""",
 )
 def q_fold_split_counts(spark, sf):
@@ -211,7 +211,7 @@ def q_category_counts(spark, sf):
 @query(
     "rare_categories",
     f"""with ev as ({_EV}), c as (select props as value, count(*) as count from ev where props is not null group by props)
-        select 'props' as column, value, count, (select sum(count) from c) as total from c
+        select 'props' as column, value, count, cast((select sum(count) from c) as bigint) as total from c
         where count < cast(0.01 as double) * (select sum(count) from c)""",
 )
 def q_rare_categories(spark, sf):

@@ -18,6 +18,9 @@ def _norm(v):
     return v
 
 
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "FLOAT": "float"}
+
+
 def _digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted(json.dumps([_norm(r[i]) for i in order], default=str) for r in rows)
@@ -32,6 +35,8 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    described = {r[0]: DUCK_TO_SPARK.get(r[1], r[1]) for r in duck.execute("describe " + E.oracle_sql()[name]).fetchall()}
+    assert {f.name: f.dataType.simpleString() for f in df.schema.fields} == described
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
 
