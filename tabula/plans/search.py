@@ -307,7 +307,8 @@ def top_trials(trials: DataFrame, k: int = 3, direction: str = "maximize") -> Da
     order = F.col("value").desc() if direction == "maximize" else F.col("value").asc()
     w = Window.partitionBy("study").orderBy(order, F.col("number").asc())
     done = trials.where((F.col("state") == "COMPLETE") & F.col("value").isNotNull())
-    ranked = done.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    # filter on the raw row_number so Catalyst inserts a partial WindowGroupLimit
+    ranked = done.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).withColumn("rank", F.col("__rn") - 1)
     return ranked.select(
         "study", "number", "value", F.col("rank").cast("int").alias("rank"),
         F.concat(F.col("study"), F.lit("_top_"), F.col("rank").cast("string")).alias("name"),
