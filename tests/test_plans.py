@@ -47,3 +47,20 @@ def test_hard_vote_is_narrow(spark):
     )
     plan = _plan(vote.vote_hard(p, {"a": 0.6, "b": 0.4}))
     assert "Exchange" not in plan
+
+
+def test_knn_merge_limits_groups(spark):
+    from tabula.operators.learners import knn_cosine
+
+    e = fx.table(spark, SF_SMALL, "embeddings")
+    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    r = e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    assert "WindowGroupLimit" in _plan(knn_cosine(q, r, 5))
+
+
+def test_no_query_builds_pairs(spark):
+    import __spark_entry__ as E
+
+    for name in sorted(E.oracle_sql()):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
