@@ -57,7 +57,7 @@ def cv_objective(
     features: Sequence[str],
     label_col: str,
     n_cv: int = 5,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> list[float | None]:
     """Mean stratified K-fold accuracy of the full pipeline for each parameter
     set (leak-free: preprocessing is refitted inside every fold). One
