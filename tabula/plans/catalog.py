@@ -1210,11 +1210,16 @@ _ENSEMBLE_MEMBERS = {
 def _member_results(spark, sf) -> DataFrame:
     """Search-result rows for the ensemble members: each score is the member's
     3-fold stratified CV accuracy on the cleaned ``train`` table."""
+    from concurrent.futures import ThreadPoolExecutor
+
     t = checkpointed(_labelled_train(spark, sf))
-    rows = []
-    for name, (model, params) in _ENSEMBLE_MEMBERS.items():
-        score = jobs.cv_objective(t, model, [params], _JOB_FEATURES, "class", n_cv=3)[0]
-        rows.append((name, float(score), json.dumps(params), model))
+
+    def score(item):
+        name, (model, params) = item
+        return name, float(jobs.cv_objective(t, model, [params], _JOB_FEATURES, "class", n_cv=3)[0]), json.dumps(params), model
+
+    with ThreadPoolExecutor(max_workers=len(_ENSEMBLE_MEMBERS)) as pool:
+        rows = list(pool.map(score, _ENSEMBLE_MEMBERS.items()))
     return spark.createDataFrame(rows, "name string, score double, params string, model string")
 
 

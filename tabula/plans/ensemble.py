@@ -89,8 +89,19 @@ def member_pipeline(schema, model_name: str, params: dict, features: Sequence[st
 
 
 def fit_members(df: DataFrame, members: Members, features: Sequence[str], label_col: str) -> dict[str, PipelineModel]:
-    """Fit every member pipeline on ``df`` (each fit is a distributed job)."""
-    return {name: member_pipeline(df.schema, m, p, features, label_col).fit(df) for name, (m, p) in members.items()}
+    """Fit every member pipeline on ``df``. Each fit is a distributed job;
+    a small driver thread pool submits them concurrently so the cluster runs
+    the members side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    items = list(members.items())
+
+    def fit_one(item):
+        name, (m, p) = item
+        return name, member_pipeline(df.schema, m, p, features, label_col).fit(df)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(len(items), 4))) as pool:
+        return dict(pool.map(fit_one, items))
 
 
 def predict_members(models: Mapping[str, PipelineModel], df: DataFrame, keep: Sequence[str], method: str = "predict") -> DataFrame:
