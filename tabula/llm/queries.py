@@ -5,20 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabula.llm import bottomk
+from tabula.llm import bottomk, langid, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_hypervectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    got = langid.predict(docs, model, keep=["doc_id"])
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.quality_filter(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_hypervectors": op4_language_hypervectors,
     "op7_minhash_bottom_k": op7_minhash_bottom_k,
+    "op9_quality_trees": op9_quality_trees,
 }
 
 ORACLE: dict[str, str] = {}
