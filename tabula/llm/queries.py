@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, langid, quality
+from tabula.llm import bottomk, langid, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op7_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def tokenizer_file() -> str:
+    """The public vocabulary file, on the machine that asks."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file)
+
+
 def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.quality_filter(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
@@ -34,6 +45,7 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_hypervectors": op4_language_hypervectors,
     "op7_minhash_bottom_k": op7_minhash_bottom_k,
+    "op8_harmonic_packing": op8_harmonic_packing,
     "op9_quality_trees": op9_quality_trees,
 }
 
