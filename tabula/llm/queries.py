@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, langid, packing, quality
+from tabula.llm import bottomk, langid, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,26 @@ def op4_language_hypervectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+MIX_TARGETS = {
+    "source": {f"src{k}": 0.1 if k == 0 else 0.045 for k in range(20)},
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15},
+    "topic": {"prose": 0.7, "contact": 0.1, "table": 0.1, "markup": 0.1},
+}
+MIX_SHARE = 0.5
+
+
+def mix_dimensions() -> dict[str, Column]:
+    """The query's source, language and topic of a document; topics by what its text holds."""
+    text = F.col("text")
+    topic = F.when(text.contains(" | "), "table").when(text.rlike("[#*$%&]"), "markup").when(text.rlike("[@0-9]"), "contact").when(text.isNotNull(), "prose")
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
+
+
+def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(_table(spark, sf_dir, "documents"), mix_dimensions(), MIX_TARGETS, MIX_SHARE, keep=["doc_id"])
+    return got.select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.tokens", "mix.probability", "mix.drawn")
+
+
 def op7_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
@@ -44,9 +64,45 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_hypervectors": op4_language_hypervectors,
+    "op5_raked_mixture": op5_raked_mixture,
     "op7_minhash_bottom_k": op7_minhash_bottom_k,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_quality_trees": op9_quality_trees,
 }
 
-ORACLE: dict[str, str] = {}
+
+
+def mix_sql(rounds: int = 60) -> str:
+    """Raking in SQL: a fixed number of rounds, past convergence."""
+    place = lambda d, col: f"CASE WHEN {col} IN ({', '.join(repr(v) for v in MIX_TARGETS[d])}) THEN {col} ELSE '*' END AS {d}"
+    topic = "CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[#*$%&]') THEN 'markup' WHEN regexp_matches(text, '[@0-9]') THEN 'contact' WHEN text IS NOT NULL THEN 'prose' ELSE '*' END AS topic"
+    parts = [
+        f"docs AS (SELECT doc_id, {place('source', 'source')}, {place('lang', 'lang')}, {topic}, "
+        r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens, "
+        "('0x' || md5('mix' || chr(1) || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM documents)",
+        "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL)",
+    ]
+    for d, target in MIX_TARGETS.items():
+        rows = ", ".join(f"({v!r}, {s!r}::DOUBLE)" for v, s in [*target.items(), ("*", max(0.0, 1 - sum(target.values())))])
+        parts.append(f"want_{d} AS (SELECT v, s / sum(s) OVER () AS s FROM (VALUES {rows}) t(v, s) WHERE v IN (SELECT {d} FROM cells GROUP BY 1 HAVING sum(tokens) > 0))")
+    parts.append(
+        "r0 AS (SELECT c.*, c.tokens / sum(c.tokens) OVER () AS w, coalesce(a.s, 0) AS t_source, coalesce(b.s, 0) AS t_lang, coalesce(d.s, 0) AS t_topic FROM cells c "
+        "LEFT JOIN want_source a ON a.v = c.source LEFT JOIN want_lang b ON b.v = c.lang LEFT JOIN want_topic d ON d.v = c.topic)"
+    )
+    last = "r0"
+    for k in range(1, rounds + 1):
+        for d in MIX_TARGETS:
+            parts.append(f"r{k}_{d} AS (SELECT * REPLACE (CASE WHEN w > 0 THEN w * t_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {last})")
+            last = f"r{k}_{d}"
+    parts += [
+        f"ratios AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM {last})",
+        f"steps AS (SELECT *, ({MIX_SHARE} * sum(tokens) OVER () - (sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic) - tokens)) / sum(w) OVER (ORDER BY ratio, source DESC, lang DESC, topic DESC) AS f FROM ratios)",
+        "factor AS (SELECT min_by(f, -ratio) FILTER (WHERE f * ratio <= 1) AS f FROM steps)",
+        "chances AS (SELECT source, lang, topic, round(CASE WHEN ratio > 0 THEN least(1.0, coalesce(factor.f * ratio, 1.0)) ELSE 0 END, 6) AS probability FROM ratios, factor)",
+    ]
+    return "WITH " + ", ".join(parts) + " SELECT doc_id, d.source, d.lang, d.topic, d.tokens, probability, u < probability AS drawn FROM docs d JOIN chances c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic"
+
+
+ORACLE: dict[str, str] = {
+    "op5_raked_mixture": mix_sql(),
+}
