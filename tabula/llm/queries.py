@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, langid, mixing, packing, quality
+from tabula.llm import bottomk, langid, mixing, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PII_KEY = "tabula-surrogates"
+"""The key is a parameter of the operator; a real corpus takes a secret one."""
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op4_language_hypervectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
@@ -63,6 +71,7 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_surrogates": op3_surrogates,
     "op4_language_hypervectors": op4_language_hypervectors,
     "op5_raked_mixture": op5_raked_mixture,
     "op7_minhash_bottom_k": op7_minhash_bottom_k,
