@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, langid, mixing, packing, pii, quality
+from tabula.llm import bottomk, langid, mixing, packing, pii, quality, url_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = {"com/": True, "example.com/en/": False, "www.example.com/en/": True, "net/es/": False, "net/fr/": False}
+
+
+def op1_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+
+
 PII_KEY = "tabula-surrogates"
 """The key is a parameter of the operator; a real corpus takes a secret one."""
 
@@ -71,6 +78,7 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_language_model": op1_url_language_model,
     "op3_surrogates": op3_surrogates,
     "op4_language_hypervectors": op4_language_hypervectors,
     "op5_raked_mixture": op5_raked_mixture,
@@ -80,6 +88,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+_URL_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789^*', 'abcdefghijklmnopqrstuvwxyz000000000~~'), '[^a-z0/.\-_?=&#:%]', '*', 'g') AS symbols
+  FROM pages),
+judged AS (SELECT *, {rule} AS rule FROM parsed),
+known AS (SELECT symbols, rule IN ({allowed}) AS accepted, ('0x' || md5(url)[1:2])::INT % 5 AS part FROM judged WHERE rule IS NOT NULL AND url IS NOT NULL),
+chars AS (SELECT symbols, accepted, unnest(range(3, length(symbols) + 3)) AS k, '^^' || symbols AS s FROM known WHERE part <> 0),
+grams AS (SELECT accepted, s[k - 2] AS a, s[k - 1] AS b, s[k] AS c, count(*) AS n FROM chars GROUP BY ALL),
+symbol AS (SELECT unnest(string_split({symbols}, '')) AS c),
+class AS (SELECT unnest([true, false]) AS accepted),
+n0 AS (SELECT accepted, c, sum(n) AS n FROM grams GROUP BY ALL),
+p0 AS (SELECT class.accepted, symbol.c, (coalesce(n0.n, 0) + 1) / (coalesce((SELECT sum(n) FROM grams g WHERE g.accepted = class.accepted), 0) + {size})::DOUBLE AS p
+       FROM class CROSS JOIN symbol LEFT JOIN n0 ON n0.accepted = class.accepted AND n0.c = symbol.c),
+n1 AS (SELECT accepted, b, c, sum(n) AS n FROM grams GROUP BY ALL),
+m1 AS (SELECT accepted, b, sum(n) AS m, count(*) AS kinds FROM n1 GROUP BY ALL),
+p1 AS (SELECT p0.accepted, s.c AS b, p0.c, CASE WHEN m1.m IS NULL THEN p0.p ELSE (coalesce(n1.n, 0) + m1.kinds * p0.p) / (m1.m + m1.kinds)::DOUBLE END AS p
+       FROM p0 CROSS JOIN symbol s LEFT JOIN m1 ON m1.accepted = p0.accepted AND m1.b = s.c LEFT JOIN n1 ON n1.accepted = p0.accepted AND n1.b = s.c AND n1.c = p0.c),
+m2 AS (SELECT accepted, a, b, sum(n) AS m, count(*) AS kinds FROM grams GROUP BY ALL),
+p2 AS (SELECT p1.accepted, s.c AS a, p1.b, p1.c, CASE WHEN m2.m IS NULL THEN p1.p ELSE (coalesce(g.n, 0) + m2.kinds * p1.p) / (m2.m + m2.kinds)::DOUBLE END AS p
+       FROM p1 CROSS JOIN symbol s LEFT JOIN m2 ON m2.accepted = p1.accepted AND m2.a = s.c AND m2.b = p1.b
+       LEFT JOIN grams g ON g.accepted = p1.accepted AND g.a = s.c AND g.b = p1.b AND g.c = p1.c),
+ratios AS (SELECT x.a, x.b, x.c, ln(x.p / y.p) AS r FROM p2 x JOIN p2 y ON x.accepted AND NOT y.accepted AND x.a = y.a AND x.b = y.b AND x.c = y.c),
+places AS (SELECT symbols, unnest(range(3, length(symbols) + 3)) AS k, '^^' || symbols AS s FROM (SELECT DISTINCT symbols FROM judged)),
+scores AS (SELECT symbols, avg(r) AS score FROM places JOIN ratios ON a = s[k - 2] AND b = s[k - 1] AND c = s[k] GROUP BY ALL),
+bins AS (SELECT least(greatest(floor(score * {steps}), -{most}), {most}) AS step, sum(accepted::INT) AS good, sum((NOT accepted)::INT) AS bad FROM known JOIN scores USING (symbols) WHERE part = 0 GROUP BY ALL),
+cost AS (SELECT step, round((coalesce(sum(good) OVER below, 0) / nullif(sum(good) OVER (), 0)::DOUBLE + 1 - coalesce(sum(bad) OVER below, 0) / nullif(sum(bad) OVER (), 0)::DOUBLE) * 1e9) AS wrong
+         FROM bins WINDOW below AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+least AS (SELECT (SELECT step / {steps} FROM cost WHERE wrong IS NOT NULL ORDER BY wrong, step LIMIT 1) AS t)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({allowed}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN t IS NULL OR coalesce(score, 0) >= t THEN 'allow' ELSE 'block' END AS verdict
+FROM judged LEFT JOIN scores USING (symbols), least
+"""
+
+
+def url_sql() -> str:
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in sorted(URL_RULES, key=len, reverse=True)) + " END"
+    fills = {"rule": rule, "allowed": ", ".join(f"'{r}'" for r, ok in URL_RULES.items() if ok), "symbols": f"'{url_lm.SYMBOLS}'", "size": url_lm.ALPHABET, "steps": f"{url_lm.STEPS}.0::DOUBLE", "most": url_lm.MOST}
+    out = _URL_SQL
+    for k, v in fills.items():
+        out = out.replace("{" + k + "}", str(v))
+    return out
+
 
 def mix_sql(rounds: int = 60) -> str:
     """Raking in SQL: a fixed number of rounds, past convergence."""
@@ -113,5 +165,6 @@ def mix_sql(rounds: int = 60) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op1_url_language_model": url_sql(),
     "op5_raked_mixture": mix_sql(),
 }
