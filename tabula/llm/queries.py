@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, langid, mixing, packing, pii, quality, url_lm
+from tabula.llm import bottomk, langid, mixing, packing, pii, preference, quality, url_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,14 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
 
 
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with a stale last reply."""
+    talks = preference.conversations(_table(spark, sf_dir, "conversations"))
+    got = preference.format_preferences(preference.with_stale_reply(talks))
+    spans = lambda c: F.array_join(F.transform(F.col(c), lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias(c)
+    return got.select("conv_id", "prompt", "prompt_turns", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_language_model": op1_url_language_model,
     "op3_surrogates": op3_surrogates,
@@ -85,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_bottom_k": op7_minhash_bottom_k,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_quality_trees": op9_quality_trees,
+    "op10_preference_format": op10_preference_format,
 }
 
 
@@ -132,6 +141,21 @@ def url_sql() -> str:
         out = out.replace("{" + k + "}", str(v))
     return out
 
+# the pairs of the query differ in their last turn alone, or not at all
+PREFERENCE_SQL = r"""
+WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM rows),
+replies AS (SELECT conv_id, pos, text, lag(text) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM ranked WHERE role = 'assistant'),
+tail_turn AS (SELECT conv_id, pos, text, CASE WHEN n > 1 THEN earlier ELSE regexp_extract(text, '^[^.!?]*[.!?]?', 0) END AS stale FROM replies WHERE back = 1),
+turns AS (SELECT r.conv_id, r.pos, '<|im_start|>' || replace(coalesce(r.role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(r.text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS shown, tail_turn.pos AS tail_turn, tail_turn.text IS NOT DISTINCT FROM tail_turn.stale AS same
+          FROM ranked r LEFT JOIN tail_turn ON r.conv_id = tail_turn.conv_id),
+prompts AS (SELECT conv_id, string_agg(shown, '' ORDER BY pos) FILTER (WHERE tail_turn IS NULL OR pos < tail_turn OR (pos = tail_turn AND same)) AS prompt, count(*) FILTER (WHERE tail_turn IS NULL OR pos < tail_turn OR (pos = tail_turn AND same)) AS prompt_turns FROM turns GROUP BY ALL),
+ends AS (SELECT conv_id, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS good, replace(coalesce(stale, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS bad FROM tail_turn WHERE text IS DISTINCT FROM stale)
+SELECT p.conv_id, coalesce(prompt, '') AS prompt, prompt_turns, coalesce('<|im_start|>assistant' || chr(10) || good, '') AS chosen, coalesce('<|im_start|>assistant' || chr(10) || bad, '') AS rejected,
+       coalesce('22:' || (22 + length(good)), '') AS chosen_mask, coalesce('22:' || (22 + length(bad)), '') AS rejected_mask
+FROM prompts p LEFT JOIN ends USING (conv_id)
+"""
+
 
 def mix_sql(rounds: int = 60) -> str:
     """Raking in SQL: a fixed number of rounds, past convergence."""
@@ -167,4 +191,5 @@ def mix_sql(rounds: int = 60) -> str:
 ORACLE: dict[str, str] = {
     "op1_url_language_model": url_sql(),
     "op5_raked_mixture": mix_sql(),
+    "op10_preference_format": PREFERENCE_SQL,
 }
