@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, langid, mixing, packing, pii, preference, quality, url_lm
+from tabula.llm import bottomk, html_crf, langid, mixing, packing, pii, preference, quality, url_lm
+from tabula.llm.labelled_pages import labelled_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,14 @@ def op1_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
 
 
+LABELLED_SEED = 1
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_crf.train(labelled_pages(html_crf.TRAIN_PAGES, LABELLED_SEED))
+    return html_crf.extract(_table(spark, sf_dir, "pages"), model, keep=["page_id", "url"])
+
+
 PII_KEY = "tabula-surrogates"
 """The key is a parameter of the operator; a real corpus takes a secret one."""
 
@@ -87,6 +96,7 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_language_model": op1_url_language_model,
+    "op2_html_main_text": op2_html_main_text,
     "op3_surrogates": op3_surrogates,
     "op4_language_hypervectors": op4_language_hypervectors,
     "op5_raked_mixture": op5_raked_mixture,
