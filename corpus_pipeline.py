@@ -7,11 +7,20 @@ of ``documents`` with the stage's decisions applied.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabula.llm import bottomk
+from tabula.llm import bottomk, langid, mixing, packing, pii
+from tabula.llm.queries import MIX_SHARE, MIX_TARGETS, PII_KEY, mix_dimensions, tokenizer_file
 from tabula.llm.scratch import stored
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letter) go; the predicted language replaces ``lang``."""
+    model = langid.train(docs)
+    got = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
+    return got.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one of the smallest id."""
     marks = bottomk.near_duplicates(docs)
@@ -19,11 +28,33 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced; ``n_chars`` follows the text."""
+    got = pii.replace_entities(docs, PII_KEY, count_col="__entities")
+    chars = F.when(F.col("__entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return got.withColumn("n_chars", chars).select(docs.columns)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the raked mixture draws."""
+    return mixing.mix(docs, mix_dimensions(), MIX_TARGETS, MIX_SHARE).where("mix.drawn").select(docs.columns)
+
+
+def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
+    return packing.pack_documents(docs, tokenizer_file)
+
+
 STAGES = [
+    ("language_id", language_id),
     ("minhash_near_dedup", minhash_near_dedup),
+    ("surrogates", surrogates),
+    ("source_mixture", source_mixture),
+    ("harmonic_packing", harmonic_packing),
 ]
 
 ORACLE_SQL = None
+"""Hypervectors, sketches and the tokenizer aren't expressible in SQL; tests/llm has a brute-force version."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, html_crf, langid, mixing, packing, pii, preference, quality, url_lm
+from tabula.llm import bottomk, html_crf, langid, mixing, nndescent, packing, pii, preference, quality, url_lm
 from tabula.llm.labelled_pages import labelled_pages
 
 
@@ -66,6 +66,10 @@ def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.tokens", "mix.probability", "mix.drawn")
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_surrogates": op3_surrogates,
     "op4_language_hypervectors": op4_language_hypervectors,
     "op5_raked_mixture": op5_raked_mixture,
+    "op6_nn_descent": op6_nn_descent,
     "op7_minhash_bottom_k": op7_minhash_bottom_k,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_quality_trees": op9_quality_trees,
