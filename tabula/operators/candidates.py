@@ -2,23 +2,20 @@
 
 F1 enumerates feature-set combinations by bitmap (mandatory sets first, then
 optional ones by bit). Instead of launching a full search per combination,
-all combinations are screened in ONE aggregate: a ``CUBE`` over the optional
-columns gives, per grouping set, the class counts of every key; the majority
-class per key yields the training accuracy of the "majority per key" rule for
-that feature subset. ``grouping()`` separates real NULLs from cube totals.
+all combinations are screened in ONE aggregate: a grouping set per subset of the
+columns gives the class counts of every key; the majority class per key yields
+the training accuracy of the "majority per key" rule for that feature subset.
+``grouping_id()`` tells real NULLs from absent columns.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
 
 @dataclass(frozen=True)
 class FeatureSet:
@@ -27,23 +24,20 @@ class FeatureSet:
     is_optional: bool = True
 
 
-@dataclass(frozen=True)
-class FeatureCombination:
-    name: str
-    features: tuple[str, ...] = field(default_factory=tuple)
-
-
-def feature_combinations(sets: Sequence[FeatureSet]) -> list[FeatureCombination]:
-    """All ``2^(#optional)`` combinations in ascending bitmap order; names join
-    the set names with a trailing ``_``."""
-    mandatory = [s for s in sets if not s.is_optional]
-    optional = [s for s in sets if s.is_optional]
-    if len(optional) > 10:
-        log.warning("The number of optional feature sets is high: %d", len(optional))
-    out = []
-    for bitmap in range(2 ** len(optional)):
-        chosen = mandatory + [s for j, s in enumerate(optional) if bitmap & (1 << j)]
-        out.append(FeatureCombination("".join(f"{s.name}_" for s in chosen), tuple(f for s in chosen for f in s.features)))
+def model_candidates(models: Sequence[str], features: Sequence[str] | Sequence[FeatureSet]) -> dict[str, tuple[str, list[str]]]:
+    """``{candidate name: (model, columns)}``: each model with the columns, or with the required
+    feature sets and each subset of the optional ones. A candidate is called after its
+    model and sets, each with an underscore behind."""
+    if not any(isinstance(f, FeatureSet) for f in features):
+        return {f"{m}_": (m, list(features)) for m in models}
+    optional = [f for f in features if f.is_optional]
+    out = {}
+    for model in models:
+        for mask in range(1 << len(optional)):  # bit j as in feature_set_ablation: optional set j
+            taken = [f for f in features if not f.is_optional or mask >> optional.index(f) & 1]
+            columns = list(dict.fromkeys(c for f in taken for c in f.features))
+            if columns:
+                out["_".join([model, *(f.name for f in taken), ""])] = (model, columns)
     return out
 
 
@@ -53,22 +47,16 @@ def feature_set_ablation(df: DataFrame, columns: Sequence[str], label_col: str)
     is ``columns[j]``. Ties between classes go to the smaller label (the
     accuracy does not depend on it)."""
     cols = list(columns)
-    # pre-aggregate once: one row per (key, class) before the cube expands it
+    # one row per key and class first, then one grouping set per subset, each keeping the label
     base = df.groupBy(*cols, label_col).agg(F.count(F.lit(1)).alias("__n"))
-    cube = base.cube(*cols, label_col).agg(F.sum("__n").alias("__n"), F.grouping_id().alias("__gid"))
-    # keep grouping sets where the label is grouped (lowest gid bit = label)
-    cube = cube.where((F.col("__gid") % 2) == 0)
     ncol = len(cols)
-    mask = sum(
-        (F.lit(1 << j) * ((F.col("__gid").bitwiseAND(F.lit(1 << (ncol - j)))) == 0).cast("int")) for j in range(ncol)
-    )
-    names = F.concat_ws(
-        "_",
-        *[F.when((F.col("__gid").bitwiseAND(F.lit(1 << (ncol - j)))) == 0, F.lit(cols[j])) for j in range(ncol)],
-    )
-    keyed = cube.select(*cols, label_col, "__n", mask.alias("mask"), names.alias("features"))
-    w = Window.partitionBy("mask", *cols).orderBy(F.col("__n").desc(), F.col(label_col).asc())
-    top = keyed.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
+    sets = [[c for j, c in enumerate(cols) if mask >> j & 1] + [label_col] for mask in range(1 << ncol)]
+    grouped = base.groupingSets([[F.col(c) for c in g] for g in sets], *cols, label_col).agg(F.sum("__n").alias("__n"), F.grouping_id().alias("__gid"))
+    absent = lambda j: F.col("__gid").bitwiseAND(F.lit(1 << (ncol - j)))
+    mask = sum(F.when(absent(j) == 0, F.lit(1 << j)).otherwise(F.lit(0)) for j in range(ncol))
+    names = F.concat_ws("_", *[F.when(absent(j) == 0, F.lit(cols[j])) for j in range(ncol)])
+    keyed = grouped.select(*cols, "__n", mask.alias("mask"), names.alias("features"))
+    top = keyed.groupBy("mask", "features", *cols).agg(F.max("__n").alias("__n"))
     return top.groupBy("mask", "features").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("__n").alias("__hits"))
 
 

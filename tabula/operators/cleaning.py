@@ -3,8 +3,8 @@
 Rare-category cleaning runs as ONE aggregate for all columns: the table is
 unpivoted to ``(column, value)`` and counted with map-side partial
 aggregation. A kept category needs ``count >= share * total``, so at most
-``1 / share`` values per column survive; that bound makes the kept table safe
-to broadcast into the row-level replacement join, whatever the data size.
+``1 / share`` values per column survive: they go into the row-level replacement
+as literals, whatever the data size.
 """
 
 from __future__ import annotations
@@ -45,6 +45,10 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
+# what pandas takes for a number; a cast alone would also take '1d' and '2f'
+_NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[iI]nf(?:inity)?|[nN]a[nN])\s*$"
+
+
 def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """All-or-nothing numeric coercion per column (P4): a string column becomes
     double only if every non-null value parses; otherwise it is left as is.
@@ -52,9 +56,7 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     cols = list(columns) if columns is not None else string_columns(df)
     if not cols:
         return df
-    checks = [
-        F.bool_and(F.col(c).isNull() | F.expr(f"try_cast(`{c}` as double)").isNotNull()).alias(c) for c in cols
-    ]
+    checks = [F.bool_and(F.col(c).isNull() | F.col(c).rlike(_NUMBER)).alias(c) for c in cols]
     flags = df.agg(*checks).first().asDict()  # one row of booleans, one per column
     out = [
         (F.expr(f"try_cast(`{c}` as double)").alias(c) if (c in cols and flags.get(c)) else F.col(c))
@@ -99,14 +101,13 @@ def fit_category_filter(df: DataFrame, columns: Sequence[str], share: float = RA
 
 
 def apply_category_filter(df: DataFrame, kept: DataFrame, columns: Sequence[str], marker: str = MISSING_CATEGORY) -> DataFrame:
-    """Replace rare and NULL values by ``marker`` (C3) with one broadcast join per
-    column (all joins pipeline in a single stage, no shuffle)."""
-    out = df
-    for i, c in enumerate(columns):
-        k = kept.where(F.col("column") == c).select(F.col("value").alias(f"__kept{i}"))
-        out = out.join(F.broadcast(k), out[c].cast("string") == F.col(f"__kept{i}"), "left")
-        out = out.withColumn(c, F.coalesce(F.col(f"__kept{i}"), F.lit(marker))).drop(f"__kept{i}")
-    return out.select(*df.columns)
+    """Replace rare and NULL values by ``marker`` (C3): a narrow projection.
+    The kept table is computed once; it has at most ``1 / share`` values a column."""
+    values: dict[str, list[str]] = {c: [] for c in columns}
+    for r in kept.where(F.col("column").isin(list(columns))).collect():
+        values[r["column"]].append(r["value"])
+    text = {c: F.col(c).cast("string") for c in columns}
+    return df.select(*[F.when(text[c].isin(values[c]), text[c]).otherwise(F.lit(marker)).alias(c) if c in values else F.col(c) for c in df.columns])
 
 
 def clean_categorical(
@@ -142,7 +143,7 @@ def clean_long(df: DataFrame, id_col: str, columns: Sequence[str], share: float
 def label_targets(df: DataFrame, target: str = "class") -> DataFrame:
     """C5: 'p' -> 1, 'e' -> 0, anything else -> NULL."""
     if target not in df.columns:
-        log.warning("No target column found in the dataset.")
+        log.warning("labels are left as they are: %r is no column", target)
         return df
     return df.withColumn(target, map_values(target, LABEL_TO_INT).cast("int"))
 

@@ -52,7 +52,8 @@ def kfold_stratified(df: DataFrame, k: int, label_col: str, order_cols: Sequence
     Classes are ordered by first appearance; class ``c`` takes positions
     ``[s, s+m)`` of the class-sorted order and fold ``i`` receives as many of
     its rows as there are positions ``p`` in that range with ``p % k == i``,
-    as contiguous blocks of the class's rows in row order.
+    as contiguous blocks of the class's rows in row order. Rows without a label
+    are a class of their own.
     """
     classes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__m"), F.min(F.struct(*order_cols)).alias("__first"))
     # one row per class: a window over this small table is cheap
@@ -68,7 +69,8 @@ def kfold_stratified(df: DataFrame, k: int, label_col: str, order_cols: Sequence
         cum = cum + alloc
         fold = F.when(j < cum, F.lit(i)) if fold is None else fold.when(j < cum, F.lit(i))
     fold = fold.otherwise(F.lit(k - 1))
-    out = ranked.join(classes, label_col, "inner").withColumn(fold_col, fold.cast("int"))
+    classes = classes.withColumnRenamed(label_col, "__class")
+    out = ranked.join(classes, F.col(label_col).eqNullSafe(F.col("__class")), "inner").withColumn(fold_col, fold.cast("int"))
     return out.drop("__j", "__s", "__m").select(*df.columns, fold_col)
 
 

@@ -128,11 +128,45 @@ class RidgeClassifierModel(Model, _RidgeParams, DefaultParamsReadable, DefaultPa
         )
 
 
+# ------------------------------------------------------------------ L6 linear SVC
+class LinearSVCByCost(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """``LinearSVC`` with the usual cost ``C`` per row: ``regParam = 1 / (C * rows)``, the
+    rows being those it is fitted on."""
+
+    C = Param(Params._dummy(), "C", "cost of a margin violation", typeConverter=TypeConverters.toFloat)
+    tol = Param(Params._dummy(), "tol", "tolerance", typeConverter=TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", C=1.0, tol=1e-6):
+        super().__init__()
+        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", C=1.0, tol=1e-6)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame):
+        cost = self.getOrDefault("C") * max(df.count(), 1)
+        svc = LinearSVC(regParam=1.0 / cost, tol=self.getOrDefault("tol"), standardization=False, featuresCol=self.getFeaturesCol(),
+                        labelCol=self.getLabelCol(), predictionCol=self.getPredictionCol())
+        return svc.fit(df)
+
+
 # ------------------------------------------------------------------ L2-L7 profiles
 def _subset_strategy(frac: float | None) -> str:
     if frac is None or frac >= 1.0:
         return "all"
-    return repr(max(min(float(frac), 1.0), 1e-3))
+    return repr(_share("column share", frac))
+
+
+def _share(name: str, value: object) -> float:
+    v = float(value)
+    if not 0.0 < v <= 1.0:
+        raise ValueError(f"{name} must lie in (0, 1], not {v}")
+    return v
+
+
+def _tree_depth(value: object) -> int:
+    if int(value) > 30:
+        raise ValueError(f"trees are at most 30 deep, not {value}")
+    return int(value)
 
 
 def make_learner(model_name: str, params: Mapping[str, object] | None = None, seed: int = 42,
@@ -144,12 +178,13 @@ def make_learner(model_name: str, params: Mapping[str, object] | None = None, se
     if kind == "ridge":
         return RidgeClassifier(alpha=float(p.get("alpha", 1.0)), tol=float(p.get("tol", 1e-4)), **common)
     if kind == "randomforest":
-        mf = p.get("max_features", None)
+        mf = p.get("max_features", "sqrt")
         return RandomForestClassifier(
             numTrees=int(p.get("n_estimators", 100)),
-            maxDepth=min(int(p.get("max_depth", 5)), 30),
-            minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-            featureSubsetStrategy={None: "all", "None": "all", "sqrt": "sqrt", "log2": "log2"}.get(mf, "auto"),
+            maxDepth=_tree_depth(p.get("max_depth", 5)),
+            # a node of two children of the least leaf size has at least twice that many rows
+            minInstancesPerNode=max(int(p.get("min_samples_leaf", 1)), -(-int(p.get("min_samples_split", 2)) // 2)),
+            featureSubsetStrategy={None: "all", "None": "all"}.get(mf, mf),
             seed=seed,
             **common,
         )
@@ -157,9 +192,7 @@ def make_learner(model_name: str, params: Mapping[str, object] | None = None, se
         kernel = p.get("kernel", "linear")
         if kernel != "linear":
             raise NotImplementedError(f"kernel {kernel!r}: only the linear kernel has a distributed solver")
-        c = float(p.get("C", 1.0))
-        n = float(p.get("n_rows", 1.0))
-        return LinearSVC(regParam=1.0 / (c * n), tol=float(p.get("tol", 1e-6)), standardization=False, **common)
+        return LinearSVCByCost(C=float(p.get("C", 1.0)), tol=float(p.get("tol", 1e-6)), **common)
     if kind == "kneighbors":
         return KNNCosineClassifier(k=int(p.get("n_neighbors", 5)), weights=str(p.get("weights", "uniform")), **common)
     if kind == "adaboost":
@@ -175,11 +208,12 @@ def make_learner(model_name: str, params: Mapping[str, object] | None = None, se
         bins = 32
     return GBTClassifier(
         maxIter=int(iters),
-        maxDepth=min(int(depth), 30),
-        stepSize=min(float(p.get("learning_rate", 0.1)), 1.0),
-        subsamplingRate=min(max(float(p.get("subsample", 1.0)), 1e-3), 1.0),
+        maxDepth=_tree_depth(depth),
+        stepSize=_share("learning_rate", p.get("learning_rate", 0.1)),
+        subsamplingRate=_share("subsample", p.get("subsample", 1.0)),
         featureSubsetStrategy=_subset_strategy(float(frac) if frac is not None else None),
-        minInstancesPerNode=max(int(float(p.get("min_child_weight", 1.0))), 1),
+        # a child's weight is a sum of hessians, at most 1/4 a row here: so many rows it has at least
+        minInstancesPerNode=max(1, math.ceil(float(p.get("min_child_weight", 0.0)))),
         minInfoGain=float(p.get("gamma", 0.0)) if kind == "xgb" else 0.0,
         maxBins=max(bins, 2),
         seed=seed,
@@ -231,6 +265,8 @@ class AdaBoostSAMME(Estimator, _AdaParams):
             scored = tree.transform(cur).withColumn("__miss", (F.col("prediction") != F.col(lc)).cast("double"))
             err = scored.select((F.sum(F.col("__w") * F.col("__miss")) / F.sum("__w")).alias("e")).first()["e"]
             if err is None or err >= 0.5:
+                if not trees:
+                    raise ValueError(f"the first tree is no better than chance (weighted error {err})")
                 break
             err = max(err, 1e-10)
             a = samme_alpha(err, lr)

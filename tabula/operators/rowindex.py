@@ -4,11 +4,12 @@
 task. Instead:
 
 1. the leading order column is mapped to a number by a MONOTONE function
-   (numbers as doubles, timestamps as microseconds, strings by their first UTF-8
-   bytes) and cut into ``n`` buckets at approximate quantiles (one
-   ``percentile_approx`` aggregate; only the ``n - 1`` cut points reach the
-   driver). Because the mapping is monotone, ``(bucket, order_cols)`` sorts
-   exactly like ``order_cols``;
+   (numbers as doubles, timestamps as microseconds) and cut into ``n`` buckets
+   at approximate quantiles (one ``percentile_approx`` aggregate; only the
+   ``n - 1`` cut points reach the driver). Text keys are cut at values of the key
+   itself, taken from the ``SAMPLE_KEYS`` keys that come first by their hash; the
+   sample bears on the balance of the buckets only. Either way
+   ``(bucket, order_cols)`` sorts exactly like ``order_cols``;
 2. one aggregate counts rows per (group, bucket); prefix sums over that small
    table give each bucket's offset (AQE broadcasts it when small);
 3. rows are hash-partitioned on (group, bucket) and numbered with
@@ -51,15 +52,33 @@ def _monotone_key(df: DataFrame, c: str | Column) -> Column:
         key = expr.cast("int").cast("double")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         key = F.unix_micros(expr.cast("timestamp")).cast("double")
-    elif isinstance(dtype, (T.StringType, T.BinaryType)):
-        raw = F.encode(expr, "UTF-8") if isinstance(dtype, T.StringType) else expr
-        # first 6 bytes as a big-endian number (shorter values padded with 0x00)
-        key = F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
     else:
         raise TypeError(f"unsupported leading order type {dtype.simpleString()}")
     return F.coalesce(key, F.lit(_LOWEST))
 
 
+SAMPLE_KEYS = 10_000
+
+
+def _text_bucket(df: DataFrame, c: str | Column, n: int) -> Column | None:
+    """Bucket of a text or binary key: how many cut points it reaches. None for other types."""
+    expr = c if isinstance(c, Column) else F.col(c)
+    dtype = df.select(expr.alias("k")).schema["k"].dataType
+    if not isinstance(dtype, (T.StringType, T.BinaryType)):
+        return None
+    keys = df.select(expr.alias("k")).where(F.col("k").isNotNull()).distinct()
+    keys = sorted(bytes(r.k) if isinstance(dtype, T.BinaryType) else r.k for r in keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLE_KEYS).collect())
+    cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+
+    def search(lo: int, hi: int) -> Column:  # cuts[:lo] are reached, cuts[hi:] aren't
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(expr >= F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return F.when(expr.isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
+
+
 def with_row_index(
     df: DataFrame,
     order_cols: Sequence[str | Column],
@@ -73,15 +92,19 @@ def with_row_index(
     (of the group), taken from the same per-bucket counts (no extra scan)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn(_KEY, _monotone_key(df, order_cols[0]))
-    probs = [i / n for i in range(1, n)]
-    cuts: list[float] = []
-    if probs:
-        got = keyed.select(F.percentile_approx(_KEY, probs, 10_000).alias("q")).first()["q"] or []
-        cuts = sorted({float(v) for v in got if v is not None and v > _LOWEST})
-    splits = [float("-inf"), *cuts, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep").transform(keyed)
-    bucketed = bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_KEY)
+    text = _text_bucket(df, order_cols[0], n)
+    if text is not None:
+        bucketed = df.withColumn(_BUCKET, text)
+    else:
+        keyed = df.withColumn(_KEY, _monotone_key(df, order_cols[0]))
+        probs = [i / n for i in range(1, n)]
+        cuts: list[float] = []
+        if probs:
+            got = keyed.select(F.percentile_approx(_KEY, probs, 10_000).alias("q")).first()["q"] or []
+            cuts = sorted({float(v) for v in got if v is not None and v > _LOWEST})
+        splits = [float("-inf"), *cuts, float("inf")]
+        bucketed = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep").transform(keyed)
+        bucketed = bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_KEY)
 
     counts = bucketed.groupBy(*group_cols, _BUCKET).agg(F.count(F.lit(1)).alias(_CNT))
     w_off = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)

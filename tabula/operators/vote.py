@@ -17,7 +17,26 @@ from pyspark.sql import functions as F
 
 from tabula.functions.exprs import struct_min_label
 
-MAX_SUBSET_MODELS = 15
+# subsets are numbered by a 64-bit bitmap
+BITMAP_MODELS = 62
+
+LOW_BITS = 10
+
+
+def with_bitmaps(df: DataFrame, n: int) -> DataFrame:
+    """Each row with every bitmap ``1 .. 2^n - 1``. Rows are first spread by the
+    high bits, so no task expands more than ``2^LOW_BITS`` subsets of a row at once."""
+    if n > BITMAP_MODELS:
+        raise ValueError(f"a bitmap holds {BITMAP_MODELS} models, not {n}")
+    high = max(0, n - LOW_BITS)
+    low = F.sequence(F.lit(0).cast("long"), F.lit(2 ** (n - high) - 1).cast("long"))
+    spread = df
+    if high:
+        tops = F.sequence(F.lit(0).cast("long"), F.lit(2**high - 1).cast("long"))
+        spread = df.withColumn("__high", F.explode(tops)).repartition("__high")
+    bitmap = (F.col("__high") if high else F.lit(0).cast("long")) * F.lit(2 ** (n - high)) + F.col("__low")
+    out = spread.withColumn("__low", F.explode(low)).withColumn("bitmap", bitmap).where("bitmap > 0")
+    return out.drop("__high", "__low")
 
 
 def has_bit(bitmap: Column, j: Column) -> Column:
@@ -138,8 +157,8 @@ def align_predictions(frames: Mapping[str, DataFrame], id_col: str = "id", value
 def ensemble_subsets(models: DataFrame, n: int, name_col: str = "name", pos_col: str = "position", sep: str = "-") -> DataFrame:
     """V8: every non-empty subset by bitmap ``1 .. 2^n - 1``; bit ``j`` selects
     the model at position ``j``. Rows ``(bitmap, combination, member, weight...)``."""
-    if n > MAX_SUBSET_MODELS:
-        raise ValueError(f"at most {MAX_SUBSET_MODELS} models")
+    if n > BITMAP_MODELS:
+        raise ValueError(f"a bitmap holds {BITMAP_MODELS} models, not {n}")
     spark = models.sparkSession
     bitmaps = spark.range(1, 2**n).withColumnRenamed("id", "bitmap")
     members = bitmaps.select(
@@ -181,17 +200,13 @@ def subset_scores(
     ``models`` on every fold: ``(combination, fold, score)``.
 
     One scan groups rows into prediction patterns; subsets are expanded on the
-    pattern table with ``explode(sequence(1, 2^n-1))`` (no join)."""
+    pattern table, spread over all tasks (no join)."""
     n = len(models)
-    if n > MAX_SUBSET_MODELS:
-        raise ValueError(f"at most {MAX_SUBSET_MODELS} models")
     patterns = df.groupBy(fold_col, label_col, *models).agg(F.count(F.lit(1)).alias("__cnt"))
     preds = F.array(*[F.col(m) for m in models])
     wts = F.array(*[F.lit(float(w)) for w in weights])
     names = F.array(*[F.lit(m) for m in models])
-    expanded = patterns.select(
-        fold_col, label_col, "__cnt", preds.alias("__p"), F.explode(F.sequence(F.lit(1), F.lit(2**n - 1))).alias("bitmap")
-    )
+    expanded = with_bitmaps(patterns.select(fold_col, label_col, "__cnt", preds.alias("__p")), n)
     voted = expanded.withColumn("__v", subset_vote_expr(F.col("bitmap"), F.col("__p"), wts, n))
     per = voted.groupBy("bitmap", fold_col).agg(
         (F.sum(F.when(F.col("__v") == F.col(label_col), F.col("__cnt")).otherwise(0)).cast("double") / F.sum("__cnt")).alias("score")

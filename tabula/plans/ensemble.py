@@ -27,14 +27,16 @@ from tabula.session import checkpointed
 
 
 # ---------------------------------------------------------------- rule-model forms
-def optimize_ensemble_rules(df: DataFrame, models: Sequence[str], weights: Sequence[float], label_col: str, fold_col: str = "fold") -> DataFrame:
+def optimize_ensemble_rules(df: DataFrame, models: Sequence[str], weights: Sequence[float], label_col: str, fold_col: str = "fold",
+                            extra: Sequence[str] = ()) -> DataFrame:
     """V10 on precomputed per-fold predictions: mean accuracy of every subset
-    and a flag for the best (max mean, ties -> first name)."""
+    and a flag for the best (max mean, ties -> first name). ``extra=["bitmap"]`` adds
+    the subset itself: its names alone may be ambiguous."""
     s = vote.subset_scores(df, models, weights, label_col, fold_col)
-    ms = metrics.mean_score_by_combination(s).select("combination", F.round("score", 12).alias("score"))
+    ms = s.groupBy("bitmap", "combination").agg(F.round(F.avg("score"), 12).alias("score"))
     best = ms.orderBy(F.col("score").desc(), F.col("combination").asc()).limit(1).select(F.col("combination").alias("__best"))
     return ms.join(best, F.col("combination") == F.col("__best"), "left").select(
-        "combination", "score", F.col("__best").isNotNull().alias("is_best")
+        "combination", "score", F.col("__best").isNotNull().alias("is_best"), *extra
     )
 
 
@@ -80,7 +82,6 @@ def weights_by_name(weights: DataFrame, names: Sequence[str]) -> Mapping[str, fl
 
 
 Members = Mapping[str, tuple[str, dict]]
-NO_PROBA = ("ridge", "svc")
 
 
 def member_pipeline(schema, model_name: str, params: dict, features: Sequence[str], label_col: str) -> Pipeline:
@@ -112,9 +113,9 @@ def predict_members(models: Mapping[str, PipelineModel], df: DataFrame, keep: Se
     out = df.select(*keep, *[c for c in df.columns if c not in keep])
     cols = list(keep)
     for name, model in models.items():
-        if method == "predict_proba" and any(k in name.lower() for k in NO_PROBA):
-            raise ValueError(f"{name} has no predict_proba")
         scored = model.transform(out)
+        if method == "predict_proba" and "probability" not in scored.columns:
+            raise ValueError(f"{name} gives no probabilities")
         if method == "predict":
             val = F.col("prediction").cast("int")
         else:
@@ -149,10 +150,10 @@ def fold_predictions(df: DataFrame, members: Members, features: Sequence[str], l
 
 
 def optimize_ensemble(df: DataFrame, members: Members, weights: Sequence[float], features: Sequence[str], label_col: str,
-                      k: int = 5, order_cols: Sequence[str] = ("id",)) -> DataFrame:
+                      k: int = 5, order_cols: Sequence[str] = ("id",), extra: Sequence[str] = ()) -> DataFrame:
     """fit/predict once per fold, then score all subsets from the pattern table."""
     preds = fold_predictions(df, members, features, label_col, k, order_cols)
-    return optimize_ensemble_rules(preds, list(members), weights, label_col)
+    return optimize_ensemble_rules(preds, list(members), weights, label_col, extra=extra)
 
 
 def test_ensemble(df: DataFrame, members: Members, weights: Sequence[float], features: Sequence[str], label_col: str,

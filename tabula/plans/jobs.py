@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabula.operators import cleaning, learners, metrics, vote
+from tabula.operators.candidates import FeatureSet, model_candidates, pending_candidates
 from tabula.operators import preprocess as pp
 from tabula.operators.folds import head_fraction, kfold_stratified, sample_exact
 from tabula.plans import ensemble as ens
@@ -108,11 +109,14 @@ def search_study(
     min_improvement: float = 0.001,
     seed: int = 42,
     direction: str = "maximize",
+    run: str = "",
 ) -> DataFrame:
-    """Up to ``n_trials`` further trials in batches, resuming a stored study;
-    stops early after ``patience`` trials without a qualifying improvement.
-    Returns the study's top-3 rows."""
-    existing = store.read_trials(spark, trials_root).where(F.col("study") == candidate)
+    """Up to ``n_trials`` further trials in batches, resuming the study of ``run``;
+    stops after ``patience`` trials without a qualifying improvement: what a
+    batch holds beyond that trial isn't recorded. Returns the study's top-3 rows."""
+    if direction not in ("maximize", "minimize"):
+        raise ValueError(f"unknown direction {direction!r}")
+    existing = store.read_trials(spark, trials_root, run).where(F.col("study") == candidate)
     state = search.patience_state(existing, min_improvement, direction).first() if not existing.isEmpty() else None
     best = state["best_value"] if state else None
     count = int(state["no_improvement_count"]) if state else 0
@@ -124,17 +128,20 @@ def search_study(
         sampled = search.sample_trials(keys, [model_name], seed=seed).collect()  # size x params rows
         params = _trial_params(sampled)
         scores = cv_objective(df, model_name, params, features, label_col, n_cv)
-        rows = [(candidate, start + i, s, "COMPLETE" if s is not None else "FAIL", json.dumps(params[i])) for i, s in enumerate(scores)]
-        batch_df = spark.createDataFrame(rows, "study string, seq long, value double, state string, params string")
-        store.append_trials(spark, trials_root, batch_df)
-        for s in scores:  # the early-stopping callback, trial by trial (bounded by the batch)
-            if best is None or (s is not None and s > best * (1.0 + min_improvement)):
+        rows = []
+        for i, s in enumerate(scores):  # the early-stopping callback, trial by trial (bounded by the batch)
+            rows.append((candidate, start + i, s, "COMPLETE" if s is not None else "FAIL", json.dumps(params[i])))
+            if search.improves(s, best, min_improvement, direction):
                 best, count = s, 0
             else:
                 count += 1
+            if count >= patience:
+                break
+        batch_df = spark.createDataFrame(rows, "study string, seq long, value double, state string, params string")
+        store.append_trials(spark, trials_root, batch_df, run=run)
         start += size
         done += size
-    trials = store.read_trials(spark, trials_root).where(F.col("study") == candidate)
+    trials = store.read_trials(spark, trials_root, run).where(F.col("study") == candidate)
     top = search.top_trials(trials, 3, direction).join(trials.select("number", "params"), "number")
     n = trials.count()
     return top.select(
@@ -154,7 +161,7 @@ def search_job(
     spark: SparkSession,
     train: DataFrame,
     models: Sequence[str],
-    features: Sequence[str],
+    features: Sequence[str] | Sequence[FeatureSet],
     results_root: str,
     trials_root: str,
     limit_data_percentage: float = 0.15,
@@ -164,21 +171,26 @@ def search_job(
     patience: int = 20,
     min_improvement: float = 0.001,
     run: str | None = None,
+    direction: str = "maximize",
 ) -> DataFrame:
     """Load -> first rows -> clean + label -> candidates -> skip finished ->
-    search each pending candidate -> save top results."""
+    search each pending candidate -> save top results.
+
+    ``features`` is one list of columns, or feature sets: then every model is
+    searched with every combination of the optional sets (F1)."""
     run = run or run_id()
     data = head_fraction(train, limit_data_percentage, ["id"])
     data = cleaning.engineer_features(data).withColumn("class", F.col("class").cast("double")).persist()
-    cands = spark.createDataFrame([(f"{m}_",) for m in models], "name string")
+    cands = model_candidates(models, features)
+    names = spark.createDataFrame([(c,) for c in cands], "name string")
     done = store.load_run_results(spark, results_root, run)
-    from tabula.operators.candidates import pending_candidates
-
-    pending = [r["name"] for r in pending_candidates(cands, done).collect()]
+    pending = {r["name"] for r in pending_candidates(names, done).collect()}  # at most the candidates
     meta = json.dumps({"limit_data_percentage": limit_data_percentage})
-    for cand in pending:
-        model_name = cand.rstrip("_")
-        top = search_study(spark, data, cand, model_name, features, "class", trials_root, n_trials, batch, n_cv, patience, min_improvement)
+    for cand, (model_name, columns) in cands.items():
+        if cand not in pending:
+            continue
+        top = search_study(spark, data, cand, model_name, columns, "class", trials_root, n_trials, batch, n_cv, patience, min_improvement,
+                           direction=direction, run=run)
         store.save_results(top.withColumn("metadata", F.lit(meta)), results_root, run)
     data.unpersist()
     return store.load_run_results(spark, results_root, run)
@@ -218,28 +230,32 @@ def ensemble_job(
     optimize: bool = True,
     test: bool = False,
     seed: int = 42,
+    direction: str = "maximize",
+    run: str | None = None,
 ) -> DataFrame:
     """Selected results -> sample -> weights -> clean -> optimise (all
-    subsets) or test -> scores CSV -> final members -> saved ensemble."""
-    sel = results.join(spark.createDataFrame([(s,) for s in selection], "name string"), "name", "left_semi")
-    w_df = vote.ensemble_weights(sel).select("name", "model", "params", "weight")
+    subsets) or test -> scores CSV -> final members -> saved ensemble. The scores
+    of each run have a folder of their own."""
+    run = run or run_id()
+    w_df = vote.ensemble_weights(store.select_results(results, selection), direction).select("name", "model", "params", "weight")
     cfg = w_df.collect()  # one row per member
     members = {r["name"]: (r["model"], json.loads(r["params"]) if r["params"] else {}) for r in cfg}
     weights = {r["name"]: float(r["weight"]) for r in cfg}
     sample = sample_exact(train, sample_fraction, "id", seed=seed)
-    data = cleaning.engineer_features(sample.drop("sample_order").join(sample.select("id", "sample_order"), "id"))
+    data = cleaning.engineer_features(sample)  # sample_order is a number: it isn't cleaned
     data = data.withColumn("class", F.col("class").cast("double")).persist()
     names = list(members)
     if optimize:
-        scores = ens.optimize_ensemble(data, members, [weights[n] for n in names], features, "class", n_cv, ["sample_order", "id"])
-        best = scores.where("is_best").first()["combination"].split("-")
+        scores = ens.optimize_ensemble(data, members, [weights[n] for n in names], features, "class", n_cv, ["sample_order", "id"], extra=["bitmap"])
+        bitmap = scores.where("is_best").first()["bitmap"]
+        best = [n for j, n in enumerate(names) if bitmap >> j & 1]
     elif test:
         scores = ens.test_ensemble(data, members, [weights[n] for n in names], features, "class", n_cv, ["sample_order", "id"])
         best = names
     else:
         scores = spark.createDataFrame([], "combination string, score double")
         best = names
-    csvio.write_csv(scores.select("combination", "score"), f"{out_dir}/ensemble_results")
+    csvio.write_csv(scores.select("combination", "score"), f"{out_dir}/ensemble_results_{run}")
     final = {n: members[n] for n in names if n in best}
     total = sum(weights[n] for n in final)
     final_w = {n: weights[n] / total for n in final}  # restricted and renormalised

@@ -50,7 +50,8 @@ SEARCH_SPACES: dict[str, dict[str, tuple]] = {
     },
     "svc": {
         "C": ("log", 1e-3, 10.0),
-        "kernel": ("cat", ("linear", "poly", "rbf", "sigmoid")),
+        # of the kernels, only the linear one has a distributed solver
+        "kernel": ("cat", ("linear",)),
         "gamma": ("cat", ("scale", "auto")),
         "tol": ("log", 1e-5, 1e-1),
     },
@@ -164,6 +165,13 @@ def _improves(value: Column, best: Column, min_improvement: float, direction: st
     return value < best * F.lit(1.0 - min_improvement)
 
 
+def improves(value: float | None, best: float | None, min_improvement: float, direction: str = "maximize") -> bool:
+    """Whether a finished trial's value is a new best; a failed trial never is."""
+    if value is None or best is None:
+        return value is not None
+    return value > best * (1.0 + min_improvement) if direction == "maximize" else value < best * (1.0 - min_improvement)
+
+
 RECORD_BUCKET_ROWS = 1_000_000
 
 
@@ -195,7 +203,7 @@ CHAIN_BATCH = 20_000
 
 
 def best_chain(
-    trials: DataFrame, min_improvement: float, direction: str = "maximize", batch: int = CHAIN_BATCH, max_rounds: int = 1_000_000
+    trials: DataFrame, min_improvement: float, direction: str = "maximize", batch: int = CHAIN_BATCH
 ) -> DataFrame:
     """All "new best" trials per study, in order: ``(study, step, number, value)``.
 
@@ -219,7 +227,7 @@ def best_chain(
     ))
     chains = []
     elem = "struct<number:bigint,value:double>"
-    for _ in range(max_rounds):
+    while True:
         cand = t.join(frontier, "study").where(F.col("number") > F.col("__pos"))
         w = Window.partitionBy("study").orderBy("number")
         cand = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= batch)

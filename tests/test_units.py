@@ -8,11 +8,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabula.operators import cleaning, folds, learners, metrics, vote
+from tabula.operators import candidates, cleaning, folds, learners, metrics, vote
 from tabula.operators import preprocess as pp
 from tabula.operators.rowindex import with_row_index
 from tabula.plans import fixtures as fx
 from tabula.plans import search
+from tabula.session import scratch_path
+from tabula.sources import csv as csvio
+from tabula.sources import store
 from tests.conftest import SF_MID, SF_SMALL
 
 
@@ -251,3 +254,101 @@ def test_running_records_equal_sequential(spark):
                 exp.add((study, n))
                 best = v
     assert got == exp
+
+
+# ------------------------------------------------------------ nothing is lost silently
+def test_rows_without_a_label_keep_a_fold(spark):
+    df = spark.range(100).select(F.col("id"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("y"))
+    out = folds.kfold_stratified(df, 4, "y", ["id"]).toPandas()
+    assert len(out) == 100 and out.groupby("fold").size().tolist() == [25] * 4
+    assert out[out.y.isna()].groupby("fold").size().tolist() == [5] * 4
+
+
+def test_text_keys_with_a_common_prefix_spread(spark):
+    from tabula.operators import rowindex
+
+    df = spark.range(3000).select(F.concat(F.lit("conversation-0000000000"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("k"))
+    assert df.select(rowindex._text_bucket(df, "k", 8).alias("b")).distinct().count() == 8
+    out = with_row_index(df.unionByName(spark.createDataFrame([(None,)], "k string")), ["k"], "rn").orderBy("rn").toPandas()
+    assert out.rn.tolist() == list(range(3001)) and out.k[0] is None and out.k[1:].tolist() == sorted(out.k[1:])
+
+
+def test_subsets_of_sixteen_models(spark):
+    names = [f"m{j}" for j in range(16)]
+    df = spark.createDataFrame([(0, 1, *[j % 2 for j in range(16)])], ["fold", "y", *names])
+    out = vote.subset_scores(df, names, [1.0] * 16, "y")
+    assert out.select("bitmap").distinct().count() == 2**16 - 1
+    best = {r.bitmap: r.score for r in out.where("bitmap in (2, 1, 65535, 10)").collect()}
+    assert best == {2: 1.0, 1: 0.0, 65535: 0.0, 10: 1.0}
+    with pytest.raises(ValueError):
+        vote.with_bitmaps(df, 63)
+
+
+def test_patience_chain_has_no_round_limit(spark):
+    trials = spark.range(40).select(F.lit("s").alias("study"), F.col("id").alias("number"), F.col("id").cast("double").alias("value"))
+    assert search.best_chain(trials.where("number > 0"), 0.0, batch=2).count() == 39
+
+
+def test_missing_selection_raises(spark):
+    results = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "name string, score double")
+    assert store.select_results(results, ["a", "a"]).count() == 1
+    with pytest.raises(ValueError, match="zz"):
+        store.select_results(results, ["a", "zz"])
+
+
+def test_runs_have_trials_of_their_own(spark):
+    root = scratch_path(spark, "trials")
+    batch = spark.createDataFrame([("s", 0, 0.5, "COMPLETE"), ("s", 1, 0.6, "COMPLETE")], "study string, seq long, value double, state string")
+    store.append_trials(spark, root, batch, run="one")
+    store.append_trials(spark, root, batch, run="two")
+    store.append_trials(spark, root, batch, run="one")
+    numbers = lambda run: sorted(r.number for r in store.read_trials(spark, root, run).collect())
+    assert numbers("one") == [0, 1, 2, 3] and numbers("two") == [0, 1] and len(numbers(None)) == 6
+
+
+def test_csv_dialect_round_trip(spark, tmp_path):
+    import pandas as pd
+
+    rows = [(1, 'a "q", b'), (2, "line\nbreak"), (3, "back\\slash"), (4, None), (5, " padded ")]
+    path = scratch_path(spark, "dialect")
+    csvio.write_csv(spark.createDataFrame(rows, "id long, s string").coalesce(1), path)
+    assert sorted(tuple(r) for r in csvio.read_csv_table(spark, path, "id long, s string").collect()) == rows
+    part = next(p for p in __import__("glob").glob(path.replace("file:", "") + "/part-*"))
+    assert pd.read_csv(part).s.tolist()[:3] == [r[1] for r in rows[:3]]
+    pd.DataFrame({"x": ["1.5", "NA", "2.5"], "t": ['say "hi", you', "two\nlines", "1d"]}).to_csv(tmp_path / "p.csv", index=False)
+    got = csvio.read_csv_table(spark, f"file://{tmp_path}/p.csv")
+    assert dict(got.dtypes) == {"x": "double", "t": "string"} and got.count() == 3
+
+
+def test_only_numbers_are_coerced(spark):
+    df = spark.createDataFrame([("1d", "1"), ("2f", " 2.5e3"), ("3", None)], "a string, b string")
+    assert dict(cleaning.coerce_numeric(df).dtypes) == {"a": "string", "b": "double"}
+
+
+def test_models_by_feature_sets():
+    sets = [candidates.FeatureSet("base", ("a", "b"), is_optional=False), candidates.FeatureSet("x", ("c",)), candidates.FeatureSet("y", ("b", "d"))]
+    got = candidates.model_candidates(["M"], sets)
+    assert got == {"M_base_": ("M", ["a", "b"]), "M_base_x_": ("M", ["a", "b", "c"]), "M_base_y_": ("M", ["a", "b", "d"]), "M_base_x_y_": ("M", ["a", "b", "c", "d"])}
+    assert candidates.model_candidates(["M", "N"], ["a"]) == {"M_": ("M", ["a"]), "N_": ("N", ["a"])}
+
+
+def test_improvement_by_direction():
+    assert search.improves(0.5, None, 0.1) and not search.improves(None, 0.1, 0.1)
+    assert search.improves(0.52, 0.5, 0.01) and not search.improves(0.502, 0.5, 0.01)
+    assert search.improves(0.4, 0.5, 0.01, "minimize") and not search.improves(0.52, 0.5, 0.01, "minimize")
+
+
+def test_parameters_out_of_range_raise():
+    for name, params in (("XGBClassifier", {"max_depth": 40}), ("XGBClassifier", {"learning_rate": 2.0}), ("RandomForestClassifier", {"max_depth": 31}), ("SVC", {"kernel": "rbf"})):
+        with pytest.raises((ValueError, NotImplementedError)):
+            learners.make_learner(name, params)
+
+
+def test_svc_cost_counts_the_rows_it_is_fitted_on(spark):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([x / 10, (x * 7 % 10) / 10]), float(x > 20)) for x in range(40)], ["features", "label"])
+    ours = learners.make_learner("SVC", {"C": 2.0}).fit(df)
+    plain = LinearSVC(regParam=1 / 80, standardization=False).fit(df)
+    assert ours.coefficients.toArray().tolist() == plain.coefficients.toArray().tolist()
