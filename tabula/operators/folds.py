@@ -7,37 +7,26 @@ a single-partition window or a driver-side loop over rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.functions.exprs import hash_order_key
-from tabula.operators.rowindex import with_row_index
+from tabula.operators.rowindex import reached, with_row_index
 
 # Fixed value: seed of the shuffled K-fold used for stacking.
 STACKING_FOLD_SEED = 1000000007
 
 
-def _ntile_fold(idx: Column, n: Column, k: int) -> Column:
-    """0-based ``ntile(k)`` bucket of 0-based position ``idx`` among ``n`` rows:
-    the first ``n % k`` buckets hold one extra row."""
-    q = F.floor(n / F.lit(k)).cast("long")
-    r = (n - q * F.lit(k)).cast("long")
-    big = q + F.lit(1)
-    return (
-        F.when(idx < r * big, F.floor(idx / big))
-        .otherwise(r + F.floor((idx - r * big) / F.greatest(q, F.lit(1))))
-        .cast("int")
-    )
-
-
-def kfold_contiguous(df: DataFrame, k: int, order_cols: Sequence[str | Column], fold_col: str = "fold") -> DataFrame:
+def kfold_contiguous(df: DataFrame, k: int, order_cols: Sequence[str], fold_col: str = "fold") -> DataFrame:
     """Unshuffled K-fold: contiguous blocks in ``order_cols`` order."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    idx = with_row_index(df, order_cols, name="__fold_idx", total_name="__fold_n")
-    return idx.withColumn(fold_col, _ntile_fold(F.col("__fold_idx"), F.col("__fold_n"), k)).drop("__fold_idx", "__fold_n")
+    # the first n % k folds hold one extra row
+    _, behind = reached(df, order_cols, lambda n: [i * (n // k) + min(i, n % k) for i in range(1, k)])
+    return df.withColumn(fold_col, sum((b.cast("int") for b in behind), F.lit(0)))
 
 
 def kfold_shuffled(df: DataFrame, k: int, id_col: str, seed: int = STACKING_FOLD_SEED, fold_col: str = "fold") -> DataFrame:
@@ -91,26 +80,19 @@ def train_test_for_fold(df: DataFrame, fold: int, fold_col: str = "fold") -> tup
     return df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)
 
 
-def head_fraction(df: DataFrame, fraction: float, order_cols: Sequence[str | Column]) -> DataFrame:
+def head_fraction(df: DataFrame, fraction: float, order_cols: Sequence[str]) -> DataFrame:
     """First ``int(n * fraction)`` rows in ``order_cols`` order (P5)."""
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
-    idx = with_row_index(df, order_cols, "__h", total_name="__n")
-    k = F.floor(F.col("__n") * F.lit(fraction)).cast("long")
-    return idx.where(F.col("__h") < k).drop("__h", "__n")
+    _, (behind,) = reached(df, order_cols, lambda n: [math.floor(n * fraction)])
+    return df.where(~behind)
 
 
-def split_halves(df: DataFrame, order_cols: Sequence[str | Column], half_col: str = "half") -> DataFrame:
+def split_halves(df: DataFrame, order_cols: Sequence[str], half_col: str = "half") -> DataFrame:
     """Head and tail ``int(n * 0.5)`` rows (P9); an odd middle row is in neither."""
-    n = F.col("__n")
-    h = F.floor(n * F.lit(0.5)).cast("long")
-    idx = F.col("__p")
-    return (
-        with_row_index(df, order_cols, "__p", total_name="__n")
-        .withColumn(half_col, F.when(idx < h, F.lit("head")).when(idx >= n - h, F.lit("tail")))
-        .where(F.col(half_col).isNotNull())
-        .drop("__p", "__n")
-    )
+    _, (past_head, in_tail) = reached(df, order_cols, lambda n: [n // 2, n - n // 2])
+    half = F.when(~past_head, F.lit("head")).when(in_tail, F.lit("tail"))
+    return df.withColumn(half_col, half).where(F.col(half_col).isNotNull())
 
 
 def sample_exact(df: DataFrame, fraction: float, id_col: str, seed: int = 42) -> DataFrame:
@@ -120,6 +102,5 @@ def sample_exact(df: DataFrame, fraction: float, id_col: str, seed: int = 42) ->
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
     keyed = df.withColumn("__sk", hash_order_key(seed, id_col))
-    idx = with_row_index(keyed, ["__sk", id_col], "sample_order", total_name="__n")
-    k = F.bround(F.col("__n") * F.lit(fraction)).cast("long")  # pandas uses Python round()
-    return idx.where(F.col("sample_order") < k).drop("__sk", "__n")
+    _, (behind,) = reached(keyed, ["__sk", id_col], lambda n: [round(n * fraction)])
+    return with_row_index(keyed.where(~behind), ["__sk", id_col], "sample_order").drop("__sk")

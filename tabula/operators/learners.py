@@ -43,10 +43,13 @@ from tabula.session import checkpointed
 
 
 # ------------------------------------------------------------------ L1 ridge
+MERGE_GROUPS = 64
+
+
 def gram_matrix(df: DataFrame, features_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, int]:
     """``(A, b, n)`` with ``A = [X 1]^T [X 1]``, ``b = [X 1]^T y`` from one
     distributed pass: each partition packs its partial ``A`` and ``b`` into ONE
-    vector, and ``Summarizer.sum`` adds them with partial aggregation, so the
+    vector, and ``Summarizer.sum`` adds them in two levels, so the
     shuffle carries one row per partition and only ``(d+1)^2 + (d+1)`` numbers
     reach the driver."""
     from pyspark.ml.functions import array_to_vector
@@ -67,7 +70,9 @@ def gram_matrix(df: DataFrame, features_col: str, label_col: str) -> tuple[np.nd
             yield pd.DataFrame({"v": [acc.tolist()]})
 
     packed = x.mapInPandas(partial, "v array<double>").select(array_to_vector("v").alias("v"))
-    total = np.asarray(packed.select(Summarizer.sum(F.col("v")).alias("s")).first()["s"].toArray())
+    # partials are added in groups first: no task takes one vector from every partition
+    groups = packed.withColumn("g", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(MERGE_GROUPS))).groupBy("g").agg(Summarizer.sum(F.col("v")).alias("v"))
+    total = np.asarray(groups.agg(Summarizer.sum(F.col("v")).alias("s")).first()["s"].toArray())
     m = int(round((-1 + math.sqrt(1 + 4 * len(total))) / 2))  # len = m^2 + m
     a = total[: m * m].reshape(m, m)
     b = total[m * m :]
@@ -101,11 +106,20 @@ class RidgeClassifier(Estimator, _RidgeParams, DefaultParamsReadable, DefaultPar
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> RidgeClassifierModel:
-        signed = df.select(self.getFeaturesCol(), (F.col(self.getLabelCol()) * 2 - 1).alias("__y"))
-        a, b, _ = gram_matrix(signed, self.getFeaturesCol(), "__y")
-        w, c = ridge_solve(a, b, self.getOrDefault("alpha"))
-        m = RidgeClassifierModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol())
-        return m._set(coefficients=[float(v) for v in w], intercept=c, alpha=self.getOrDefault("alpha"))
+        return fit_ridges([self], df)[0]
+
+
+def fit_ridges(estimators: Sequence[RidgeClassifier], df: DataFrame) -> list[RidgeClassifierModel]:
+    """Ridge classifiers that differ in ``alpha`` only, all from one pass over the data."""
+    first = estimators[0]
+    signed = df.select(first.getFeaturesCol(), (F.col(first.getLabelCol()) * 2 - 1).alias("__y"))
+    a, b, _ = gram_matrix(signed, first.getFeaturesCol(), "__y")
+    out = []
+    for est in estimators:
+        w, c = ridge_solve(a, b, est.getOrDefault("alpha"))
+        m = RidgeClassifierModel(featuresCol=est.getFeaturesCol(), predictionCol=est.getPredictionCol())
+        out.append(m._set(coefficients=[float(v) for v in w], intercept=c, alpha=est.getOrDefault("alpha")))
+    return out
 
 
 class RidgeClassifierModel(Model, _RidgeParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -295,6 +309,7 @@ class AdaBoostSAMMEModel(Model):
 
 # ------------------------------------------------------------------ L8 k-NN
 KNN_BLOCK_ROWS = 20_000
+KNN_TILE_ROWS = 256
 
 
 def knn_cosine(
@@ -330,18 +345,22 @@ def knn_cosine(
         rm = np.vstack(rpdf["rv"].to_numpy())
         qn = np.linalg.norm(qm, axis=1)
         rn = np.linalg.norm(rm, axis=1)
-        sims = (qm @ rm.T) / np.outer(qn, rn)
         rid = rpdf["rid"].to_numpy()
         kk = min(k, len(rid))
-        # rows ordered by (-sim, rid): exact tie semantics, vectorised per block
-        order = np.lexsort((np.broadcast_to(rid, sims.shape), -sims), axis=-1)[:, :kk]
-        rows = np.arange(sims.shape[0])[:, None]
-        return pd.DataFrame({
-            "qid": np.repeat(qpdf["qid"].to_numpy(), kk),
-            "rid": rid[order].ravel(),
-            "sim": sims[rows, order].ravel(),
-            "label": rpdf["rlabel"].to_numpy()[order].ravel(),
-        })
+        rows, cols, vals = [], [], []
+        for lo in range(0, len(qm), KNN_TILE_ROWS):  # a tile of the product at a time
+            sims = (qm[lo : lo + KNN_TILE_ROWS] @ rm.T) / np.outer(qn[lo : lo + KNN_TILE_ROWS], rn)
+            sims = np.where(np.isnan(sims), -np.inf, sims)  # a zero vector is near nothing
+            least = np.partition(sims, len(rid) - kk, axis=1)[:, len(rid) - kk]
+            r, c = np.nonzero(sims >= least[:, None])  # the k nearest and whatever ties with the last
+            order = np.lexsort((rid[c], -sims[r, c], r))
+            r, c = r[order], c[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < kk
+            rows.append(r[first] + lo)
+            cols.append(c[first])
+            vals.append(sims[r[first], c[first]])
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[r], "rid": rid[c], "sim": np.concatenate(vals), "label": rpdf["rlabel"].to_numpy()[c]})
 
     cand = q.groupBy("__qb", "__rb").cogroup(r.groupBy("__qb", "__rb")).applyInPandas(
         block_topk, f"qid long, rid long, sim double, label {label_type}"

@@ -26,7 +26,7 @@ sharing one mapped value share one bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -79,6 +79,62 @@ def _text_bucket(df: DataFrame, c: str | Column, n: int) -> Column | None:
     return F.when(expr.isNull(), F.lit(-1)).otherwise(search(0, len(cuts)))
 
 
+def _bucketed(df: DataFrame, order_cols: Sequence[str | Column], n: int) -> DataFrame:
+    """``df`` with the bucket of its leading order column: rows of a lower bucket come first."""
+    text = _text_bucket(df, order_cols[0], n)
+    if text is not None:
+        return df.withColumn(_BUCKET, text)
+    keyed = df.withColumn(_KEY, _monotone_key(df, order_cols[0]))
+    probs = [i / n for i in range(1, n)]
+    cuts: list[float] = []
+    if probs:
+        got = keyed.select(F.percentile_approx(_KEY, probs, 10_000).alias("q")).first()["q"] or []
+        cuts = sorted({float(v) for v in got if v is not None and v > _LOWEST})
+    splits = [float("-inf"), *cuts, float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep").transform(keyed)
+    return bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_KEY)
+
+
+def reached(
+    df: DataFrame, order_cols: Sequence[str], positions: Callable[[int], list[int]], num_partitions: int | None = None
+) -> tuple[int, list[Column]]:
+    """The row count, and for each 0-based position (a function of the count) whether a row
+    stands at it or behind it in ``order_cols`` order.
+
+    Only the buckets that hold one of the positions are ranked; the keys found there (one for
+    each position) become literals, so the result is a narrow projection. The order
+    columns must be a total order of numbers, booleans or texts."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = _bucketed(df, order_cols, n).select(*order_cols, _BUCKET)
+    counts = {r[_BUCKET]: r[_CNT] for r in bucketed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias(_CNT)).collect()}  # at most n + 1 buckets
+    total = sum(counts.values())
+    wanted, places = positions(total), {}
+    before = 0
+    for bucket in sorted(counts):
+        for p in wanted:
+            if before <= p < before + counts[bucket]:
+                places[p] = (bucket, p - before + 1)
+        before += counts[bucket]
+    keys = {}
+    if places:
+        ranked = bucketed.where(F.col(_BUCKET).isin(sorted({b for b, _ in places.values()})))
+        ranked = ranked.withColumn(_RN, F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*order_cols)))
+        at = F.struct(F.col(_BUCKET).cast("int"), F.col(_RN).cast("int"))
+        hits = ranked.where(at.isin([F.struct(F.lit(b).cast("int"), F.lit(r).cast("int")) for b, r in sorted(set(places.values()))]))
+        keys = {(r[_BUCKET], r[_RN]): r for r in hits.collect()}
+    types = {c: df.schema[c].dataType for c in order_cols}
+    out = []
+    for p in wanted:
+        if p <= 0:
+            out.append(F.lit(True))
+        elif p >= total:
+            out.append(F.lit(False))
+        else:
+            key = keys[places[p]]
+            out.append(F.struct(*[F.col(c) for c in order_cols]) >= F.struct(*[F.lit(key[c]).cast(types[c]).alias(c) for c in order_cols]))
+    return total, out
+
+
 def with_row_index(
     df: DataFrame,
     order_cols: Sequence[str | Column],
@@ -90,22 +146,8 @@ def with_row_index(
     """Add a 0-based ``name`` = position of the row in ``order_cols`` order
     (within ``group_cols`` if given); ``total_name`` also adds the row count
     (of the group), taken from the same per-bucket counts (no extra scan)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = _text_bucket(df, order_cols[0], n)
-    if text is not None:
-        bucketed = df.withColumn(_BUCKET, text)
-    else:
-        keyed = df.withColumn(_KEY, _monotone_key(df, order_cols[0]))
-        probs = [i / n for i in range(1, n)]
-        cuts: list[float] = []
-        if probs:
-            got = keyed.select(F.percentile_approx(_KEY, probs, 10_000).alias("q")).first()["q"] or []
-            cuts = sorted({float(v) for v in got if v is not None and v > _LOWEST})
-        splits = [float("-inf"), *cuts, float("inf")]
-        bucketed = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep").transform(keyed)
-        bucketed = bucketed.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).drop(_KEY)
-
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = _bucketed(df, order_cols, n)
     counts = bucketed.groupBy(*group_cols, _BUCKET).agg(F.count(F.lit(1)).alias(_CNT))
     w_off = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w_off), F.lit(0)).cast("long"))

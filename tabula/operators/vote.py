@@ -47,8 +47,8 @@ def has_bit(bitmap: Column, j: Column) -> Column:
 # --------------------------------------------------------------------- V1
 def ensemble_weights(results: DataFrame, direction: str = "maximize", score_col: str = "score") -> DataFrame:
     """Weights from scores: maximize ``s/sum``, minimize ``1 - s/sum``, equal ``1/n``."""
-    total = results.select(F.sum(score_col)).scalar()
-    n = results.select(F.count(F.lit(1))).scalar()
+    both = results.agg(F.sum(score_col).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    total, n = F.lit(both["total"]), F.lit(both["n"])
     if direction == "maximize":
         w = F.col(score_col) / total
     elif direction == "minimize":

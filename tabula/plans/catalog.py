@@ -1176,8 +1176,7 @@ def q_search_job(spark, sf):
 @query("stacking_fit")
 def q_stacking_fit(spark, sf):
     t = folds.kfold_contiguous(_labelled_train(spark, sf), K_FOLDS, ["id"])
-    st = ens.StackingEnsemble(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).fit(t.where("fold <> 0").drop("fold"))
-    return st.oof(t.where("fold <> 0").drop("fold"))
+    return ens.StackingEnsemble(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).fit(t.where("fold <> 0").drop("fold")).oof_predictions
 
 
 @query("stacking_predict")

@@ -81,7 +81,8 @@ def weights_by_name(weights: DataFrame, names: Sequence[str]) -> Mapping[str, fl
 # ---------------------------------------------------------------- fitted members
 
 
-Members = Mapping[str, tuple[str, dict]]
+# (model, parameters), or (model, parameters, columns) for a member with columns of its own
+Members = Mapping[str, tuple]
 
 
 def member_pipeline(schema, model_name: str, params: dict, features: Sequence[str], label_col: str) -> Pipeline:
@@ -89,6 +90,10 @@ def member_pipeline(schema, model_name: str, params: dict, features: Sequence[st
     return pp.build_preprocessing(schema, features_in=features, model=est, model_name=model_name)
 
 
+def member_features(member: tuple, features: Sequence[str]) -> list[str]:
+    return list(member[2]) if len(member) > 2 and member[2] else list(features)
+
+
 def fit_members(df: DataFrame, members: Members, features: Sequence[str], label_col: str) -> dict[str, PipelineModel]:
     """Fit every member pipeline on ``df``. Each fit is a distributed job;
     a small driver thread pool submits them concurrently so the cluster runs
@@ -98,8 +103,8 @@ def fit_members(df: DataFrame, members: Members, features: Sequence[str], label_
     items = list(members.items())
 
     def fit_one(item):
-        name, (m, p) = item
-        return name, member_pipeline(df.schema, m, p, features, label_col).fit(df)
+        name, member = item
+        return name, member_pipeline(df.schema, member[0], member[1], member_features(member, features), label_col).fit(df)
 
     with ThreadPoolExecutor(max_workers=max(1, min(len(items), 4))) as pool:
         return dict(pool.map(fit_one, items))
@@ -144,9 +149,7 @@ def fold_predictions(df: DataFrame, members: Members, features: Sequence[str], l
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = checkpointed(out)
-    f.unpersist()
-    return out
+    return checkpointed(out)
 
 
 def optimize_ensemble(df: DataFrame, members: Members, weights: Sequence[float], features: Sequence[str], label_col: str,
@@ -173,6 +176,7 @@ class StackingEnsemble:
         self.meta = meta
         self.member_models: dict[str, PipelineModel] = {}
         self.meta_model: PipelineModel | None = None
+        self.oof_predictions: DataFrame | None = None
 
     def oof(self, df: DataFrame) -> DataFrame:
         f = checkpointed(kfold_shuffled(df, self.k, "id"))
@@ -183,19 +187,19 @@ class StackingEnsemble:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = checkpointed(out)
-        f.unpersist()
-        return out
+        return checkpointed(out)
 
     def _meta_pipeline(self, schema) -> Pipeline:
         meta = self.meta or LogisticRegression(labelCol=self.label_col, maxIter=50)
         meta.setLabelCol(self.label_col)
-        stack_feats = self.features + [f"m_{n}" for n in self.members]
+        own = [c for m in self.members.values() for c in member_features(m, self.features)]
+        stack_feats = [*dict.fromkeys([*self.features, *own]), *(f"m_{n}" for n in self.members)]
         return pp.build_preprocessing(schema, features_in=stack_feats, model=meta, model_name="stacking-meta")
 
     def fit(self, df: DataFrame) -> StackingEnsemble:
         df = df.persist()
-        oof = self.oof(df).select("id", *[F.col(n).cast("double").alias(f"m_{n}") for n in self.members])
+        self.oof_predictions = self.oof(df)
+        oof = self.oof_predictions.select("id", *[F.col(n).cast("double").alias(f"m_{n}") for n in self.members])
         meta_in = df.join(oof, "id").persist()
         self.meta_model = self._meta_pipeline(meta_in.schema).fit(meta_in)
         self.member_models = fit_members(df, self.members, self.features, self.label_col)
@@ -233,6 +237,5 @@ def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str],
         soft.append(sv.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
         st = StackingEnsemble(members, features, label_col, k=inner_k).fit(tr).transform(te)
         stack.append(st.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
-    f.unpersist()
     spark = df.sparkSession
     return spark.createDataFrame([("soft_voting", float(np.mean(soft))), ("stacking", float(np.mean(stack)))], "model string, score double")

@@ -11,11 +11,10 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml import Estimator, Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,36 +60,45 @@ def cv_objective(
     parallelism: int = 4,
 ) -> list[float | None]:
     """Mean stratified K-fold accuracy of the full pipeline for each parameter
-    set (leak-free: preprocessing is refitted inside every fold). One
-    ``CrossValidator`` evaluates all trials; trials whose parameters have no
-    distributed counterpart come back as ``None`` (failed)."""
-    folded = kfold_stratified(df, n_cv, label_col, ["id"]).persist()
-    base = learners.make_learner(model_name, {}, label_col=label_col)
-    pipe = pp.build_preprocessing(folded.schema, features_in=features, model=base, model_name=model_name)
-    maps, idx = [], []
+    set. Preprocessing doesn't depend on the parameters: it is fitted once per
+    fold, on the other folds (leak-free), and the encoded fold is cached while
+    the learners run side by side. All ridge parameter sets are solved from one
+    Gram matrix per fold. Trials whose parameters have no distributed
+    counterpart come back as ``None`` (failed)."""
+    ests: list[Estimator | None] = []
     for i, t in enumerate(trials):
         try:
-            est = learners.make_learner(model_name, dict(t), label_col=label_col)
-        except NotImplementedError as e:
+            ests.append(learners.make_learner(model_name, dict(t), label_col=label_col))
+        except (NotImplementedError, ValueError) as e:
             log.warning("trial %d fails: %s", i, e)
-            continue
-        maps.append({base.getParam(p.name): v for p, v in est.extractParamMap().items() if base.hasParam(p.name) and est.isSet(p)})
-        idx.append(i)
-    scores: list[float | None] = [None] * len(trials)
-    if maps:
-        cv = CrossValidator(
-            estimator=pipe,
-            estimatorParamMaps=maps,
-            evaluator=MulticlassClassificationEvaluator(labelCol=label_col, metricName="accuracy"),
-            foldCol="fold",
-            numFolds=n_cv,
-            parallelism=parallelism,
-        )
-        model = cv.fit(folded)
-        for i, s in zip(idx, model.avgMetrics):
-            scores[i] = float(s)
+            ests.append(None)
+    todo = [i for i, e in enumerate(ests) if e is not None]
+    folded = kfold_stratified(df, n_cv, label_col, ["id"]).persist()
+    total = dict.fromkeys(todo, 0.0)
+    for fold in range(n_cv) if todo else ():
+        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        prep = pp.build_preprocessing(folded.schema, features_in=features).fit(train)
+        enc, held = (prep.transform(d).select("id", label_col, "features").persist() for d in (train, test))
+        for i, score in zip(todo, _fold_accuracies([ests[i] for i in todo], enc, held, label_col, parallelism), strict=True):
+            total[i] += score / n_cv
+        enc.unpersist()
+        held.unpersist()
     folded.unpersist()
-    return scores
+    return [total.get(i) for i in range(len(trials))]
+
+
+def _fold_accuracies(ests: Sequence[Estimator], train: DataFrame, test: DataFrame, label_col: str, parallelism: int) -> list[float]:
+    """Accuracy on ``test`` of each estimator fitted on ``train`` (both encoded)."""
+    if all(isinstance(e, learners.RidgeClassifier) for e in ests):
+        hits = [((m.decision(F.col("features")) > 0).cast("int") == F.col(label_col)).cast("double") for m in learners.fit_ridges(ests, train)]
+        return list(test.agg(*[F.avg(h).alias(f"s{i}") for i, h in enumerate(hits)]).first())
+
+    def one(est: Estimator) -> float:
+        scored = est.fit(train).transform(test)
+        return scored.agg(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0]
+
+    with ThreadPoolExecutor(max_workers=max(1, min(len(ests), parallelism))) as pool:
+        return list(pool.map(one, ests))
 
 
 # ---------------------------------------------------------------- H3 study
@@ -197,27 +205,39 @@ def search_job(
 
 
 # ---------------------------------------------------------------- V17 / V18 / S11
-def save_ensemble(spark: SparkSession, path: str, members: ens.Members, weights: Mapping[str, float], features: Sequence[str], schema) -> str:
-    """Members are saved UNFITTED (pipeline + parameters); prediction
-    refits them on all training rows."""
-    rows = [(n, m, json.dumps(p), float(weights[n]), json.dumps(list(features))) for n, (m, p) in members.items()]
-    spark.createDataFrame(rows, "name string, model string, params string, weight double, features string").coalesce(1).write.mode(
+METHODS = ("hard", "soft", "stacking")
+
+
+def save_ensemble(spark: SparkSession, path: str, members: ens.Members, weights: Mapping[str, float], features: Sequence[str], schema,
+                  method: str = "hard") -> str:
+    """Members are saved UNFITTED (pipeline + parameters, each with its
+    columns); prediction refits them on all training rows. ``method`` is how
+    they decide together: hard or soft vote, or stacking."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
+    rows = [(n, m[0], json.dumps(m[1]), float(weights[n]), json.dumps(ens.member_features(m, features)), method) for n, m in members.items()]
+    spark.createDataFrame(rows, "name string, model string, params string, weight double, features string, method string").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/config")
-    for n, (m, p) in members.items():
-        ens.member_pipeline(schema, m, p, features, "class").write().overwrite().save(f"{path}/members/{n}")
+    for n, m in members.items():
+        ens.member_pipeline(schema, m[0], m[1], ens.member_features(m, features), "class").write().overwrite().save(f"{path}/members/{n}")
     return path
 
 
 def load_ensemble(spark: SparkSession, path: str) -> tuple[dict, dict, list[str], dict[str, Pipeline]]:
+    """(members, weights, all members' columns, unfitted pipelines)."""
     cfg = spark.read.parquet(f"{path}/config").collect()  # one row per member
-    members = {r["name"]: (r["model"], json.loads(r["params"])) for r in cfg}
+    members = {r["name"]: (r["model"], json.loads(r["params"]), json.loads(r["features"])) for r in cfg}
     weights = {r["name"]: r["weight"] for r in cfg}
-    features = json.loads(cfg[0]["features"]) if cfg else []
+    features = list(dict.fromkeys(c for m in members.values() for c in m[2]))
     pipes = {r["name"]: Pipeline.load(f"{path}/members/{r['name']}") for r in cfg}
     return members, weights, features, pipes
 
 
+def ensemble_method(spark: SparkSession, path: str) -> str:
+    return spark.read.parquet(f"{path}/config").first()["method"]
+
+
 def ensemble_job(
     spark: SparkSession,
     train: DataFrame,
@@ -232,14 +252,18 @@ def ensemble_job(
     seed: int = 42,
     direction: str = "maximize",
     run: str | None = None,
+    method: str = "hard",
 ) -> DataFrame:
     """Selected results -> sample -> weights -> clean -> optimise (all
     subsets) or test -> scores CSV -> final members -> saved ensemble. The scores
-    of each run have a folder of their own."""
+    of each run have a folder of their own. A result that names its features
+    gives a member with these columns; ``method`` is saved for prediction."""
     run = run or run_id()
-    w_df = vote.ensemble_weights(store.select_results(results, selection), direction).select("name", "model", "params", "weight")
+    w_df = vote.ensemble_weights(store.select_results(results, selection), direction)
+    stored_features = F.col("features") if "features" in w_df.columns else F.lit(None).cast("string")
+    w_df = w_df.select("name", "model", "params", "weight", stored_features.alias("features"))
     cfg = w_df.collect()  # one row per member
-    members = {r["name"]: (r["model"], json.loads(r["params"]) if r["params"] else {}) for r in cfg}
+    members = {r["name"]: (r["model"], json.loads(r["params"]) if r["params"] else {}, json.loads(r["features"] or "[]")) for r in cfg}
     weights = {r["name"]: float(r["weight"]) for r in cfg}
     sample = sample_exact(train, sample_fraction, "id", seed=seed)
     data = cleaning.engineer_features(sample)  # sample_order is a number: it isn't cleaned
@@ -259,7 +283,7 @@ def ensemble_job(
     final = {n: members[n] for n in names if n in best}
     total = sum(weights[n] for n in final)
     final_w = {n: weights[n] / total for n in final}  # restricted and renormalised
-    save_ensemble(spark, f"{out_dir}/ensemble", final, final_w, features, data.schema)
+    save_ensemble(spark, f"{out_dir}/ensemble", final, final_w, features, data.schema, method)
     data.unpersist()
     return scores
 
@@ -267,15 +291,21 @@ def ensemble_job(
 def predict_job(spark: SparkSession, train: DataFrame, test: DataFrame, ensemble_dir: str, out_path: str) -> DataFrame:
     """Load the ensemble, clean both tables with TRAIN statistics, refit
     members on all train rows, vote, decode labels, write ``id,class`` CSV."""
-    members, weights, features, pipes = load_ensemble(spark, ensemble_dir)
+    members, weights, features, _ = load_ensemble(spark, ensemble_dir)
     cats = cleaning.string_columns(train, exclude=("class",))
     kept = cleaning.fit_category_filter(train, cats)
     tr = cleaning.label_targets(cleaning.clean_categorical(train, cats, fitted=kept)).withColumn("class", F.col("class").cast("double"))
     te = cleaning.clean_categorical(test, cats, fitted=kept)
-    models = {n: p.fit(tr) for n, p in pipes.items()}
-    voted = ens.hard_vote_predict(models, te, weights)
+    tr = tr.persist()
+    method = ensemble_method(spark, ensemble_dir)
+    if method == "stacking":
+        voted = ens.StackingEnsemble(members, features, "class").fit(tr).transform(te).withColumn("prediction", F.col("prediction").cast("int"))
+    else:
+        models = ens.fit_members(tr, members, features, "class")
+        voted = (ens.hard_vote_predict if method == "hard" else ens.soft_vote_predict)(models, te, weights)
     out = cleaning.unlabel_targets(voted.withColumnRenamed("prediction", "class"))
     csvio.write_csv(out.select("id", "class"), out_path)
+    tr.unpersist()
     return csvio.read_csv_table(spark, out_path, "id bigint, class string")
 
 

@@ -1,7 +1,7 @@
 """Stateless streaming batch prediction.
 
 New files landing in a folder are scored by a fitted voting ensemble and the
-decoded labels are appended to an output table. The reference has no
+decoded labels go to an output table, partitioned by epoch. The reference has no
 streaming; this shows the prediction step (V18) runs unchanged on a streaming
 frame. Each micro-batch is written through ``foreachBatch`` with the query's
 checkpoint in the shared checkpoint folder, so a restarted query resumes.
@@ -37,7 +37,8 @@ def score_stream(
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         rows = cleaning.clean_categorical(batch, cats, fitted=kept) if (kept is not None and cats) else batch
         voted = hard_vote_predict(models, rows, weights).withColumnRenamed("prediction", "class")
-        cleaning.unlabel_targets(voted).write.mode("append").parquet(out_dir)
+        # a replayed micro-batch replaces what it wrote before
+        cleaning.unlabel_targets(voted).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
 
     q = (
         stream.writeStream.foreachBatch(write_batch)

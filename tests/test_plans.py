@@ -20,11 +20,16 @@ def test_subset_scores_aggregates_before_shuffle(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_cleaning_broadcasts_the_kept_categories(spark):
+def test_cleaning_needs_no_join(spark):
     ev = fx.table(spark, SF_SMALL, "events").select("event_id", "props", "event_type")
     plan = _plan(cleaning.clean_categorical(ev, ["props", "event_type"]))
-    assert "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan
+    assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_folds_and_halves_move_no_rows(spark):
+    train = fx.train(spark, SF_SMALL).select("id", "x_price")
+    for df in (folds.kfold_contiguous(train, 5, ["id"]), folds.kfold_shuffled(train, 5, "id"), folds.head_fraction(train, 0.2, ["id"]), folds.split_halves(train, ["id"])):
+        assert "Exchange" not in _plan(df)
 
 
 def test_top_trials_limits_groups_before_the_shuffle(spark):

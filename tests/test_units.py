@@ -352,3 +352,35 @@ def test_svc_cost_counts_the_rows_it_is_fitted_on(spark):
     ours = learners.make_learner("SVC", {"C": 2.0}).fit(df)
     plain = LinearSVC(regParam=1 / 80, standardization=False).fit(df)
     assert ours.coefficients.toArray().tolist() == plain.coefficients.toArray().tolist()
+
+
+def test_nearest_neighbours_with_ties_over_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    refs = rng.integers(-1, 2, (60, 3)).astype(float)
+    refs[0] = 0
+    queries = rng.integers(-1, 2, (40, 3)).astype(float) + 0.5
+    monkeypatch.setattr(learners, "KNN_TILE_ROWS", 7)
+    frame = lambda m: spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(m)], "id long, vec array<double>, label int")
+    got = learners.knn_cosine(frame(queries), frame(refs), 5, block_rows=16).toPandas()
+    for q, own in got.groupby("qid"):
+        norm = np.linalg.norm(refs, axis=1)
+        sims = np.divide(refs @ queries[q], norm * np.linalg.norm(queries[q]), out=np.full(60, -np.inf), where=norm > 0)
+        want = sorted(range(60), key=lambda i: (-round(sims[i], 12), i))[:5]
+        assert sorted(np.round(own.sim, 9)) == sorted(np.round(sims[want], 9)) and len(own) == 5
+
+
+@pytest.mark.parametrize("method", ["soft", "stacking"])
+def test_saved_ensembles_of_other_methods_predict(spark, method):
+    from tabula.plans import jobs
+
+    t = fx.train(spark, SF_SMALL)
+    members = {"f": ("RandomForestClassifier", {"n_estimators": 5, "max_depth": 4}, ["x_price", "c_status"]), "g": ("XGBClassifier", {"n_estimators": 3, "max_depth": 3}, ["x_price", "x_month"])}
+    path = scratch_path(spark, "ensemble-test")
+    jobs.save_ensemble(spark, path, members, {"f": 0.5, "g": 0.5}, ["x_price"], t.schema, method=method)
+    loaded, _, features, _ = jobs.load_ensemble(spark, path)
+    assert loaded["g"][2] == ["x_price", "x_month"] and features == ["x_price", "c_status", "x_month"]
+    out = jobs.predict_job(spark, t, t.drop("class"), path, scratch_path(spark, "predictions"))
+    both = out.withColumnRenamed("class", "p").join(t, "id")
+    assert out.count() == t.count() and both.where("p = class").count() > 0.6 * t.count()
+    with pytest.raises(ValueError):
+        jobs.save_ensemble(spark, path, members, {"f": 0.5, "g": 0.5}, ["x_price"], t.schema, method="median")
