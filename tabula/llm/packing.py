@@ -16,8 +16,6 @@ first fit, longest first.
 from __future__ import annotations
 
 import math
-import re
-import unicodedata
 import zlib
 from collections.abc import Callable
 
@@ -63,16 +61,17 @@ def leftover_bound(capacity: int = CAPACITY, shortest: int = SHORTEST_CUT) -> in
     return sum(class_of(n, capacity) - 1 for n in lengths)
 
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@^_|~-]*)")
+_PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!#$%&*+,./:;=?@^_|~-]*)$"
 
 
 class WordEncoder:
     """Token ids of whole texts through the ids of their distinct words.
 
-    The tokenizer of TOKENIZER_FILE never joins characters across white space, so a
-    text's ids are the ids of its words in order. Words of plain letters with plain
-    punctuation behind are encoded as their two parts; any other word is handed to
-    the tokenizer as it is. The cache holds CACHE_WORDS words at most.
+    The tokenizer never joins characters across white space, so a text's ids are
+    the ids of its words in order. Words of plain letters with plain punctuation
+    behind are encoded as these two parts; any other word is handed to the tokenizer as it
+    is and is one part. Parts' ids lie in one array (``flat``, by ``first`` and ``size``), kept between
+    texts; beyond CACHE_WORDS parts it starts anew.
     """
 
     def __init__(self, path: str):
@@ -86,45 +85,53 @@ class WordEncoder:
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words or parts into the cache."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        other = [w for w in words if not _PLAIN.fullmatch(w)]
-        parts = list({p for w in plain for p in _PLAIN.fullmatch(w).groups() if p and p not in self.cache})
-        runs = [" ".join(parts[k : k + 2000]) for k in range(0, len(parts), 2000)]
-        for k, got in enumerate(self.parts.encode_batch_fast(runs, add_special_tokens=False)):
-            ids = np.array(got.ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            for part, part_ids in zip(parts[2000 * k : 2000 * (k + 1)], np.split(ids, cuts[:-1]), strict=True):
-                self.cache[part] = part_ids
-        for w in plain:
-            if w not in self.cache:
-                self.cache[w] = np.concatenate([self.cache[p] for p in _PLAIN.fullmatch(w).groups()])
-        for k in range(0, len(other), 2000):
-            for w, got in zip(other[k : k + 2000], self.whole.encode_batch_fast(other[k : k + 2000], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(got.ids, np.uint32)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row: dict[str, int] = {"": 0}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _put(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.row.update(zip(parts, range(len(self.row), len(self.row) + len(parts)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _rows(self, parts: list[str], plain: bool) -> np.ndarray:
+        """Each part's row; new ones are encoded."""
+        row = self.row
+        new = [p for p in parts if p not in row]
+        if new and plain:
+            got = self.parts.encode_batch_fast([" ".join(new[k : k + 2000]) for k in range(0, len(new), 2000)], add_special_tokens=False)
+            ids = np.concatenate([np.array(g.ids, np.uint32) for g in got])
+            self._put(new, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        elif new:
+            got = [g.ids for g in self.whole.encode_batch_fast(new, add_special_tokens=False)]
+            self._put(new, np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got]))
+        return np.fromiter(map(row.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the (non-null) texts in order, and how many each text has."""
+        if len(self.row) > CACHE_WORDS:
+            self._clear()
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn([w for w in distinct if w not in self.cache])
-        ids = [self.cache[w] for w in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        first = np.cumsum(sizes) - sizes
-        which = words.indices.to_numpy()
-        n = sizes[which]
+        distinct = words.dictionary
+        split = pc.extract_regex(distinct, _PLAIN)
+        # rows of each distinct word's one or two parts; row 0 is the empty part
+        part = np.zeros((len(distinct), 2), np.int64)
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        for k, name in enumerate(("core", "tail")):
+            coded = pc.struct_field(split, name).filter(pa.array(plain)).dictionary_encode()
+            part[plain, k] = self._rows(coded.dictionary.to_pylist(), True)[coded.indices.to_numpy()]
+        part[~plain, 0] = self._rows(distinct.filter(pa.array(~plain)).to_pylist(), False)
+        rows = part[words.indices.to_numpy()].ravel()
+        n = self.size[rows]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(first[which], n)
-        total = np.concatenate([[0], ends])
-        bounds = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists.offsets) else 0)
-        return flat[at], np.diff(total[bounds])
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[rows] - (ends - n), n)
+        total = np.concatenate([[0], ends[1::2]])
+        bounds = lists.offsets.to_numpy()
+        return self.flat[at], np.diff(total[bounds - bounds[0]])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
