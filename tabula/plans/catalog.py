@@ -840,16 +840,19 @@ def q_params_match(spark, sf):
 @query(
     "pending_candidates",
     fx.oracle_ctes("results")
-    + """, c as (select study || '_' as name from results union select 'p5_' union select 'p9_')
+    + """, c as (select study || '_' as name from results union select 'p5_' union select 'p9_'),
+         stored as (select name from results where round(score, 9) >= (select round(avg(score), 9) from results))
          select distinct name from c where not exists (
-           select 1 from results r where r.name in (c.name || 'top_0', c.name || 'top_1', c.name || 'top_2'))""",
+           select 1 from stored r where r.name in (c.name || 'top_0', c.name || 'top_1', c.name || 'top_2'))""",
 )
 def q_pending_candidates(spark, sf):
     res = fx.results(spark, sf)
     extra = spark.createDataFrame([("p5_",), ("p9_",)], "name string")
     cands = res.select(F.concat(F.col("study"), F.lit("_")).alias("name")).unionByName(extra).distinct()
-    # a candidate with one stored top_k is finished; here all rule models are
-    return cand.pending_candidates(cands, res)
+    # stored so far: the results of at least average score. A candidate with one of
+    # its top results stored is finished
+    mean = res.select(F.round(F.avg("score"), 9)).first()[0]
+    return cand.pending_candidates(cands, res.where(F.round("score", 9) >= mean))
 
 
 @query(
