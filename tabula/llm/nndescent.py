@@ -6,10 +6,12 @@
 3. Descent: in each point's neighbourhood (its list and its closest reverse neighbours)
    all members are compared with each other, and whoever is closer than a
    member's present neighbours enters its list. Rounds go on while links are found.
-4. Audit: a sample of points is compared with every point. While a link of theirs joins
+4. A list full of links is saturated: the point may have more, and links between two dense
+   groups are in no list. Saturated points are compared, in blocks, with all saturated
+   points of other components (the largest component of a label only with the others).
+5. Audit: a sample of points is compared with every point. While a link of theirs joins
    two different components, another forest and another descent follow.
-5. A list full of links is saturated: the point may have more. Such lists are enlarged to
-   the point's whole component, compared in blocks, which counts every link exactly.
+6. Links are counted in each whole component, compared in blocks, so counts are exact.
 
 Vectors travel to bounded groups (leaves, neighbourhoods, blocks); a hot label, a hub
 or a large component is spread over many of them. No pair is formed outside.
@@ -34,6 +36,7 @@ NEIGHBOURS = 8
 TREES = 6
 LEAF = 64
 BLOCK = 1024
+TILE = 4096
 BITS = 40
 AUDIT_POINTS = 256
 RECALL = 0.999
@@ -190,6 +193,85 @@ def audit(points: DataFrame, found: DataFrame, threshold: float, sample: int = A
     return got.same / got.hits if got.hits else 1.0
 
 
+def across(left: DataFrame, right: DataFrame, threshold: float, block: int = TILE) -> DataFrame:
+    """(src, dst, hits, same): links of ``left`` with ``right`` points of equal label, both given
+    as (id, label, vec, component).
+
+    Rows with a dst are links of two components, for each pair of blocks as many as join
+    what its links join; rows without one hold src's number of links and how many
+    of them are within its component.
+    """
+    key = ["label", "dim"]
+    sides = {}
+    for side, df in (("l", left), ("r", right)):
+        df = df.withColumn("dim", F.size("vec"))
+        n = df.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(f"n{side}"))
+        sides[side] = df, n
+    counts = sides["l"][1].join(sides["r"][1], key)
+    dealt = []
+    for side, other in (("l", "r"), ("r", "l")):
+        df = sides[side][0].join(counts, key)
+        df = df.withColumn(side, F.pmod(F.xxhash64("id", F.lit("block")), F.col(f"n{side}")).cast("int"))
+        df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)))
+        dealt.append(df.select(*key, "l", "r", F.lit(side == "l").alias("left"), "id", "component", "vec"))
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = table.column("left").to_numpy(zero_copy_only=False)
+        ids, comp = (table.column(c).to_numpy() for c in ("id", "component"))
+        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
+        src, hits, same, bridges, root = [], [], [], [], {}
+
+        def find(c):
+            while (up := root.setdefault(c, c)) != c:
+                root[c] = c = root.setdefault(up, up)
+            return c
+
+        if len(a) and len(b):
+            x, y = _matrix(table.column("vec").take(pa.array(a))), _matrix(table.column("vec").take(pa.array(b)))
+            for lo in range(0, len(a), 512):
+                p = a[lo : lo + 512]
+                near = (x[lo : lo + 512] @ y.T >= threshold) & (ids[p, None] != ids[b])
+                own = near & (comp[p, None] == comp[b])
+                linked = near.any(1)
+                src.append(ids[p][linked])
+                hits.append(near.sum(1)[linked])
+                same.append(own.sum(1)[linked])
+                i, j = np.nonzero(near & ~own)
+                if len(i):
+                    ends = np.sort(np.stack([comp[p[i]], comp[b[j]]], 1), 1)
+                    _, at = np.unique(ends, axis=0, return_index=True)
+                    for k in at:
+                        s, t = find(int(ends[k, 0])), find(int(ends[k, 1]))
+                        if s != t:
+                            root[max(s, t)] = min(s, t)
+                            bridges.append((ids[p[i[k]]], ids[b[j[k]]]))
+        cat = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
+        src, hits, same, n = cat(src), cat(hits), cat(same), len(bridges)
+        none = pa.nulls(len(src), pa.int64())
+        u, v = (pa.array([e[k] for e in bridges], pa.int64()) for k in (0, 1))
+        return pa.table({"src": pa.concat_arrays([pa.array(src), u]), "dst": pa.concat_arrays([none, v]), "hits": pa.array(np.concatenate([hits, np.zeros(n, np.int64)])), "same": pa.array(np.concatenate([same, np.zeros(n, np.int64)]))})
+
+    both = dealt[0].unionByName(dealt[1])
+    return both.groupBy(*key, "l", "r").applyInArrow(run, "src long, dst long, hits long, same long")
+
+
+def _placed(points: DataFrame, found: DataFrame) -> DataFrame:
+    """Points with their component; one without a link is its own."""
+    return points.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "label", "vec", F.coalesce("component", "id").alias("component"))
+
+
+def bridges(points: DataFrame, lists: DataFrame, found: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b): links that join components of saturated points, whose lists of k hold links alone."""
+    full = lists.where(F.col("sim") >= threshold - SLACK).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
+    dense = _placed(points.join(full, "id", "left_semi"), found).withColumn("dim", F.size("vec"))
+    sizes = dense.groupBy("label", "dim", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("label", "dim").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    dense = stored(dense.join(main, ["label", "dim"]), "dense")
+    minor = dense.where(F.col("component") != F.col("main"))
+    cols = ["id", "label", "vec", "component"]
+    return across(minor.select(*cols), dense.select(*cols), threshold).where("dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+
+
 def link_counts(points: DataFrame, found: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(id, links): copies of other points in a point's component whose cosine reaches the threshold.
 
@@ -238,7 +320,11 @@ def graph(points: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS,
             if now <= count:
                 break
             count = now
-        found = stored(components(_links(lists, points, threshold)), "components")
+        links = stored(_links(lists, points, threshold), "links")
+        found = stored(components(links), "components")
+        joins = stored(bridges(points, lists, found, threshold, k), "bridges")
+        if not joins.isEmpty():
+            found = stored(components(links.unionByName(joins)), "components")
         if audit(points, found, threshold) >= RECALL:
             return found
         grown += 1

@@ -60,6 +60,36 @@ def test_large_component_in_blocks(spark, monkeypatch):
     assert got == {k: v[0] for k, v in brute(rows).items()}
 
 
+def near_pair(rng, cosine, dim):
+    """Two unit vectors of the given cosine."""
+    a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+def test_dense_groups_with_links_between_them(spark):
+    # every point has more than 8 closer neighbours in its own group, so no list holds a link of both groups
+    rng = np.random.default_rng(5)
+    rows = []
+    for label, sizes in ((1, (40, 40)), (2, (1500, 60))):
+        for centre, n in zip(near_pair(rng, 0.95, 64), sizes):
+            rows += [(len(rows) + k, (centre + 0.002 * rng.standard_normal(64)).tolist(), label) for k in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn.near_duplicates(df).collect()}
+    assert {k: got[k] for k in range(80)} == dict.fromkeys(range(80), (79, 0))
+    assert {k: got[k] for k in range(80, 1640)} == dict.fromkeys(range(80, 1640), (1559, 80))
+
+
+def test_links_across_blocks(spark):
+    rng = np.random.default_rng(6)
+    a, b = near_pair(rng, 0.95, 16)
+    rows = [(k, (centre + 0.002 * rng.standard_normal(16)).tolist(), 1, k % 2) for k, centre in enumerate([a, b] * 60)]
+    points = spark.createDataFrame(rows, "id long, vec array<double>, label int, component long")
+    got = nn.across(points, points, nn.THRESHOLD, block=25).groupBy(F.col("dst").isNull().alias("counts")).agg(F.sum("hits").alias("hits"), F.sum("same").alias("same"), F.count("*").alias("n")).collect()
+    count = next(r for r in got if r.counts)
+    assert (count.hits, count.same) == (120 * 119, 120 * 59)
+    assert next(r for r in got if not r.counts).n <= 25  # one for each pair of blocks
+
+
 def test_audit_sees_a_missing_link(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [0.0, 1.0], 1), (3, [0.01, 1.0], 1)]
     points = spark.createDataFrame(rows, "id long, vec array<double>, label int")
