@@ -2,15 +2,18 @@
 
 1. Equal vectors collapse into one point, so copies cost nothing.
 2. A forest of random hyperplanes gives first neighbours: points of equal sign
-   code share a leaf; large leaves are split at random.
+   code share a leaf; large leaves are split at random. Longer codes get more trees, so that
+   a pair at the threshold misses all its shared leaves with a chance of MISS at most.
 3. Descent: in each point's neighbourhood (its list and its closest reverse neighbours)
    all members are compared with each other, and whoever is closer than a
    member's present neighbours enters its list. Rounds go on while links are found.
 4. A list full of links is saturated: the point may have more, and links between two dense
    groups are in no list. Saturated points are compared, in blocks, with all saturated
    points of other components (the largest component of a label only with the others).
-5. Audit: a sample of points is compared with every point. While a link of theirs joins
-   two different components, another forest and another descent follow.
+5. Audit: points are compared with every point, in growing samples until enough of them
+   had links (lone and dense points don't count), or all were compared. Links that
+   they miss enter the graph; if recall is too low, another forest, another descent
+   and an audit of other points follow.
 6. Links are counted in each whole component, compared in blocks, so counts are exact.
 
 Vectors travel to bounded groups (leaves, neighbourhoods, blocks); a hot label, a hub
@@ -19,6 +22,7 @@ or a large component is spread over many of them. No pair is formed outside.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -38,7 +42,10 @@ LEAF = 64
 BLOCK = 1024
 TILE = 4096
 BITS = 40
-AUDIT_POINTS = 256
+MISS = 0.01
+AUDIT_POINTS = 4096
+AUDIT_LINKED = 3000
+"""Points with links that an audit must have seen: at RECALL, three of them miss one."""
 RECALL = 0.999
 SEED = 7
 SLACK = 1e-9
@@ -61,6 +68,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+log = logging.getLogger(__name__)
+
 _EDGES = "src long, dst long, sim double"
 
 
@@ -68,28 +77,38 @@ def _edges(src: np.ndarray, dst: np.ndarray, sim: np.ndarray) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "sim": pa.array(np.round(sim, 9), pa.float64())})
 
 
-def forest(points: DataFrame, trees: int, seed: int, k: int, leaf: int = LEAF) -> DataFrame:
-    """(src, dst, sim): each point's nearest in each of its leaves."""
+def trees_for(bits: int, threshold: float = THRESHOLD, least: int = TREES) -> int:
+    """Trees with codes of so many bits, so that a pair at the threshold shares a code in one but for a chance of MISS."""
+    agree = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return least if agree >= 1 - 1e-12 else max(least, math.ceil(math.log(MISS) / math.log1p(-agree)))
+
+
+def forest(points: DataFrame, trees: int, seed: int, k: int, leaf: int = LEAF, threshold: float = THRESHOLD) -> DataFrame:
+    """(src, dst, sim): each point's nearest in each of its leaves; ``trees`` at least."""
     per_label = points.groupBy("label").agg(F.count("*").alias("size"))
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("size") / F.lit(leaf))), F.lit(0)), F.lit(BITS)).cast("int")
     sized = points.join(per_label.select("label", bits.alias("bits")), "label").select("id", "label", "bits", "vec")
     schema = T.StructType([sized.schema["id"], sized.schema["label"], T.StructField("tree", T.IntegerType()), T.StructField("code", T.LongType()), sized.schema["vec"]])
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        wanted = np.array([trees_for(b, threshold, trees) for b in range(BITS + 1)])
         for batch in batches:
             vec = batch.column(3)
             sizes = vec.value_lengths().to_numpy()
             for d in np.unique(sizes):
                 rows = pa.array(np.flatnonzero(sizes == d))
                 part = batch.take(rows)
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((trees, BITS, int(d)))
                 x = _matrix(part.column(3))
-                used = np.arange(BITS) < part.column(2).to_numpy()[:, None]
-                for tree in range(trees):
-                    code = (((x @ planes[d][tree].T > 0) & used) @ (1 << np.arange(BITS, dtype=np.int64))).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(code), tree, np.int32)), pa.array(code), part.column(3)], names=schema.names)
+                bits = part.column(2).to_numpy()
+                used = np.arange(BITS) < bits[:, None]
+                for tree in range(wanted[bits].max()):
+                    if (d, tree) not in planes:
+                        planes[d, tree] = np.random.default_rng([seed, int(d), tree]).standard_normal((BITS, int(d)))
+                    at = np.flatnonzero(tree < wanted[bits])
+                    code = (((x[at] @ planes[d, tree].T > 0) & used[at]) @ (1 << np.arange(BITS, dtype=np.int64))).astype(np.int64)
+                    own = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(code), tree, np.int32)), pa.array(code), own.column(3)], names=schema.names)
 
     coded = sized.mapInArrow(run, schema).withColumn("dim", F.size("vec"))
     key = ["label", "dim", "tree", "code"]
@@ -160,39 +179,6 @@ def _links(lists: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
     return clear.unionByName(edge.where(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y")) >= threshold).select("a", "b"))
 
 
-def audit(points: DataFrame, found: DataFrame, threshold: float, sample: int = AUDIT_POINTS) -> float:
-    """The share of the links of ``sample`` points (at most), found by comparing them with all,
-    that lie within one component. The driver holds the sample only."""
-    joined = points.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "label", "vec", F.coalesce("component", "id").alias("component"))
-    picked = joined.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not picked:
-        return 1.0
-    ids, own = np.array([r.id for r in picked]), np.array([r.component for r in picked])
-    labels, vectors = [r.label for r in picked], [np.asarray(r.vec, np.float64) for r in picked]
-
-    def run(batches):
-        for batch in batches:
-            sizes, names = batch.column(2).value_lengths().to_numpy(), np.array(batch.column(1).to_pylist(), object)
-            hits = same = 0
-            for d in np.unique(sizes):
-                rows = np.flatnonzero(sizes == d)
-                mine = [k for k, v in enumerate(vectors) if len(v) == d]
-                if not mine:
-                    continue
-                part = batch.take(pa.array(rows))
-                q = _matrix(pa.array([vectors[k] for k in mine], pa.list_(pa.float64())))
-                at, component = part.column(0).to_numpy(), part.column(3).to_numpy()
-                for lo in range(0, len(rows), 4096):
-                    cut = slice(lo, lo + 4096)
-                    near = (_matrix(part.column(2).slice(lo, 4096)) @ q.T >= threshold) & (at[cut, None] != ids[mine]) & (names[rows[cut], None] == np.array([labels[k] for k in mine], object))
-                    hits += int(near.sum())
-                    same += int((near & (component[cut, None] == own[mine])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([hits]), pa.array([same])], names=["hits", "same"])
-
-    got = joined.mapInArrow(run, "hits long, same long").agg(F.sum("hits").alias("hits"), F.sum("same").alias("same")).first()
-    return got.same / got.hits if got.hits else 1.0
-
-
 def across(left: DataFrame, right: DataFrame, threshold: float, block: int = TILE) -> DataFrame:
     """(src, dst, hits, same): links of ``left`` with ``right`` points of equal label, both given
     as (id, label, vec, component).
@@ -260,6 +246,36 @@ def _placed(points: DataFrame, found: DataFrame) -> DataFrame:
     return points.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "label", "vec", F.coalesce("component", "id").alias("component"))
 
 
+def checked(points: DataFrame, found: DataFrame, threshold: float, k: int = NEIGHBOURS, sample: int = AUDIT_POINTS, least: int = AUDIT_LINKED, salt: int = 0) -> tuple[float, DataFrame | None, bool]:
+    """(recall, missed, all): points, in the order of a hash, are compared with all until ``least`` of
+    them had links, k at most each, or none is left (all). ``recall`` is the share of the points with
+    links whose links are all within one component, or that of those with k at most if it is
+    smaller; ``missed`` has links (a, b) that join what all links seen join.
+    """
+    placed = stored(_placed(points, found), "placed")
+    total, done, linked, missed = placed.count(), 0.0, np.zeros(4, np.int64), None
+    place = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    while done < 1 and linked[2] < least and total:
+        upto = 1.0 if sample >= total else sample / total
+        part = placed.where((place >= done) & (place < upto))
+        seen = stored(across(part, placed, threshold), "audit")
+        each = seen.where("dst is null").groupBy("src").agg(F.sum("hits").alias("hits"), F.sum("same").alias("same"))
+        whole, few = F.col("hits") == F.col("same"), F.col("hits") <= k
+        got = each.agg(F.count("*"), F.count_if(whole), F.count_if(few), F.count_if(few & whole)).first()
+        linked += np.array(got, np.int64)
+        joins = seen.where("dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        missed = joins if missed is None else missed.unionByName(joins)
+        done, sample = upto, 4 * sample
+    recall = min((linked[j] / linked[i] for i, j in ((0, 1), (2, 3)) if linked[i]), default=1.0)
+    log.info("recall %.5f: %d of %d linked points whole (%d of %d with at most %d links), %.4f of %d points compared", recall, linked[1], linked[0], linked[3], linked[2], k, done, total)
+    return float(recall), missed, done >= 1 or not total
+
+
+def audit(points: DataFrame, found: DataFrame, threshold: float) -> float:
+    """The measured recall of ``found``."""
+    return checked(points, found, threshold)[0]
+
+
 def bridges(points: DataFrame, lists: DataFrame, found: DataFrame, threshold: float, k: int) -> DataFrame:
     """(a, b): links that join components of saturated points, whose lists of k hold links alone."""
     full = lists.where(F.col("sim") >= threshold - SLACK).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
@@ -310,9 +326,9 @@ def link_counts(points: DataFrame, found: DataFrame, threshold: float, block: in
 
 def graph(points: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, trees: int = TREES, seed: int = SEED) -> DataFrame:
     """(node, component) of the points that have a link."""
-    lists, count, grown = None, 0, 0
+    lists, extra, count, grown = None, None, 0, 0
     while True:
-        start = forest(points, trees, seed + grown, k)
+        start = forest(points, trees, seed + grown, k, threshold=threshold)
         lists = stored(_lists(start if lists is None else start.unionByName(lists), k), "lists")
         while True:
             lists = stored(_lists(lists.unionByName(_round(lists, points, k)), k), "lists")
@@ -320,13 +336,19 @@ def graph(points: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS,
             if now <= count:
                 break
             count = now
-        links = stored(_links(lists, points, threshold), "links")
+        links = _links(lists, points, threshold)
+        links = stored(links if extra is None else links.unionByName(extra), "links")
         found = stored(components(links), "components")
         joins = stored(bridges(points, lists, found, threshold, k), "bridges")
         if not joins.isEmpty():
-            found = stored(components(links.unionByName(joins)), "components")
-        if audit(points, found, threshold) >= RECALL:
+            links = links.unionByName(joins)
+            found = stored(components(links), "components")
+        recall, missed, every = checked(points, found, threshold, k, salt=grown)
+        if missed is not None and not missed.isEmpty():
+            found = stored(components(links.unionByName(missed)), "components")
+        if every or recall >= RECALL:
             return found
+        extra = joins.unionByName(missed) if extra is None else extra.unionByName(joins).unionByName(missed)
         grown += 1
 
 

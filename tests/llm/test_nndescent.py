@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,47 @@ def test_audit_sees_a_missing_link(spark):
     assert nn.audit(points.limit(0), none, 0.93) == 1.0
 
 
+def test_audit_goes_on_until_links_were_seen(spark):
+    # 5 % of the points have a link, none of them found: any 20 points hold too few to tell
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.standard_normal(32).tolist(), 1) for k in range(400)]
+    rows += [(400 + k, [x + 1e-3 for x in rows[k][1]], 1) for k in range(10)]
+    points = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    none = spark.createDataFrame([], "node long, component long")
+    recall, missed, every = nn.checked(points, none, 0.93, sample=20, least=10)
+    assert recall == 0 and 5 <= len({frozenset(r) for r in missed.collect()}) <= 10
+    recall, missed, every = nn.checked(points, none, 0.93, sample=20, least=1000)
+    assert every and {frozenset(r) for r in missed.collect()} == {frozenset((k, 400 + k)) for k in range(10)}
+
+
+def test_rare_links_of_one_large_label(spark):
+    # 50,000 vectors of one label, 1 % of them with a partner at cosine 0.932 to 0.95
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(500):
+        z = rng.standard_normal(64)
+        z -= (z @ x[k]) * x[k]
+        c = rng.uniform(0.932, 0.95)
+        x[25_000 + k] = c * x[k] + np.sqrt(1 - c * c) * z / np.linalg.norm(z)
+    at = rng.permutation(50_000)
+    table = pa.table({"vec_id": at, "embedding": pa.array(list(x), pa.list_(pa.float64())), "label": np.ones(50_000, np.int32)})
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn.near_duplicates(spark.createDataFrame(table)).where("n_links > 0").collect()}
+    want = {}
+    for lo in range(0, 50_000, 2_000):
+        for i, j in zip(*np.nonzero(x[lo : lo + 2_000] @ x.T >= nn.THRESHOLD)):
+            if lo + i != j:
+                want[int(at[lo + i])] = (1, int(min(at[lo + i], at[j])))
+    assert got == want and len(want) == 1000
+
+
+def test_longer_codes_get_more_trees():
+    agree = 1 - np.arccos(nn.THRESHOLD) / np.pi
+    for bits in (0, 1, 5, 10, 20):
+        trees = nn.trees_for(bits)
+        assert trees >= nn.TREES and (1 - agree**bits) ** trees <= nn.MISS
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], None), (9, [1.0, 0.0], 1), (10, [2.0, 0.0], 1), (11, [1.0, 0.0], 2), (12, [1.0, 0.0], 1), (13, [1.0], 1), (14, [1e300, 0.0], 1), (15, [-1.0, 0.0], 1), (16, [-0.0, 1e-300], 1)]
