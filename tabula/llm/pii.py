@@ -38,12 +38,23 @@ GIVEN_END = {"latin": {"f": "na", "m": "son", "x": "ly"}, "cyrillic": {"f": "н
 
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?[ \t]{1,3}"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_PHONES = [
+    r"(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}",  # North America
+    r"(?:\+|00)[1-9](?:[ ./-]?(?:\(\d{1,4}\)[ ./-]?)?\d){6,14}",  # country code, trunk (0), any groups
+    r"\(\d{2,5}\)[ ./-]?\d{2,4}(?:[ ./-]?\d{2,4}){1,4}",  # area code in brackets
+    r"(?!\d{2}[./-]\d{2}[./-](?:19|20)\d{2}(?!\d))(?=(?:[ ./-]{0,3}\d){8})0[1-9]\d{0,3}(?:[ ]?[./-][ ]?|[ ])\d{2,8}(?:[ .-]\d{2,4}){0,4}",  # trunk 0; no date
+    r"[6-9]\d{2}(?:[ .-]\d{2}){3}",  # Spain
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ ]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}",
+    r"[2-9]\d{2}[2-9]\d{6}|0[1-9]\d{8,9}",  # no separators
+]
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "card": r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\p{L}\p{N}]|\.\d)",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9A-Fa-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ ]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}]|\.\d)",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![\p{{L}}\p{{N}}:]|\.\d)",
+    "phone": rf"(?<![\p{{L}}\p{{N}}.+])(?:{'|'.join(_PHONES)})(?![\p{{L}}\p{{N}}]|[./]\d)",
     "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?:[ \t]{_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -166,8 +177,11 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     home = F.sha2(F.concat_ws("\x01", F.lit(key), F.lit("domain"), domain), 256)
     email = F.concat(_shape(F.regexp_extract(norm, "^(.*)@", 1), seed), F.lit("@"), _shape(F.regexp_replace(domain, r"\.[^.]*$", ""), home), F.lit(".example"))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
+    # a documentation address; groups without a leading zero
+    groups = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.lower(F.hex(_draw(seed, i, 61440) + 4096))), ":")
     return (
         F.when(kind == "email", email)
+        .when(kind == "ip6", F.concat(F.lit("2001:db8:"), groups))
         .when(kind == "ip", octets)
         .when(kind == "card", _luhn(F.concat(F.substring(norm, 1, 1), _run(seed, F.length(norm) - 2))))
         .when(kind == "phone", _run(seed, F.length(norm), "23456789"))
@@ -181,7 +195,7 @@ def _dress(kind: Column, raw: Column, plain: Column) -> Column:
     cased = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(plain))
     return (
         F.when(kind.isin("card", "phone"), _fill(raw, plain))
-        .when(kind.isin("email", "secret", "ip"), cased.otherwise(plain))
+        .when(kind.isin("email", "secret", "ip", "ip6"), cased.otherwise(plain))
         .otherwise(cased.otherwise(F.initcap(plain)))
     )
 

@@ -1,3 +1,4 @@
+import ipaddress
 import re
 
 import pytest
@@ -62,6 +63,34 @@ def test_kinds_formats_and_coreference(spark):
     assert m and m[2] == m[3] == m[5].title() and m[2] != "Smith"
 
 
+PHONES = {
+    "fr": ["01 23 45 67 89", "01.23.45.67.89", "+33 6 12 34 56 78", "0033 6 12 34 56 78", "+33 (0)1 23 45 67 89", "0612345678"],
+    "de": ["+49 (0)30 1234567", "+49 30 1234567", "(030) 12 34 56 78", "030/1234567", "030 / 123 45 67", "0151 23456789"],
+    "es": ["+34 612 34 56 78", "612 34 56 78", "612 345 678", "+34612345678"],
+    "en": ["+14155552671", "4155552671", "+1 (415) 555-2671", "415-555-2671", "+44 20 7946 0958"],
+}
+IP6 = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "::1", "2001:DB8::42"]
+
+
+def test_numbers_of_all_languages(spark):
+    every = [(e, "phone") for group in PHONES.values() for e in group] + [(e, "ip6") for e in IP6]
+    got = one(spark, *[f"x {e}, y" for e, _ in every])
+    for (old, kind), text in zip(every, got):
+        new = text[2:-3]
+        assert text.startswith("x ") and text.endswith(", y") and new != old
+        if kind == "ip6":
+            assert ipaddress.IPv6Address(new) != ipaddress.IPv6Address(old)
+        else:  # the format stays, and the last digits are not those of the original
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", old) and re.sub(r"\D", "", new)[-7:] != re.sub(r"\D", "", old)[-7:], old
+    assert len(set(got)) == len(got)
+
+
+def test_a_number_ends_where_the_next_one_starts(spark):
+    (text,) = one(spark, "+1 (337) 555-7349 4952935900253052 on 01.02.2024 10:30, std::x, a :: b, 12:30:45")
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} \d{16} on 01\.02\.2024 10:30, std::x, a :: b, 12:30:45", text)
+    assert "555-7349" not in text and "4952935900253052" not in text
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "_run", lambda seed, n, first="": F.concat(F.lit("555555555"), pii._draw(seed, F.lit(1), 10).cast("string")))
     texts = [f"call 200-300-400{k}" for k in range(8)] + ["call 555-555-5550"]
