@@ -15,8 +15,12 @@ from tabula.llm.scratch import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter) go; the predicted language replaces ``lang``."""
+    """Documents without a language (no letter) go; the predicted language replaces ``lang``.
+
+    Without a labelled row there is nothing to predict with: the others keep their ``lang``."""
     model = langid.train(docs)
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     got = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
     return got.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 

@@ -60,3 +60,10 @@ def test_odd_documents_pass_all_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF_SMALL).count() == 0
+
+
+def test_documents_without_any_label_stay(spark):
+    rows = [(1, "Some words", None, "s", 10), (2, "été", "", "s", 3), (3, "12 3", None, "s", 4), (4, None, None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("lang", F.lit(None).cast("string"))
+    out = STAGES["language_id"](spark, docs, SF_SMALL)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.lang) for r in out.collect()) == [(1, None), (2, None)]
