@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabula.llm import bottomk, langid, mixing, packing, pii
 from tabula.llm.queries import MIX_SHARE, MIX_TARGETS, PII_KEY, mix_dimensions, tokenizer_file
 from tabula.llm.scratch import stored
+from tabula.operators.rowindex import with_row_index
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest id."""
+    """One document of each near-duplicate group stays: the one of the smallest id.
+
+    Texts that share an id are judged apart; rows equal in id and text are one document."""
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        one = named.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("__rest")).select("doc_id", "text", "__rest.*")
+        nodes = stored(with_row_index(one, ["doc_id", F.xxhash64("text"), "text"], "__node"), "nodes")
+        marks = bottomk.near_duplicates(nodes, id_col="__node")
+        left = nodes.join(marks.where("not kept").select("__node"), "__node", "left_anti")
+        return left.select(docs.columns).unionByName(docs.where("doc_id is null"))
     marks = bottomk.near_duplicates(docs)
     drop = marks.where("not kept").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)

@@ -67,3 +67,14 @@ def test_documents_without_any_label_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("lang", F.lit(None).cast("string"))
     out = STAGES["language_id"](spark, docs, SF_SMALL)
     assert out.columns == docs.columns and sorted((r.doc_id, r.lang) for r in out.collect()) == [(1, None), (2, None)]
+
+
+def test_dedup_of_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    near = text("a") + " end"
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (6, near), (6, text("c")), (7, text("d")), (7, text("d")), (8, None), (8, None), (None, text("a")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = STAGES["minhash_near_dedup"](spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0, (r.text or "-")[0]) for r in out.collect()))
+    assert got == [(0, "a"), (0, "a"), (1, "a"), (5, "b"), (6, "c"), (7, "d"), (8, "-")]
