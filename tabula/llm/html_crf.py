@@ -26,10 +26,14 @@ TRAIN_PAGES = 600
 EPOCHS, RATE, L2 = 150, 0.1, 1.0
 BATCH_BYTES = 4 << 20
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "object math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle munder mover munderover mmultiscripts mtable mtr mtd mspace mpadded mphantom semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noembed noframes xmp template svg math object canvas audio video select".split())
-"""Elements whose content is no text of the page."""
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+"""Elements whose content is no text of the page; one left open goes on to the page's end."""
+ASIDE = frozenset("template svg canvas audio video select annotation annotation-xml".split())
+"""The same, but the tag of one left open is ignored."""
 
 UNSEEN = frozenset("head noscript".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -111,6 +115,7 @@ def blocks_of(page: str, root: _Element | None = None) -> list[Block]:
         del stack[k:]
 
     at = 0
+    unclosed: set[str] = set()
     while True:
         m = _TAG.search(page, at)
         if m is None:
@@ -134,9 +139,13 @@ def blocks_of(page: str, root: _Element | None = None) -> list[Block]:
                     pop_to(k)
                     break
             continue
-        if tag in RAW:
+        if tag in RAW or tag in ASIDE:
+            if tag in unclosed:
+                continue
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not attrs.endswith("/") or tag in ("script", "style"):
+            if end is None and tag in ASIDE:
+                unclosed.add(tag)
+            elif not attrs.endswith("/") or tag in ("script", "style"):
                 at = end.end() if end else len(page)
                 pieces.append(" " if pieces else "")
             continue

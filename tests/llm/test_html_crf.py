@@ -32,6 +32,16 @@ def test_blocks():
     assert len(texts("<div>" * 5000 + "deep")) == 1 and len(texts("<p>w" * 20_000)) == 20_000
 
 
+@pytest.mark.parametrize("tag", ["svg", "object", "video", "audio", "canvas", "select", "template", "math"])
+def test_elements_left_open_keep_the_page(tag):
+    assert texts(f"<div><{tag} class=x></div><p>One text.</p><{tag}><p>Two.</p>") == ["One text.", "Two."]
+
+
+def test_math_and_object_text():
+    page = "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object data=a>Fallback text</object><svg><text>no</text></svg><p>End</p><script>all"
+    assert texts(page) == ["So x=2 holds.", "Fallback text", "End"]
+
+
 def test_held_out_layouts(extractor):
     right = total = 0
     for page, labels in labelled_pages(150, 2):
