@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import bottomk, html_crf, langid, mixing, nndescent, packing, pii, preference, quality, url_lm
+from tabula.llm import bottomk, divergence, html_crf, langid, mixing, nndescent, packing, pii, preference, quality, runs, toxicity, url_lm
 from tabula.llm.labelled_pages import labelled_pages
 
 
@@ -98,6 +98,48 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "prompt", "prompt_turns", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
+def planted_repetitions() -> Column:
+    """The text, or for ids whose CRC-32 is a multiple of ten its words with a periodic end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+    root = F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int"))
+    planted = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(F.flatten(root), F.lit(1), (n - a).cast("int")))
+    return F.when(h % 10 != 0, F.col("text")).when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = runs.periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", planted_repetitions().alias("text")))
+    # runs come by start, then period: of equal exponents the first one stays
+    more = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    first = F.get(F.col("runs"), F.lit(0))
+    best = F.aggregate("runs", first, more)
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return got.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+TOXIC_FROM = 0.7
+
+
+def op12_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    got = toxicity.score(docs, model, keep=["doc_id"])
+    return got.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_language_model": op1_url_language_model,
     "op2_html_main_text": op2_html_main_text,
@@ -109,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_quality_trees": op9_quality_trees,
     "op10_preference_format": op10_preference_format,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity_grammar": op12_toxicity_grammar,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
@@ -203,8 +248,28 @@ def mix_sql(rounds: int = 60) -> str:
     return "WITH " + ", ".join(parts) + " SELECT doc_id, d.source, d.lang, d.topic, d.tokens, probability, u < probability AS drawn FROM docs d JOIN chances c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic"
 
 
+DIVERGENCE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+terms AS (SELECT r, lang, source, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM docs),
+kept AS (SELECT lang, term FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source))::HUGEINT AS p FROM cells),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang))::HUGEINT AS q FROM (SELECT lang, term, sum(n) AS n FROM cells GROUP BY ALL)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_url_language_model": url_sql(),
     "op5_raked_mixture": mix_sql(),
     "op10_preference_format": PREFERENCE_SQL,
+    "op13_source_divergence": DIVERGENCE_SQL,
 }

@@ -79,12 +79,17 @@ def slices(texts: Texts, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, T
         at = end
 
 
-def words_of(texts: Texts) -> Words:
-    if not len(texts.data):
+def words_of(texts: Texts, separator: np.ndarray = SEPARATOR) -> Words:
+    """The runs of bytes that ``separator`` (a flag per byte value) doesn't mark."""
+    return spans_of(~separator[texts.data], texts.offsets)
+
+
+def spans_of(inside: np.ndarray, offsets: np.ndarray) -> Words:
+    """The runs of marked bytes; a run ends with its row."""
+    if not len(inside):
         none = np.zeros(0, np.int64)
         return Words(none, none, none)
-    inside = ~SEPARATOR[texts.data]
-    edges = texts.offsets[(texts.offsets > 0) & (texts.offsets < len(texts.data))]
+    edges = offsets[(offsets > 0) & (offsets < len(inside))]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     before[edges] = False
@@ -92,7 +97,18 @@ def words_of(texts: Texts) -> Words:
     after[-1], after[:-1] = False, inside[1:]
     after[edges - 1] = False
     start = np.flatnonzero(inside & ~before)
-    return Words(start, np.flatnonzero(inside & ~after) + 1, row_of(texts.offsets, start))
+    return Words(start, np.flatnonzero(inside & ~after) + 1, row_of(offsets, start))
+
+
+def span_strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte spans (disjoint, ascending) as an Arrow string column."""
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=ends[1:])
+    taken = np.zeros(len(data) + 1, np.int8)
+    taken[start] += 1
+    taken[end] -= 1
+    kept = data[np.cumsum(taken[:-1]).astype(bool)]
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(kept)))
 
 
 def row_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
