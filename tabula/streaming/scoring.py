@@ -1,7 +1,8 @@
 """Stateless streaming batch prediction.
 
 New files landing in a folder are scored by a fitted voting ensemble and the
-decoded labels go to an output table, partitioned by epoch. The reference has no
+decoded labels go to an output table, partitioned by epoch (``read_scores``
+leaves that column out). The reference has no
 streaming; this shows the prediction step (V18) runs unchanged on a streaming
 frame. Each micro-batch is written through ``foreachBatch`` with the query's
 checkpoint in the shared checkpoint folder, so a restarted query resumes.
@@ -47,3 +48,8 @@ def score_stream(
         .start()
     )
     q.awaitTermination()
+
+
+def read_scores(spark: SparkSession, out_dir: str) -> DataFrame:
+    """What :func:`score_stream` wrote, without the epoch its folders are named by."""
+    return spark.read.parquet(out_dir).drop("epoch")

@@ -223,7 +223,7 @@ def test_metrics_accuracy_matches_pandas(spark):
 def test_streaming_scoring_matches_batch(spark):
     from tabula.plans import ensemble as ens
     from tabula.session import scratch_path
-    from tabula.streaming.scoring import score_stream
+    from tabula.streaming.scoring import read_scores, score_stream
 
     t = cleaning.engineer_features(fx.train(spark, SF_SMALL)).withColumn("class", F.col("class").cast("double"))
     feats = ["x_price", "x_month", "c_priority", "c_status"]
@@ -234,7 +234,7 @@ def test_streaming_scoring_matches_batch(spark):
     test_rows.write.parquet(src)
     out = scratch_path(spark, "stream-out")
     score_stream(spark, src, test_rows.schema, models, {"RidgeClassifier_top_0": 1.0}, out)
-    streamed = spark.read.parquet(out)
+    streamed = read_scores(spark, out)
     batch = cleaning.unlabel_targets(ens.hard_vote_predict(models, test_rows, {"RidgeClassifier_top_0": 1.0}).withColumnRenamed("prediction", "class"))
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
