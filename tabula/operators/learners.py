@@ -6,9 +6,7 @@
 * L2-L4 boosted trees: ``GBTClassifier`` profiles for the three boosting
   libraries' parameter spaces; L7 ``RandomForestClassifier``; L6 linear
   ``LinearSVC`` (other kernels have no distributed counterpart).
-* L5 AdaBoost (SAMME): a driver loop of weighted tree fits; the weight column
-  is updated with column expressions and the lineage is cut by
-  ``checkpoint()`` every round.
+* L5 AdaBoost (SAMME): :mod:`tabula.operators.boosting`.
 * L8 cosine k-NN, exact: queries and references are hashed into blocks;
   every (query block, reference block) pair meets in one cogroup task where
   numpy scores the block product and keeps the top k per query; a final
@@ -26,18 +24,18 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabula.operators.boosting import AdaBoostSAMME
 from tabula.plans.search import space_for
 from tabula.session import checkpointed
 
@@ -208,7 +206,7 @@ def make_learner(model_name: str, params: Mapping[str, object] | None = None, se
             raise NotImplementedError(f"kernel {kernel!r}: only the linear kernel has a distributed solver")
         return LinearSVCByCost(C=float(p.get("C", 1.0)), tol=float(p.get("tol", 1e-6)), **common)
     if kind == "kneighbors":
-        return KNNCosineClassifier(k=int(p.get("n_neighbors", 5)), weights=str(p.get("weights", "uniform")), **common)
+        return KNNCosineClassifier(k=int(p.get("n_neighbors", 5)), weights=str(p.get("weights", "uniform")), search=str(p.get("search", "exact")), **common)
     if kind == "adaboost":
         return AdaBoostSAMME(rounds=int(p.get("n_estimators", 50)), learningRate=float(p.get("learning_rate", 1.0)), seed=seed, **common)
     # boosted trees: xgb / lgbm / catboost profiles
@@ -235,78 +233,6 @@ def make_learner(model_name: str, params: Mapping[str, object] | None = None, se
     )
 
 
-# ------------------------------------------------------------------ L5 AdaBoost
-def samme_alpha(err: F.Column | float, learning_rate: float, n_classes: int = 2):
-    """SAMME stage weight ``lr * (ln((1-err)/err) + ln(K-1))``."""
-    if isinstance(err, (int, float)):
-        return learning_rate * (math.log((1 - err) / err) + math.log(n_classes - 1))
-    return F.lit(learning_rate) * (F.log((F.lit(1.0) - err) / err) + F.lit(math.log(n_classes - 1)))
-
-
-def samme_reweight(df: DataFrame, miss_col: str, weight_col: str, learning_rate: float, n_classes: int = 2) -> DataFrame:
-    """One SAMME step on a table with a 0/1 miss column: returns rows with the
-    new normalised weight plus the step's ``err`` and ``alpha`` (two one-row
-    aggregates; the row data stays distributed)."""
-    err = df.select((F.sum(F.col(weight_col) * F.col(miss_col)) / F.sum(weight_col)).alias("e")).first()["e"]
-    alpha = samme_alpha(err, learning_rate, n_classes)
-    neww = F.col(weight_col) * F.exp(F.lit(alpha) * F.col(miss_col))
-    total = df.select(F.sum(neww).alias("t")).first()["t"]
-    return df.withColumn(weight_col, neww / F.lit(total)).withColumn("err", F.lit(err)).withColumn("alpha", F.lit(alpha))
-
-
-class _AdaParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    rounds = Param(Params._dummy(), "rounds", "boosting rounds", typeConverter=TypeConverters.toInt)
-    learningRate = Param(Params._dummy(), "learningRate", "shrinkage", typeConverter=TypeConverters.toFloat)
-    maxDepth = Param(Params._dummy(), "maxDepth", "base tree depth", typeConverter=TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "seed", typeConverter=TypeConverters.toInt)
-
-
-class AdaBoostSAMME(Estimator, _AdaParams):
-    @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", rounds=10, learningRate=1.0, maxDepth=3, seed=42):
-        super().__init__()
-        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", rounds=10, learningRate=1.0, maxDepth=3, seed=42)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> AdaBoostSAMMEModel:
-        fc, lc = self.getFeaturesCol(), self.getLabelCol()
-        lr = self.getOrDefault("learningRate")
-        cur = df.select(fc, lc).withColumn("__w", F.lit(1.0))
-        trees, alphas = [], []
-        for r in range(self.getOrDefault("rounds")):
-            tree = DecisionTreeClassifier(featuresCol=fc, labelCol=lc, weightCol="__w", maxDepth=self.getOrDefault("maxDepth"),
-                                          seed=self.getOrDefault("seed") + r).fit(cur)
-            scored = tree.transform(cur).withColumn("__miss", (F.col("prediction") != F.col(lc)).cast("double"))
-            err = scored.select((F.sum(F.col("__w") * F.col("__miss")) / F.sum("__w")).alias("e")).first()["e"]
-            if err is None or err >= 0.5:
-                if not trees:
-                    raise ValueError(f"the first tree is no better than chance (weighted error {err})")
-                break
-            err = max(err, 1e-10)
-            a = samme_alpha(err, lr)
-            trees.append(tree)
-            alphas.append(a)
-            if err <= 1e-10:
-                break
-            cur = checkpointed(scored.select(fc, lc, (F.col("__w") * F.exp(F.lit(a) * F.col("__miss"))).alias("__w")))
-        return AdaBoostSAMMEModel(trees, alphas, fc, self.getPredictionCol())
-
-
-class AdaBoostSAMMEModel(Model):
-    def __init__(self, trees, alphas, features_col, prediction_col):
-        super().__init__()
-        self.trees, self.alphas = trees, alphas
-        self.features_col, self.prediction_col = features_col, prediction_col
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("__s", F.lit(0.0))
-        for i, (t, a) in enumerate(zip(self.trees, self.alphas)):
-            t = t.copy()
-            t.setPredictionCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setProbabilityCol(f"__q{i}")
-            out = t.transform(out).withColumn("__s", F.col("__s") + F.lit(a) * (F.col(f"__p{i}") * 2 - 1)).drop(f"__r{i}", f"__q{i}", f"__p{i}")
-        return out.withColumn(self.prediction_col, F.when(F.col("__s") > 0, 1.0).otherwise(0.0)).drop("__s")
-
-
 # ------------------------------------------------------------------ L8 k-NN
 KNN_BLOCK_ROWS = 20_000
 KNN_TILE_ROWS = 256
@@ -369,43 +295,104 @@ def knn_cosine(
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _neighbour_weight(weights: str) -> F.Column:
+    return F.lit(1.0) if weights == "uniform" else F.lit(1.0) / F.greatest(F.lit(1e-12), F.lit(1.0) - F.col("sim"))
+
+
 def knn_vote(neigh: DataFrame, weights: str = "uniform") -> DataFrame:
     """Label per query from its neighbours: uniform or 1/distance weights
     (distance = 1 - cosine similarity); ties -> smallest label."""
-    wexpr = F.lit(1.0) if weights == "uniform" else F.lit(1.0) / F.greatest(F.lit(1e-12), F.lit(1.0) - F.col("sim"))
-    mass = neigh.groupBy("qid", "label").agg(F.sum(wexpr).alias("mass"))
+    mass = neigh.groupBy("qid", "label").agg(F.sum(_neighbour_weight(weights)).alias("mass"))
     w = Window.partitionBy("qid").orderBy(F.col("mass").desc(), F.col("label").asc())
     return mass.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("qid", F.col("label").alias("prediction"))
 
 
-class KNNCosineClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    """Lazy learner: ``fit`` keeps the (checkpointed) reference rows; ``transform``
-    runs the exact blocked search. Rows need an ``id`` column."""
-
+class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol):
     k = Param(Params._dummy(), "k", "neighbours", typeConverter=TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform or distance", typeConverter=TypeConverters.toString)
+    search = Param(Params._dummy(), "search", "exact, or lsh for most of the neighbours at less than quadratic cost", typeConverter=TypeConverters.toString)
+
+
+_KNN_DEFAULTS = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction", "k": 5, "weights": "uniform", "search": "exact"}
+
+
+class KNNCosineClassifier(Estimator, _KNNParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Lazy learner: ``fit`` keeps the (checkpointed) reference rows; ``transform``
+    searches them, exactly or by hashes. Rows need an ``id`` column."""
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", k=5, weights="uniform"):
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", k=5, weights="uniform", search="exact"):
         super().__init__()
-        self._setDefault(featuresCol="features", labelCol="label", predictionCol="prediction", k=5, weights="uniform")
+        self._setDefault(**_KNN_DEFAULTS)
         self._set(**self._input_kwargs)
 
-    def _fit(self, df: DataFrame):
-        refs = df.select("id", vector_to_array(F.col(self.getFeaturesCol())).alias("vec"), F.col(self.getLabelCol()).alias("label"))
-        return KNNCosineModel(checkpointed(refs), self.getOrDefault("k"), self.getOrDefault("weights"), self.getFeaturesCol(), self.getPredictionCol())
+    def _fit(self, df: DataFrame) -> KNNCosineModel:
+        refs = df.select("id", vector_to_array(F.col(self.getFeaturesCol())).alias("vec"), F.col(self.getLabelCol()).cast("double").alias("label"))
+        own = {p: self.getOrDefault(p) for p in ("featuresCol", "predictionCol", "k", "weights", "search")}
+        return KNNCosineModel(checkpointed(refs), **own)
+
 
+class KNNCosineModel(Model, _KNNParams, MLReadable, MLWritable):
+    """The reference rows ``(id, vec, label)``, saved with the model as a table; ``probability`` holds
+    the neighbours' shares of the classes 0 and 1. A row without a neighbour gets nulls."""
 
-class KNNCosineModel(Model):
-    def __init__(self, refs, k, weights, features_col, prediction_col):
+    def __init__(self, refs: DataFrame | None = None, **params: object):
         super().__init__()
-        self.refs, self.k_, self.weights_ = refs, k, weights
-        self.features_col, self.prediction_col = features_col, prediction_col
+        self._setDefault(**_KNN_DEFAULTS, probabilityCol="probability")
+        self._set(**params)
+        self.refs = refs
+
+    def neighbours(self, queries: DataFrame) -> DataFrame:
+        search = self.getOrDefault("search")
+        if search == "exact":
+            return knn_cosine(queries, self.refs, self.getOrDefault("k"))
+        if search != "lsh":
+            raise ValueError(f"search must be exact or lsh, not {search!r}")
+        from tabula.operators.lsh import knn_cosine_lsh
+
+        return knn_cosine_lsh(queries, self.refs, self.getOrDefault("k"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        q = df.select("id", vector_to_array(F.col(self.features_col)).alias("vec"))
-        votes = knn_vote(knn_cosine(q, self.refs, self.k_, "id", "vec", "label"), self.weights_)
-        return df.join(votes.select(F.col("qid").alias("id"), F.col("prediction").cast("double").alias(self.prediction_col)), "id", "left")
+        near = self.neighbours(df.select("id", vector_to_array(F.col(self.getFeaturesCol())).alias("vec")))
+        weight = _neighbour_weight(self.getOrDefault("weights"))
+        mass = near.groupBy("qid").agg(F.sum(F.when(F.col("label") > 0, weight).otherwise(0.0)).alias("one"), F.sum(weight).alias("all"))
+        p = F.col("one") / F.col("all")
+        votes = mass.select(
+            F.col("qid").alias("id"),
+            array_to_vector(F.array(F.lit(1.0) - p, p)).alias(self.getProbabilityCol()),
+            F.when(2 * F.col("one") > F.col("all"), 1.0).otherwise(0.0).alias(self.getPredictionCol()),
+        )
+        return df.join(votes, "id", "left")
+
+    def write(self) -> MLWriter:
+        return _KNNWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _KNNReader(cls)
+
+
+class _KNNWriter(MLWriter):
+    def __init__(self, instance: KNNCosineModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        self.instance.refs.write.parquet(f"{path}/refs")
+
+
+class _KNNReader(MLReader):
+    def __init__(self, cls: type[KNNCosineModel]):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> KNNCosineModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls(self.sparkSession.read.parquet(f"{path}/refs"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
 
 
 def learner_family(model_name: str) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabula.operators import candidates as cand
-from tabula.operators import cleaning, folds, metrics, vote
+from tabula.operators import boosting, cleaning, folds, metrics, vocabulary, vote
 from tabula.operators import learners as lrn
 from tabula.operators import preprocess as pp
 from tabula.plans import ensemble as ens
@@ -971,11 +971,7 @@ def q_one_hot_drop_first(spark, sf):
 def q_category_vocab(spark, sf):
     fit_rows, _ = _fit_apply(spark, sf)
     cols = ["c_priority", "c_status"]
-    fill = pp.build_preprocessing(fit_rows.schema, features_in=cols).getStages()[0]
-    model = pp.DropFirstOneHot(inputCols=[f"{c}__str" for c in cols]).fit(fill.transform(fit_rows))
-    indexer = model.stages[0]
-    rows = [(c, i, v) for c, labels in zip(cols, indexer.labelsArray) for i, v in enumerate(labels)]
-    return spark.createDataFrame(rows, "column string, idx int, value string")
+    return vocabulary.vocabulary(fit_rows, cols)
 
 
 @query(
@@ -1073,7 +1069,7 @@ def q_samme_round(spark, sf):
     p = fx.pred(spark, sf)
     n = p.select(F.count(F.lit(1))).scalar()
     m = p.select("id", (F.col("p1") != F.col("y")).cast("double").alias("miss"), (F.lit(1.0) / n).alias("w"))
-    out = lrn.samme_reweight(m, "miss", "w", learning_rate=1.0)
+    out = boosting.samme_reweight(m, "miss", "w", learning_rate=1.0)
     return out.select("id", r12(F.col("w")).alias("weight"), r12(F.col("err")).alias("err"), r12(F.col("alpha")).alias("alpha"))
 
 
