@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.functions.exprs import hash_order_key
-from tabula.operators.rowindex import reached, with_row_index
+from tabula.operators.rowindex import nulls_first, reached, reached_in_groups, with_row_index
 
 # Fixed value: seed of the shuffled K-fold used for stacking.
 STACKING_FOLD_SEED = 1000000007
 
+MAX_CLASSES = 32
+
 
 def kfold_contiguous(df: DataFrame, k: int, order_cols: Sequence[str], fold_col: str = "fold") -> DataFrame:
     """Unshuffled K-fold: contiguous blocks in ``order_cols`` order."""
@@ -42,8 +44,34 @@ def kfold_stratified(df: DataFrame, k: int, label_col: str, order_cols: Sequence
     ``[s, s+m)`` of the class-sorted order and fold ``i`` receives as many of
     its rows as there are positions ``p`` in that range with ``p % k == i``,
     as contiguous blocks of the class's rows in row order. Rows without a label
-    are a class of their own.
+    are a class of their own. Up to MAX_CLASSES classes, the blocks' first keys
+    are found in one pass and become literals: no row is moved.
     """
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    if df.select(label_col).distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        return _stratified_by_rank(df, k, label_col, order_cols, fold_col)
+
+    def ends(classes: dict) -> dict:
+        """For each class, in how many rows its folds 0 .. k - 2 end."""
+        out, start = {}, 0
+        for label in sorted(classes, key=lambda c: nulls_first(classes[c][1])):
+            size = classes[label][0]
+            # positions p < x with p mod k = i: (x + k - 1 - i) // k
+            shares = [(start + size + k - 1 - i) // k - (start + k - 1 - i) // k for i in range(k)]
+            out[label] = [sum(shares[: i + 1]) for i in range(k - 1)]
+            start += size
+        return out
+
+    fold = F.lit(None).cast("int")
+    for label, behind in reached_in_groups(df, order_cols, label_col, ends).items():
+        same = F.col(label_col).eqNullSafe(F.lit(label).cast(df.schema[label_col].dataType))
+        fold = F.when(same, sum((b.cast("int") for b in behind), F.lit(0))).otherwise(fold)
+    return df.withColumn(fold_col, fold)
+
+
+def _stratified_by_rank(df: DataFrame, k: int, label_col: str, order_cols: Sequence[str], fold_col: str) -> DataFrame:
+    """The same folds for any number of classes: every row gets its rank within its class."""
     classes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__m"), F.min(F.struct(*order_cols)).alias("__first"))
     # one row per class: a window over this small table is cheap
     w = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)

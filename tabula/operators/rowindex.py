@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +135,63 @@ def reached(
     return total, out
 
 
+def nulls_first(row: Row) -> tuple:
+    return tuple((v is not None, v) for v in row)
+
+
+def reached_in_groups(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    group_col: str,
+    positions: Callable[[dict[object, tuple[int, Row]]], dict[object, list[int]]],
+    num_partitions: int | None = None,
+) -> dict[object, list[Column]]:
+    """:func:`reached` within each group of a column of few values: for each of a group's
+    0-based positions, whether a row of that group stands at it or behind it.
+
+    ``positions`` maps each group to its places, given each group's size and first key. One
+    aggregate counts all (group, bucket) cells; only cells with a wanted position are ranked;
+    the driver gets ``groups * (partitions + 1)`` counts and one key per position."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = _bucketed(df, order_cols, n).select(F.col(group_col).alias("__g"), *order_cols, _BUCKET)
+    cells: dict[object, dict[int, int]] = {}
+    first: dict[object, Row] = {}
+    for r in bucketed.groupBy("__g", _BUCKET).agg(F.count(F.lit(1)).alias(_CNT), F.min(F.struct(*order_cols)).alias("__first")).collect():
+        cells.setdefault(r["__g"], {})[r[_BUCKET]] = r[_CNT]
+        first[r["__g"]] = min(first.get(r["__g"], r["__first"]), r["__first"], key=nulls_first)
+    sizes = {g: sum(c.values()) for g, c in cells.items()}
+    wanted = positions({g: (sizes[g], first[g]) for g in cells})
+    places: dict[tuple[object, int], tuple[int, int]] = {}
+    for g, points in wanted.items():
+        before = 0
+        for bucket in sorted(cells[g]):
+            for p in points:
+                if before <= p < before + cells[g][bucket]:
+                    places[g, p] = (bucket, p - before + 1)
+            before += cells[g][bucket]
+    keys: dict[tuple[object, int, int], Row] = {}
+    if places:
+        spots = sorted({(g, b, rn) for (g, _), (b, rn) in places.items()}, key=repr)
+        schema = T.StructType([T.StructField("__sg", bucketed.schema["__g"].dataType), T.StructField("__sb", T.IntegerType()), T.StructField("__sr", T.IntegerType())])
+        spot = F.broadcast(df.sparkSession.createDataFrame(spots, schema))  # one row per position
+        cell = F.broadcast(spot.select("__sg", "__sb").distinct())
+        at = F.col("__g").eqNullSafe(F.col("__sg")) & (F.col(_BUCKET) == F.col("__sb"))
+        ranked = bucketed.join(cell, at, "left_semi").withColumn(_RN, F.row_number().over(Window.partitionBy("__g", _BUCKET).orderBy(*order_cols)))
+        for r in ranked.join(spot, at & (F.col(_RN) == F.col("__sr")), "left_semi").collect():
+            keys[r["__g"], r[_BUCKET], r[_RN]] = r
+    types = {c: df.schema[c].dataType for c in order_cols}
+
+    def behind(g: object, p: int) -> Column:
+        if p <= 0:
+            return F.lit(True)
+        if p >= sizes[g]:
+            return F.lit(False)
+        key = keys[g, *places[g, p]]
+        return F.struct(*[F.col(c) for c in order_cols]) >= F.struct(*[F.lit(key[c]).cast(types[c]).alias(c) for c in order_cols])
+
+    return {g: [behind(g, p) for p in points] for g, points in wanted.items()}
+
+
 def with_row_index(
     df: DataFrame,
     order_cols: Sequence[str | Column],

@@ -32,6 +32,12 @@ def test_folds_and_halves_move_no_rows(spark):
         assert "Exchange" not in _plan(df)
 
 
+def test_stratified_folds_move_no_rows(spark):
+    train = fx.train(spark, SF_SMALL).select("id", "class")
+    df = folds.kfold_stratified(train, 5, "class", ["id"])
+    assert "Exchange" not in _plan(df) and "Join" not in _plan(df)
+
+
 def test_top_trials_limits_groups_before_the_shuffle(spark):
     plan = _plan(search.top_trials(fx.trials(spark, SF_SMALL), k=3))
     assert "WindowGroupLimit" in plan

@@ -74,18 +74,36 @@ def test_contiguous_folds_sizes(spark, k):
     assert f["fold"].is_monotonic_increasing
 
 
-def test_stratified_folds_match_round_robin_construction(spark):
+def _stratified_by_positions(labels, k):
+    """Fold of each row: a class takes the next positions, fold i as many of its rows as there
+    are positions p with p mod k = i, in blocks."""
+    rows_of = {}
+    for row, label in enumerate(labels):
+        rows_of.setdefault(label, []).append(row)
+    fold, start = [None] * len(labels), 0
+    for rows in rows_of.values():
+        positions = range(start, start + len(rows))
+        blocks = [i for i in range(k) for p in positions if p % k == i]
+        for row, i in zip(rows, blocks, strict=True):
+            fold[row] = i
+        start += len(rows)
+    return fold
+
+
+@pytest.mark.parametrize("k", [2, 5, 7])
+def test_stratified_folds_by_positions(spark, k, monkeypatch):
     t = fx.train(spark, SF_SMALL).select("id", "class")
-    got = folds.kfold_stratified(t, 5, "class", ["id"]).toPandas().sort_values("id")
-    y = got["class"].to_numpy()
-    classes = list(dict.fromkeys(y))  # first appearance
-    enc = np.array([classes.index(v) for v in y])
-    y_order = np.sort(enc)
-    alloc = np.asarray([np.bincount(y_order[i::5], minlength=len(classes)) for i in range(5)])
-    expected = np.empty(len(y), dtype=int)
-    for c in range(len(classes)):
-        expected[enc == c] = np.arange(5).repeat(alloc[:, c])
-    assert list(got["fold"]) == list(expected)
+    many = t.select("id", (F.col("id") * 7919 % 5).cast("int").alias("class"), F.lit("clash").alias("__g"))
+    few = spark.createDataFrame([(3, None), (1, "z"), (2, "a"), (9, None)], "id long, class string")
+    for df in (t, many, few):
+        rows = df.orderBy("id").collect()
+        want = _stratified_by_positions([r["class"] for r in rows], k)
+        for most in (folds.MAX_CLASSES, 1):  # by literal keys, and by ranks
+            monkeypatch.setattr(folds, "MAX_CLASSES", most)
+            got = folds.kfold_stratified(df, k, "class", ["id"])
+            assert got.columns == [*df.columns, "fold"]
+            assert [r.fold for r in got.orderBy("id").collect()] == want
+            monkeypatch.undo()
 
 
 # ------------------------------------------------------------ votes
