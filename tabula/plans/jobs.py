@@ -18,7 +18,7 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.operators import cleaning, learners, metrics, vote
+from tabula.operators import cleaning, learners, metrics, ridge_cv, vote
 from tabula.operators.candidates import FeatureSet, model_candidates, pending_candidates
 from tabula.operators import preprocess as pp
 from tabula.operators.folds import head_fraction, kfold_stratified, sample_exact
@@ -60,10 +60,10 @@ def cv_objective(
     parallelism: int = 4,
 ) -> list[float | None]:
     """Mean stratified K-fold accuracy of the full pipeline for each parameter
-    set. Preprocessing doesn't depend on the parameters: it is fitted once per
-    fold, on the other folds (leak-free), and the encoded fold is cached while
-    the learners run side by side. All ridge parameter sets are solved from one
-    Gram matrix per fold. Trials whose parameters have no distributed
+    set. All ridge parameter sets and folds come from one pass of sums
+    (:mod:`tabula.operators.ridge_cv`). For other learners, preprocessing doesn't
+    depend on the parameters: it is fitted once per fold, on the other folds
+    (leak-free), and the encoded fold is cached while the learners run side by side. Trials whose parameters have no distributed
     counterpart come back as ``None`` (failed)."""
     ests: list[Estimator | None] = []
     for i, t in enumerate(trials):
@@ -74,17 +74,26 @@ def cv_objective(
             ests.append(None)
     todo = [i for i, e in enumerate(ests) if e is not None]
     folded = kfold_stratified(df, n_cv, label_col, ["id"]).persist()
-    total = dict.fromkeys(todo, 0.0)
-    for fold in range(n_cv) if todo else ():
+    if todo and all(isinstance(ests[i], learners.RidgeClassifier) for i in todo):
+        scores = dict(zip(todo, ridge_cv.ridge_cv_accuracies(folded, features, label_col, [ests[i].getOrDefault("alpha") for i in todo]), strict=True))
+    else:
+        scores = dict(zip(todo, _scores_fold_by_fold([ests[i] for i in todo], folded, features, label_col, n_cv, parallelism), strict=True))
+    folded.unpersist()
+    return [scores.get(i) for i in range(len(trials))]
+
+
+def _scores_fold_by_fold(ests: Sequence[Estimator], folded: DataFrame, features: Sequence[str], label_col: str, n_cv: int, parallelism: int) -> list[float]:
+    """Mean accuracy of each estimator, one fold after the other."""
+    total = [0.0] * len(ests)
+    for fold in range(n_cv) if ests else ():
         train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
         prep = pp.build_preprocessing(folded.schema, features_in=features).fit(train)
         enc, held = (prep.transform(d).select("id", label_col, "features").persist() for d in (train, test))
-        for i, score in zip(todo, _fold_accuracies([ests[i] for i in todo], enc, held, label_col, parallelism), strict=True):
+        for i, score in enumerate(_fold_accuracies(ests, enc, held, label_col, parallelism)):
             total[i] += score / n_cv
         enc.unpersist()
         held.unpersist()
-    folded.unpersist()
-    return [total.get(i) for i in range(len(trials))]
+    return total
 
 
 def _fold_accuracies(ests: Sequence[Estimator], train: DataFrame, test: DataFrame, label_col: str, parallelism: int) -> list[float]:
