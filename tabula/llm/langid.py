@@ -25,6 +25,9 @@ DIMENSION = 1024
 SEED = 0x1D
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
+BLOCK_GRAMS = 1 << 11
+"""Distinct trigrams whose vectors are held at once: a text of many different ones takes no more memory."""
+KNOWN_LETTERS = 1 << 15
 DENSE = 1 << 23
 """Trigram codes below this are counted in a table, others by sorting."""
 
@@ -80,23 +83,38 @@ def trigrams(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return row, index, symbols[np.stack([seen // (m * m), seen // m % m, seen % m], 1)], counts
 
 
+_VECTORS: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def _letter_vector(letter: int, dimension: int, seed: int) -> np.ndarray:
+    key = (seed, dimension, letter)
+    if key not in _VECTORS:
+        if len(_VECTORS) >= KNOWN_LETTERS:
+            _VECTORS.clear()
+        bits = np.random.Generator(np.random.Philox(key=(seed << 32) | letter)).integers(0, 2, dimension, dtype=np.int8)
+        _VECTORS[key] = 2 * bits - 1
+    return _VECTORS[key]
+
+
 def gram_vectors(grams: np.ndarray, dimension: int = DIMENSION, seed: int = SEED) -> np.ndarray:
     """(n, dimension) of +-1: the bound vectors of trigrams of code points."""
     symbols, at = np.unique(grams, return_inverse=True)
     at = at.reshape(grams.shape)
-    base = np.empty((len(symbols), dimension), np.int8)
-    for k, c in enumerate(symbols):
-        bits = np.random.Generator(np.random.Philox(key=(seed << 32) | int(c))).integers(0, 2, dimension, dtype=np.int8)
-        base[k] = 2 * bits - 1
+    base = np.stack([_letter_vector(int(c), dimension, seed) for c in symbols])
     return np.roll(base, 2, 1)[at[:, 0]] * np.roll(base, 1, 1)[at[:, 1]] * base[at[:, 2]]
 
 
 def bundles(rows: np.ndarray, index: np.ndarray, grams: np.ndarray, n: int, dimension: int) -> np.ndarray:
-    """(n, dimension): the sum of each row's trigram vectors."""
-    if not len(grams):
-        return np.zeros((n, dimension), np.float32)
-    counts = np.bincount(rows * len(grams) + index, minlength=n * len(grams)).reshape(n, len(grams))
-    return counts.astype(np.float32) @ gram_vectors(grams, dimension).astype(np.float32)
+    """(n, dimension): the sum of each row's trigram vectors, a block of distinct trigrams at a time."""
+    out = np.zeros((n, dimension), np.float32)
+    order = np.argsort(index, kind="stable")
+    rows, index = rows[order], index[order]
+    for lo in range(0, len(grams), BLOCK_GRAMS):
+        block = grams[lo : lo + BLOCK_GRAMS]
+        a, b = np.searchsorted(index, [lo, lo + len(block)])
+        counts = np.bincount(rows[a:b] * len(block) + index[a:b] - lo, minlength=n * len(block)).reshape(n, len(block))
+        out += counts.astype(np.float32) @ gram_vectors(block, dimension).astype(np.float32)
+    return out
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimension: int = DIMENSION) -> dict[str, np.ndarray]:

@@ -35,8 +35,8 @@ END_ID = 1
 SHORTEST_CUT = 64
 """A rest up to this length isn't cut further."""
 
-SLICE_BYTES = 2 << 20
-CACHE_WORDS = 1 << 19
+SLICE_BYTES = 1 << 19
+CACHE_WORDS = 1 << 16
 
 
 def cut_lengths(tokens: int, capacity: int = CAPACITY, shortest: int = SHORTEST_CUT) -> list[int]:
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: Callable[[], str], id_col: str = "doc_id"
                     start = 0
                     for length in cut_lengths(len(own), capacity, shortest):
                         piece = own[start : start + length]
-                        out.append((at + k, start, length, zlib.crc32(piece.tobytes()), len(own), piece))
+                        out.append((at + k, start, length, zlib.crc32(piece.tobytes()), len(own), *([piece] if with_ids else [])))
                         start += length
                 cols = list(zip(*out, strict=True))
                 arrays = [batch.column(0).take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:5])]
