@@ -28,8 +28,11 @@ SCALE = 1_000_000_000
 PRIOR = 5
 MIN_DOCS = 30
 TOP_TERMS = 50
-BLOCK_CELLS = 1 << 19
-"""Cells that a block holds on average; blocks are dealt by a hash of the term."""
+BLOCK_CELLS, MOST_CELLS = 1 << 15, 1 << 21
+"""Cells that a block holds on average: so many, or more with many peers, as a block gives up to
+peers x peers sums; blocks are dealt by a hash of the term."""
+KEPT_ROWS = 1 << 20
+"""Kept terms up to so many rows are broadcast; more of them are joined by shuffle."""
 BLOCK_PLACES = 1 << 21
 """Accumulator places (groups of a task x peers) that a task holds."""
 SLICE_BYTES = 16 << 20
@@ -118,7 +121,7 @@ def accumulate(group: np.ndarray, term: np.ndarray, share: np.ndarray, base: np.
 
 def _distances(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of each group and every other group of its language."""
-    places = groups.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("lang_cells") / BLOCK_CELLS)))
+    places = groups.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("lang_cells") / F.least(F.greatest(F.lit(BLOCK_CELLS), F.col("peers") * F.col("peers")), F.lit(MOST_CELLS)))))
     places = places.withColumn("step", F.greatest(F.lit(1), F.lit(BLOCK_PLACES).cast("long") / F.col("peers")).cast("long"))
     places = places.withColumn("parts", F.ceil(F.col("peers") / F.col("step")))
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
@@ -160,7 +163,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     lang, source, text = (F.col(f"`{c}`") for c in (lang_col, source_col, text_col))
     rows = term_rows(docs, lang, source, text)
     kept = stored(rows.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"), "terms")
-    cells = stored(rows.join(kept, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "cells")
+    wanted = F.broadcast(kept) if kept.limit(KEPT_ROWS + 1).count() <= KEPT_ROWS else kept
+    cells = stored(rows.join(wanted, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "cells")
 
     named = docs.select(F.coalesce(lang.cast("string"), F.lit("")).alias("lang"), F.coalesce(source.cast("string"), F.lit("")).alias("source")).distinct()
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
