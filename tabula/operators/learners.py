@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabula.operators.boosting import AdaBoostSAMME
+from tabula.operators.stopping import StoppedBoostedTrees
 from tabula.plans.search import space_for
 from tabula.session import checkpointed
 
@@ -214,6 +215,13 @@ def make_learner(model_name: str, params: Mapping[str, object] | None = None, se
         iters, depth = p.get("iterations", 100), p.get("depth", 6)
         frac = p.get("rsm", 1.0)
         bins = int(p.get("border_count", 32))
+        wait, positive = int(p.get("od_wait") or 0), float(p.get("scale_pos_weight") or 1.0)
+        if wait > 0 or positive != 1.0:
+            return StoppedBoostedTrees(
+                maxIter=int(iters), maxDepth=_tree_depth(depth), stepSize=_share("learning_rate", p.get("learning_rate", 0.1)),
+                subsamplingRate=_share("subsample", p.get("subsample", 1.0)), featureSubsetStrategy=_subset_strategy(float(frac) if frac is not None else None),
+                maxBins=max(bins, 2), seed=seed, wait=wait, positiveWeight=positive, **common,
+            )
     else:
         iters, depth = p.get("n_estimators", 100), p.get("max_depth", 5)
         frac = p.get("colsample_bytree", 1.0)

@@ -1107,6 +1107,11 @@ def q_gbt_classify(spark, sf):
     return _learner_fold0(spark, sf, "XGBClassifier", {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.2})
 
 
+@query("catboost_early_stop")
+def q_catboost_early_stop(spark, sf):
+    return _learner_fold0(spark, sf, "CatBoostClassifier", {"iterations": 25, "depth": 4, "learning_rate": 0.3, "od_wait": 4, "scale_pos_weight": 1.5})
+
+
 @query("random_forest")
 def q_random_forest(spark, sf):
     return _learner_fold0(spark, sf, "RandomForestClassifier", {"n_estimators": 30, "max_depth": 6, "max_features": "sqrt"})
