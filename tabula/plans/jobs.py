@@ -155,7 +155,7 @@ def search_study(
             if count >= patience:
                 break
         batch_df = spark.createDataFrame(rows, "study string, seq long, value double, state string, params string")
-        store.append_trials(spark, trials_root, batch_df, run=run)
+        store.append_trials(spark, trials_root, batch_df, run=run, batch_id=f"{candidate}-{start}")
         start += size
         done += size
     trials = store.read_trials(spark, trials_root, run).where(F.col("study") == candidate)
