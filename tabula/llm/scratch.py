@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabula.session import scratch_path
 
@@ -14,3 +18,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+FEW = 1 << 20
+"""Rows of keys that may be broadcast (20 to 60 MB as a hash table)."""
+
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends: what the next query needs of it was
+    written by ``stored``. The session's setting comes back afterwards."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
+def only(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose values in the columns of ``keys`` (a few numbers each) are a row
+    of it: up to FEW rows are broadcast, so that no row of ``df`` moves; more are joined by a shuffle."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return df.join(F.broadcast(keys) if few else keys, keys.columns, "left_semi")
