@@ -218,8 +218,8 @@ def fit(x: np.ndarray, y: np.ndarray, directions: list[int], trees: int = TREES,
 
 def train(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Fit on the labelled rows, or on the ``rows`` of them that come first by a hash of the id.
-    Null ids and labels teach nothing."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias("__y")).dropDuplicates([id_col])
+    Null ids and labels teach nothing; an id with several labels counts once, with their mean."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("__y"))
     # a hash orders the rows; only about twice as many as are wanted reach the sort
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
     share = min(1.0, 2 * rows / max(known.count(), 1))

@@ -76,3 +76,11 @@ def test_empty_tables(spark):
     assert quality.quality_filter(docs, labels).collect() == []
     one = spark.createDataFrame([(1, "some words that are long enough to pass the rules of all here", 5)], "doc_id long, text string, quality_score int")
     assert quality.quality_filter(one, labels).first().kept
+
+
+def test_several_labels_of_one_id_teach_their_mean(spark):
+    docs = spark.createDataFrame([(k, ("good words of a text " * 4 if k % 2 else "# # # x ") * (1 + k % 5)) for k in range(60)], "doc_id long, text string")
+    counts = quality.document_statistics(docs, "doc_id", "text")
+    rows = [(k, k % 2) for k in range(60)] + [(k, 1 - k % 2) for k in range(0, 60, 7)]
+    models = [quality.train(counts, spark.createDataFrame(r, "doc_id long, quality int").repartition(n)) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert all((getattr(models[0], f) == getattr(models[1], f)).all() for f in ("feature", "threshold", "left", "right", "value", "root"))
