@@ -91,16 +91,23 @@ def format_preferences(pairs: DataFrame, chosen_col: str = "chosen", rejected_co
     )
 
 
-def with_stale_reply(talks: DataFrame, turns_col: str = "turns") -> DataFrame:
-    """(.., chosen, rejected) from single conversations: ``chosen`` ends with the last assistant
-    turn (without one it is all turns); ``rejected`` gives the reply before that one instead, or,
-    if it is the only one, its first sentence."""
+def with_stale_reply(talks: DataFrame, id_col: str = "conv_id", turns_col: str = "turns") -> DataFrame:
+    """(.., chosen, rejected) from single conversations: ``chosen`` is every turn; ``rejected`` is
+    the same but for one assistant turn, at a place drawn by a hash of the id, whose text is
+    the assistant turn's before it or, at the first one, its own first sentence.
+
+    Turns after the drawn one stay in both, so completions hold as many trained turns as follow.
+    Without an assistant turn, or where the stale text is the text itself, both are equal.
+    A null id is drawn like an empty text.
+    """
     turns = F.col(turns_col)
-    replies = F.filter(F.transform(turns, lambda t, i: F.struct((i + 1).alias("at"), t["role"].alias("role"), t["text"].alias("text"))), lambda t: t["role"] == TRAINED_ROLE)
-    got = talks.withColumn("__replies", replies)
-    last = F.element_at("__replies", -1)
-    some = F.size("__replies") > 0
-    chosen = F.when(some, F.slice(turns, F.lit(1), last["at"])).otherwise(turns)
-    stale = F.when(F.size("__replies") > 1, F.element_at("__replies", -2)["text"]).otherwise(F.regexp_extract(last["text"], r"^[^.!?]*[.!?]?", 0))
-    rejected = F.when(some, F.concat(F.slice(turns, F.lit(1), last["at"] - 1), F.array(F.struct(last["role"].alias("role"), stale.alias("text"))))).otherwise(turns)
-    return got.withColumn("chosen", chosen).withColumn("rejected", rejected).drop("__replies", turns_col)
+    places = F.transform(turns, lambda t, i: F.struct((i + 1).alias("at"), t["role"].alias("role"), t["text"].alias("text")))
+    got = talks.withColumn("__replies", F.filter(places, lambda t: F.coalesce(t["role"] == TRAINED_ROLE, F.lit(False))))
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    got = got.withColumn("__k", F.when(F.size("__replies") > 0, F.pmod(draw, F.size("__replies")).cast("int") + 1))
+    here = F.try_element_at("__replies", F.col("__k"))
+    before = F.try_element_at("__replies", F.greatest(F.col("__k") - 1, F.lit(1)))
+    stale = F.when(F.col("__k") > 1, before["text"]).otherwise(F.regexp_extract(here["text"], r"^[^.!?]*[.!?]?", 0))
+    got = got.withColumn("__stale", F.struct(here["at"].alias("at"), stale.alias("text")))
+    other = F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("__stale")["at"], F.col("__stale")["text"]).otherwise(t["text"]).alias("text")))
+    return got.withColumn("chosen", turns).withColumn("rejected", other).drop(*{"__replies", "__k", "__stale", turns_col} - {"chosen", "rejected"})

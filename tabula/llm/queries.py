@@ -91,7 +91,7 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation against itself with a stale last reply."""
+    """Each conversation, all turns, against itself with a stale reply at a hashed place."""
     talks = preference.conversations(_table(spark, sf_dir, "conversations"))
     got = preference.format_preferences(preference.with_stale_reply(talks))
     spans = lambda c: F.array_join(F.transform(F.col(c), lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias(c)
@@ -205,15 +205,18 @@ def url_sql() -> str:
 PREFERENCE_SQL = r"""
 WITH rows AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM rows),
-replies AS (SELECT conv_id, pos, text, lag(text) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM ranked WHERE role = 'assistant'),
-tail_turn AS (SELECT conv_id, pos, text, CASE WHEN n > 1 THEN earlier ELSE regexp_extract(text, '^[^.!?]*[.!?]?', 0) END AS stale FROM replies WHERE back = 1),
-turns AS (SELECT r.conv_id, r.pos, '<|im_start|>' || replace(coalesce(r.role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(r.text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS shown, tail_turn.pos AS tail_turn, tail_turn.text IS NOT DISTINCT FROM tail_turn.stale AS same
-          FROM ranked r LEFT JOIN tail_turn ON r.conv_id = tail_turn.conv_id),
-prompts AS (SELECT conv_id, string_agg(shown, '' ORDER BY pos) FILTER (WHERE tail_turn IS NULL OR pos < tail_turn OR (pos = tail_turn AND same)) AS prompt, count(*) FILTER (WHERE tail_turn IS NULL OR pos < tail_turn OR (pos = tail_turn AND same)) AS prompt_turns FROM turns GROUP BY ALL),
-ends AS (SELECT conv_id, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS good, replace(coalesce(stale, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS bad FROM tail_turn WHERE text IS DISTINCT FROM stale)
-SELECT p.conv_id, coalesce(prompt, '') AS prompt, prompt_turns, coalesce('<|im_start|>assistant' || chr(10) || good, '') AS chosen, coalesce('<|im_start|>assistant' || chr(10) || bad, '') AS rejected,
-       coalesce('22:' || (22 + length(good)), '') AS chosen_mask, coalesce('22:' || (22 + length(bad)), '') AS rejected_mask
-FROM prompts p LEFT JOIN ends USING (conv_id)
+replies AS (SELECT conv_id, pos, text, lag(text) OVER w AS earlier, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM ranked WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+drawn AS (SELECT conv_id, pos AS drawn_pos, CASE WHEN k > 1 THEN earlier ELSE regexp_extract(text, '^[^.!?]*[.!?]?', 0) END AS stale FROM replies WHERE k = 1 + ('0x' || md5(conv_id::VARCHAR)[1:8])::BIGINT % n),
+sides AS (SELECT r.conv_id, pos, side, role, CASE WHEN side = 'b' AND pos = drawn_pos THEN stale ELSE text END AS text,
+                 CASE WHEN drawn_pos IS NOT NULL AND pos >= drawn_pos AND (SELECT text FROM ranked x WHERE x.conv_id = r.conv_id AND x.pos = drawn_pos) IS DISTINCT FROM stale THEN 1 ELSE 0 END AS after
+          FROM ranked r LEFT JOIN drawn USING (conv_id), (VALUES ('a'), ('b')) s(side)),
+shown AS (SELECT *, '<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS tail FROM sides),
+placed AS (SELECT *, sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, side, after ORDER BY pos) AS stop FROM shown),
+told AS (SELECT conv_id, side, after, count(*) AS n, string_agg(head || tail, '' ORDER BY pos) AS txt, string_agg((stop - length(tail))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY pos) FILTER (WHERE role = 'assistant') AS mask FROM placed GROUP BY ALL)
+SELECT conv_id, coalesce(max(txt) FILTER (WHERE side = 'a' AND after = 0), '') AS prompt, coalesce(max(n) FILTER (WHERE side = 'a' AND after = 0), 0) AS prompt_turns,
+       coalesce(max(txt) FILTER (WHERE side = 'a' AND after = 1), '') AS chosen, coalesce(max(txt) FILTER (WHERE side = 'b' AND after = 1), '') AS rejected,
+       coalesce(max(mask) FILTER (WHERE side = 'a' AND after = 1), '') AS chosen_mask, coalesce(max(mask) FILTER (WHERE side = 'b' AND after = 1), '') AS rejected_mask
+FROM told GROUP BY conv_id
 """
 
 

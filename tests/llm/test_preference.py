@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from tabula.llm import preference as pf
@@ -40,6 +43,45 @@ def test_conversations_of_odd_rows(spark):
     assert pf.format_preferences(pf.with_stale_reply(pf.conversations(turns.limit(0)))).collect() == []
 
 
+def stale_pair(conv_id, turns):
+    """The two conversations by the rule, in plain Python."""
+    at = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+    if not at:
+        return turns, turns
+    k = int(hashlib.md5(str(conv_id).encode()).hexdigest()[:8], 16) % len(at)
+    text = turns[at[k]][1]
+    stale = turns[at[k - 1]][1] if k else text if text is None else re.match(r"[^.!?]*[.!?]?", text)[0]
+    return turns, [(r, stale if i == at[k] else t) for i, (r, t) in enumerate(turns)]
+
+
+def test_stale_replies_keep_every_turn(spark):
+    u, a, b, c = ("user", "hi"), ("assistant", "One. Two."), ("assistant", "Three"), ("assistant", "Four! Five?")
+    talks = {k: v for k, v in enumerate([[u, a, u, b, u, c, u], [u, a, u, b, u, c, u], [u, a, u, b, u, c, u], [u, a, u, b, u, c, u], [u], [a], [b], [("assistant", None), a], [(None, "x"), a, ("user", None), a, a], [("system", "s"), u, c, u], []])}
+    df = spark.createDataFrame(list(talks.items()), "conv_id long, turns array<struct<role:string,text:string>>").withColumn("at", F.lit(3))
+    places = set()
+    for r in pf.with_stale_reply(df).collect():
+        x, y = stale_pair(r.conv_id, talks[r.conv_id])
+        assert [tuple(t) for t in r.chosen] == x and [tuple(t) for t in r.rejected] == y and r.at == 3
+        places.update(i for i, (p, q) in enumerate(zip(x, y)) if p != q)
+    assert len(places) > 2
+
+
+def test_query_keeps_all_turns(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF_SMALL}/conversations.parquet").distinct().collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    got = QUERIES["op10_preference_format"](spark, SF_SMALL).collect()
+    trained = set()
+    for r in got:
+        x, y = stale_pair(r.conv_id, [t[1:] for t in sorted(turns[r.conv_id])])
+        k = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), len(x))
+        assert (r.prompt, r.prompt_turns, r.chosen, r.rejected) == (show(x[:k]), k, show(x[k:]), show(y[k:]))
+        assert [tuple(map(int, m.split(":"))) for m in r.chosen_mask.split(",") if m] == spans(x[k:])
+        assert [tuple(map(int, m.split(":"))) for m in r.rejected_mask.split(",") if m] == spans(y[k:])
+        trained.add(r.chosen_mask.count(":"))
+    assert len(got) == len(turns) and max(trained) > 1
+
+
 def test_query_masks_cover_replies(spark):
     for r in QUERIES["op10_preference_format"](spark, SF_SMALL).collect():
         for text, mask in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask)):
