@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,18 +65,38 @@ def _words_of(attrs: str) -> frozenset[str]:
 
 
 class _Element:
-    """An open element, with the features of all elements around it."""
+    """An open element, with the features of all elements around it: those of ``known`` (all, if
+    it is None). An element that adds none shares its parent's, so that depth costs nothing
+    once a model's features are fixed."""
 
     __slots__ = ("tag", "around", "block", "unseen", "kids")
 
-    def __init__(self, tag: str, attrs: str, parent: _Element | None):
+    def __init__(self, tag: str, attrs: str, parent: _Element | None, known: frozenset[str] | None = None):
         self.tag, self.kids = tag, {}
         own = frozenset({"in:" + tag}) | _words_of(attrs) if attrs else frozenset({"in:" + tag})
-        self.around = (parent.around if parent else frozenset()) | own
+        own = own if known is None else own & known
+        outer = parent.around if parent else frozenset()
+        self.around = outer if own <= outer else outer | own
         self.block = tag if tag not in INLINE or parent is None else parent.block
         self.unseen = tag in UNSEEN or bool(parent and parent.unseen)
 
 
+class Ancestry:
+    """The elements met so far, below ``root``: elements of equal ancestry are one object."""
+
+    __slots__ = ("root", "known", "made")
+
+    def __init__(self, known: frozenset[str] | None = None):
+        self.root, self.known, self.made = _Element("#", "", None, known), known, 0
+
+    def child(self, parent: _Element, tag: str, attrs: str) -> _Element:
+        got = parent.kids.get((tag, attrs))
+        if got is None:
+            got = parent.kids[tag, attrs] = _Element(tag, attrs, parent, self.known)
+            self.made += 1
+        return got
+
+
 @dataclass
 class Block:
     text: str
@@ -83,10 +104,15 @@ class Block:
     links: int
 
 
-def blocks_of(page: str, root: _Element | None = None) -> list[Block]:
-    """The leaf blocks of a page in order. Elements of equal ancestry share an object below ``root``."""
-    root = root or _Element("#", "", None)
-    stack, out = [root], []
+def blocks_of(page: str, ancestry: Ancestry | None = None) -> list[Block]:
+    """The leaf blocks of a page in order. Time is linear in the page's length: every tag looks up
+    where the elements that it may close stand on the stack."""
+    ancestry = ancestry or Ancestry()
+    stack, out = [ancestry.root], []
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    """Where each tag's open elements stand on the stack."""
+    blocks: list[int] = []
+    """Where block-level elements stand."""
     pieces: list[str] = []
     state = {"at": None, "links": 0, "anchors": 0}
 
@@ -111,8 +137,12 @@ def blocks_of(page: str, root: _Element | None = None) -> list[Block]:
         pieces.append(text)
 
     def pop_to(k: int) -> None:
-        state["anchors"] -= sum(e.tag == "a" for e in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+            state["anchors"] -= tag == "a"
 
     at = 0
     unclosed: set[str] = set()
@@ -134,18 +164,16 @@ def blocks_of(page: str, root: _Element | None = None) -> list[Block]:
         if tag not in INLINE:
             flush()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
+            if places[tag]:
+                pop_to(places[tag][-1])
             continue
         if tag in RAW or tag in ASIDE:
-            if tag in unclosed:
+            if tag in unclosed or (attrs.endswith("/") and tag not in ("script", "style")):
                 continue
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if end is None and tag in ASIDE:
                 unclosed.add(tag)
-            elif not attrs.endswith("/") or tag in ("script", "style"):
+            else:
                 at = end.end() if end else len(page)
                 pieces.append(" " if pieces else "")
             continue
@@ -154,20 +182,19 @@ def blocks_of(page: str, root: _Element | None = None) -> list[Block]:
         if tag == "body":
             pop_to(1)  # a head left open ends here
         if tag not in INLINE:
-            mine, scope = CLOSES.get(tag, (set(), set()))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or stack[k].tag in mine:
-                    pop_to(k)
-                    if stack[k - 1].tag not in mine:
-                        break
-                elif stack[k].tag not in INLINE:
-                    if stack[k].tag in scope or not mine:
-                        break
-        key = (tag, attrs)
-        child = stack[-1].kids.get(key)
-        if child is None:
-            child = stack[-1].kids[key] = _Element(tag, attrs, stack[-1])
-        stack.append(child)
+            mine, scope = CLOSES.get(tag, ((), ()))
+            if not mine and blocks and stack[blocks[-1]].tag == "p":
+                pop_to(blocks[-1])
+            elif mine:
+                ends = max((places[t][-1] for t in ("p", *mine) if places[t]), default=0)
+                if ends > max((places[t][-1] for t in scope if places[t]), default=0):
+                    pop_to(ends)
+                    while stack[-1].tag in mine:
+                        pop_to(len(stack) - 1)
+        places[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append(ancestry.child(stack[-1], tag, attrs))
         state["anchors"] += tag == "a"
     flush()
     return out
@@ -265,14 +292,15 @@ class Extractor:
     MOST = 50_000
 
     def __init__(self, model: Model):
-        self.model, self.root, self.scores = model, _Element("#", "", None), {}
+        self.model, self.known = model, frozenset(model.weights)
+        self.ancestry, self.scores = Ancestry(self.known), {}
 
     def blocks(self, page: str) -> list[tuple[str, bool]]:
         """Every block's text and whether it is part of the article."""
-        if len(self.scores) > self.MOST:
-            self.root, self.scores = _Element("#", "", None), {}
+        if self.ancestry.made > self.MOST:
+            self.ancestry, self.scores = Ancestry(self.known), {}
         w, model = self.model.weights, self.model
-        found = blocks_of(page, self.root)
+        found = blocks_of(page, self.ancestry)
         if not found:
             return []
         (oo, oa), (ao, aa) = model.change

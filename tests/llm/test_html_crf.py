@@ -1,6 +1,8 @@
 import html
 import itertools
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -42,6 +44,36 @@ def test_math_and_object_text():
     assert texts(page) == ["So x=2 holds.", "Fallback text", "End"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 16_000 + "</i>" * 16_000 + "x", "<b>" * 16_000 + "<div></div>" * 16_000 + "x", "<div>" * 16_000 + "<li></li>" * 16_000 + "x", "<svg/>" * 16_000 + "</svg>x", "<a>" * 16_000 + "</a>" * 16_000 + "x"],
+    ids=["unmatched", "inline", "items", "closed", "anchors"],
+)
+def test_thousands_of_tags_take_linear_time(page):
+    start = time.process_time()
+    assert texts(page) == ["x"]
+    assert time.process_time() - start < 5  # quadratic code takes 20 and more
+
+
+def test_deep_pages_of_different_classes_take_little_memory(extractor):
+    page = "".join(f"<div class='k{''.join(chr(97 + int(d)) for d in str(n))} main'>" for n in range(8_000)) + "<p>" + "One long sentence of words, here. " * 9
+    tracemalloc.start()
+    extractor.blocks(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    lone = crf.Extractor(extractor.model)
+    plain = "<div class=main><p>" + "One long sentence of words, here. " * 9
+    assert lone.text(page) == lone.text(plain)
+
+
+def test_features_no_model_knows_change_nothing(extractor):
+    for page, _ in labelled_pages(20, 4):
+        known = crf.blocks_of(page, crf.Ancestry(frozenset(extractor.model.weights)))
+        for a, b in zip(crf.blocks_of(page), known, strict=True):
+            assert a.text == b.text and b.element.around == a.element.around & extractor.model.weights.keys()
+
+
 def test_held_out_layouts(extractor):
     right = total = 0
     for page, labels in labelled_pages(150, 2):
