@@ -22,7 +22,7 @@ from tabula.operators import learners as lrn
 from tabula.operators import preprocess as pp
 from tabula.plans import ensemble as ens
 from tabula.plans import fixtures as fx
-from tabula.plans import jobs, search
+from tabula.plans import jobs, search, stacking
 from tabula.plans import reports as rep
 from tabula.session import checkpointed, scratch_path
 from tabula.sources import csv as csvio
@@ -1180,13 +1180,14 @@ def q_search_job(spark, sf):
 @query("stacking_fit")
 def q_stacking_fit(spark, sf):
     t = folds.kfold_contiguous(_labelled_train(spark, sf), K_FOLDS, ["id"])
-    return ens.StackingEnsemble(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).fit(t.where("fold <> 0").drop("fold")).oof_predictions
+    oof = stacking.Stacking(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).out_of_fold(t.where("fold <> 0").drop("fold"))
+    return oof.select("id", *[F.col(f"m_{n}").cast("int").alias(n) for n in _STACK_MEMBERS])
 
 
 @query("stacking_predict")
 def q_stacking_predict(spark, sf):
     t = folds.kfold_contiguous(_labelled_train(spark, sf), K_FOLDS, ["id"])
-    st = ens.StackingEnsemble(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).fit(t.where("fold <> 0").drop("fold"))
+    st = stacking.Stacking(_STACK_MEMBERS, _JOB_FEATURES, "class", k=3).fit(t.where("fold <> 0").drop("fold"))
     out = st.transform(t.where("fold = 0").drop("fold"))
     return out.select("id", F.col("prediction").cast("int").alias("prediction"), F.col("class").cast("int").alias("label"))
 
@@ -1259,6 +1260,17 @@ def q_ensemble_save_load(spark, sf):
     + " union all ".join(f"select '{m}' as model, count(*) as n, cast(0 as bigint) as mismatches from pred" for m in fx.RULE_MODELS),
 )
 def q_prediction_parity(spark, sf):
+    """The rule models' columns, aligned by id and as they stand."""
     p = fx.pred(spark, sf)
     inside = vote.align_predictions({m: p.select("id", F.col(m).alias("prediction")) for m in fx.RULE_MODELS})
     return rep.prediction_parity(inside, p.select("id", *fx.RULE_MODELS), fx.RULE_MODELS)
+
+
+@query(
+    "prediction_parity_fitted",
+    fx.oracle_ctes("train")
+    + " union all ".join(f"select '{m}' as model, count(*) as n, cast(0 as bigint) as mismatches from train where class is not null" for m in _ENSEMBLE_MEMBERS),
+)
+def q_prediction_parity_fitted(spark, sf):
+    """R4 with fitted members: inside a saved and loaded ensemble against the stand-alone models."""
+    return jobs.fitted_parity(_labelled_train(spark, sf), _ENSEMBLE_MEMBERS, _JOB_FEATURES, scratch_path(spark, "parity"))

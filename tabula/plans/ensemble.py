@@ -95,39 +95,49 @@ def member_features(member: tuple, features: Sequence[str]) -> list[str]:
 
 
 def fit_members(df: DataFrame, members: Members, features: Sequence[str], label_col: str) -> dict[str, PipelineModel]:
-    """Fit every member pipeline on ``df``. Each fit is a distributed job;
-    a small driver thread pool submits them concurrently so the cluster runs
-    the members side by side."""
+    """Fit every member on ``df``. Members with equal columns share one fitted
+    preprocessing and one cached encoding; a small driver thread pool submits the
+    learners concurrently so the cluster runs them side by side."""
     from concurrent.futures import ThreadPoolExecutor
 
-    items = list(members.items())
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name, member in members.items():
+        groups.setdefault(tuple(member_features(member, features)), []).append(name)
+    fitted: dict[str, PipelineModel] = {}
+    for cols, names in groups.items():
+        prep = pp.build_preprocessing(df.schema, features_in=list(cols)).fit(df)
+        encoded = prep.transform(df).select(label_col, "features").persist()
 
-    def fit_one(item):
-        name, member = item
-        return name, member_pipeline(df.schema, member[0], member[1], member_features(member, features), label_col).fit(df)
+        def fit_one(name, prep=prep, encoded=encoded):
+            model, params = members[name][:2]
+            return name, PipelineModel(stages=[*prep.stages, make_learner(model, params, label_col=label_col).fit(encoded)])
 
-    with ThreadPoolExecutor(max_workers=max(1, min(len(items), 4))) as pool:
-        return dict(pool.map(fit_one, items))
+        with ThreadPoolExecutor(max_workers=max(1, min(len(names), 4))) as pool:
+            fitted.update(pool.map(fit_one, names))
+        encoded.unpersist()
+    return {n: fitted[n] for n in members}
 
 
 def predict_members(models: Mapping[str, PipelineModel], df: DataFrame, keep: Sequence[str], method: str = "predict") -> DataFrame:
     """One column per member: the label (``predict``) or the probability
-    array (``predict_proba``). Members without probabilities raise."""
+    array (``predict_proba``). Members without probabilities raise. Members that
+    were fitted on one preprocessing read one encoding."""
     if method not in ("predict", "predict_proba"):
         raise ValueError(f"Prediction method {method} not recognized. Use 'predict' or 'predict_proba'")
-    out = df.select(*keep, *[c for c in df.columns if c not in keep])
-    cols = list(keep)
+    groups: dict[tuple[int, ...], list[str]] = {}
     for name, model in models.items():
-        scored = model.transform(out)
-        if method == "predict_proba" and "probability" not in scored.columns:
-            raise ValueError(f"{name} gives no probabilities")
-        if method == "predict":
-            val = F.col("prediction").cast("int")
-        else:
-            val = vector_to_array(F.col("probability"))
-        out = scored.select(*out.columns, val.alias(name))
-        cols.append(name)
-    return out.select(*cols)
+        groups.setdefault(tuple(map(id, model.stages[:-1])), []).append(name)
+    out = df.select(*keep, *[c for c in df.columns if c not in keep])
+    for names in groups.values():
+        encoded = PipelineModel(stages=models[names[0]].stages[:-1]).transform(out)
+        for name in names:
+            scored = models[name].stages[-1].transform(encoded)
+            if method == "predict_proba" and "probability" not in scored.columns:
+                raise ValueError(f"{name} gives no probabilities")
+            val = F.col("prediction").cast("int") if method == "predict" else vector_to_array(F.col("probability"))
+            encoded = scored.select(*encoded.columns, val.alias(name))
+        out = encoded.select(*out.columns, *names)
+    return out.select(*keep, *models)
 
 
 def score_members(fit_df: DataFrame, apply_df: DataFrame, members: Members, features: Sequence[str], label_col: str, method: str = "predict") -> DataFrame:
@@ -166,52 +176,10 @@ def test_ensemble(df: DataFrame, members: Members, weights: Sequence[float], fea
     return test_ensemble_rules(preds, list(members), weights, label_col)
 
 
-# ---------------------------------------------------------------- stacking
-class StackingEnsemble:
-    """Out-of-fold member predictions (shuffled K-fold) become extra numeric
-    features of a meta model; members are then refitted on all rows."""
-
-    def __init__(self, members: Members, features: Sequence[str], label_col: str, k: int = 5, meta: Estimator | None = None):
-        self.members, self.features, self.label_col, self.k = dict(members), list(features), label_col, k
-        self.meta = meta
-        self.member_models: dict[str, PipelineModel] = {}
-        self.meta_model: PipelineModel | None = None
-        self.oof_predictions: DataFrame | None = None
-
-    def oof(self, df: DataFrame) -> DataFrame:
-        f = checkpointed(kfold_shuffled(df, self.k, "id"))
-        parts = []
-        for i in range(self.k):
-            models = fit_members(f.where(F.col("fold") != i), self.members, self.features, self.label_col)
-            parts.append(predict_members(models, f.where(F.col("fold") == i), ["id"]))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return checkpointed(out)
-
-    def _meta_pipeline(self, schema) -> Pipeline:
-        meta = self.meta or LogisticRegression(labelCol=self.label_col, maxIter=50)
-        meta.setLabelCol(self.label_col)
-        own = [c for m in self.members.values() for c in member_features(m, self.features)]
-        stack_feats = [*dict.fromkeys([*self.features, *own]), *(f"m_{n}" for n in self.members)]
-        return pp.build_preprocessing(schema, features_in=stack_feats, model=meta, model_name="stacking-meta")
-
-    def fit(self, df: DataFrame) -> StackingEnsemble:
-        df = df.persist()
-        self.oof_predictions = self.oof(df)
-        oof = self.oof_predictions.select("id", *[F.col(n).cast("double").alias(f"m_{n}") for n in self.members])
-        meta_in = df.join(oof, "id").persist()
-        self.meta_model = self._meta_pipeline(meta_in.schema).fit(meta_in)
-        self.member_models = fit_members(df, self.members, self.features, self.label_col)
-        meta_in.unpersist()
-        df.unpersist()
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        preds = predict_members(self.member_models, df, ["id"]).select(
-            "id", *[F.col(n).cast("double").alias(f"m_{n}") for n in self.members]
-        )
-        return self.meta_model.transform(df.join(preds, "id"))
+# ---------------------------------------------------------------- votes and stacking
+def meta_learner(label_col: str) -> Estimator:
+    """The stacking meta learner if none is named."""
+    return LogisticRegression(labelCol=label_col, maxIter=50)
 
 
 def soft_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
@@ -226,7 +194,9 @@ def hard_vote_predict(models: Mapping[str, PipelineModel], df: DataFrame, weight
 
 
 def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str], label_col: str, k: int = 3, inner_k: int = 3) -> DataFrame:
-    """CV accuracy of soft voting vs stacking: two rows ``(model, score)``."""
+    """CV accuracy of soft voting and of stacking on probabilities: two rows ``(model, score)``."""
+    from tabula.plans.stacking import Stacking
+
     f = checkpointed(kfold_contiguous(df, k, ["id"]))
     w = {n: 1.0 / len(members) for n in members}
     soft, stack = [], []
@@ -235,7 +205,7 @@ def compare_ensembles(df: DataFrame, members: Members, features: Sequence[str],
         models = fit_members(tr, members, features, label_col)
         sv = soft_vote_predict(models, te, w).join(te.select("id", label_col), "id")
         soft.append(sv.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
-        st = StackingEnsemble(members, features, label_col, k=inner_k).fit(tr).transform(te)
+        st = Stacking(members, features, label_col, k=inner_k, target="predict_proba").fit(tr).transform(te)
         stack.append(st.select(F.avg((F.col("prediction") == F.col(label_col)).cast("double"))).first()[0])
     spark = df.sparkSession
     return spark.createDataFrame([("soft_voting", float(np.mean(soft))), ("stacking", float(np.mean(stack)))], "model string, score double")

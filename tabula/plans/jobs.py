@@ -24,6 +24,10 @@ from tabula.operators import preprocess as pp
 from tabula.operators.folds import head_fraction, kfold_stratified, sample_exact
 from tabula.plans import ensemble as ens
 from tabula.plans import search
+from tabula.plans.fitted import fit_or_load
+from tabula.plans.reports import prediction_parity
+from tabula.plans.stacking import TARGETS, Stacking
+from tabula.session import checkpointed
 from tabula.sources import csv as csvio
 from tabula.sources import store
 
@@ -218,16 +222,20 @@ METHODS = ("hard", "soft", "stacking")
 
 
 def save_ensemble(spark: SparkSession, path: str, members: ens.Members, weights: Mapping[str, float], features: Sequence[str], schema,
-                  method: str = "hard") -> str:
+                  method: str = "hard", target: str = "predict", meta_model: tuple[str, Mapping] | None = None) -> str:
     """Members are saved UNFITTED (pipeline + parameters, each with its
-    columns); prediction refits them on all training rows. ``method`` is how
-    they decide together: hard or soft vote, or stacking."""
+    columns); prediction fits them on all training rows, or loads what was fitted
+    on these rows before. ``method`` is how they decide together: hard or soft
+    vote, or stacking, where ``meta_model`` (model, parameters) reads the
+    members' labels or, by ``target``, probabilities."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
-    rows = [(n, m[0], json.dumps(m[1]), float(weights[n]), json.dumps(ens.member_features(m, features)), method) for n, m in members.items()]
-    spark.createDataFrame(rows, "name string, model string, params string, weight double, features string, method string").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/config")
+    if target not in TARGETS:
+        raise ValueError(f"target must be one of {TARGETS}, not {target!r}")
+    meta = json.dumps(meta_model) if meta_model else None
+    rows = [(i, n, m[0], json.dumps(m[1]), float(weights[n]), json.dumps(ens.member_features(m, features)), method, target, meta) for i, (n, m) in enumerate(members.items())]
+    columns = "place int, name string, model string, params string, weight double, features string, method string, target string, meta string"
+    spark.createDataFrame(rows, columns).coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
     for n, m in members.items():
         ens.member_pipeline(schema, m[0], m[1], ens.member_features(m, features), "class").write().overwrite().save(f"{path}/members/{n}")
     return path
@@ -235,7 +243,7 @@ def save_ensemble(spark: SparkSession, path: str, members: ens.Members, weights:
 
 def load_ensemble(spark: SparkSession, path: str) -> tuple[dict, dict, list[str], dict[str, Pipeline]]:
     """(members, weights, all members' columns, unfitted pipelines)."""
-    cfg = spark.read.parquet(f"{path}/config").collect()  # one row per member
+    cfg = spark.read.parquet(f"{path}/config").orderBy("place").collect()  # one row per member
     members = {r["name"]: (r["model"], json.loads(r["params"]), json.loads(r["features"])) for r in cfg}
     weights = {r["name"]: r["weight"] for r in cfg}
     features = list(dict.fromkeys(c for m in members.values() for c in m[2]))
@@ -243,8 +251,10 @@ def load_ensemble(spark: SparkSession, path: str) -> tuple[dict, dict, list[str]
     return members, weights, features, pipes
 
 
-def ensemble_method(spark: SparkSession, path: str) -> str:
-    return spark.read.parquet(f"{path}/config").first()["method"]
+def ensemble_decision(spark: SparkSession, path: str) -> tuple[str, str, tuple[str, dict] | None]:
+    """(method, target, meta model) of a saved ensemble."""
+    row = spark.read.parquet(f"{path}/config").select("method", "target", "meta").first()
+    return row["method"], row["target"], tuple(json.loads(row["meta"])) if row["meta"] else None
 
 
 def ensemble_job(
@@ -262,11 +272,19 @@ def ensemble_job(
     direction: str = "maximize",
     run: str | None = None,
     method: str = "hard",
+    target: str = "predict",
+    meta_model: tuple[str, Mapping] | None = None,
 ) -> DataFrame:
     """Selected results -> sample -> weights -> clean -> optimise (all
-    subsets) or test -> scores CSV -> final members -> saved ensemble. The scores
-    of each run have a folder of their own. A result that names its features
-    gives a member with these columns; ``method`` is saved for prediction."""
+    subsets) or test -> scores CSV -> final members -> saved ensemble. The scores and
+    the ensemble of each run have a folder of their own. A result that names its features
+    gives a member with these columns; ``method`` is saved for prediction.
+
+    Subsets are optimised only where labels are voted on: with a ``meta_model`` (method
+    stacking) or the probability ``target``, ``test`` or neither is done."""
+    if meta_model:
+        method = "stacking"
+    optimize = optimize and target == "predict" and not meta_model
     run = run or run_id()
     w_df = vote.ensemble_weights(store.select_results(results, selection), direction)
     stored_features = F.col("features") if "features" in w_df.columns else F.lit(None).cast("string")
@@ -292,25 +310,30 @@ def ensemble_job(
     final = {n: members[n] for n in names if n in best}
     total = sum(weights[n] for n in final)
     final_w = {n: weights[n] / total for n in final}  # restricted and renormalised
-    save_ensemble(spark, f"{out_dir}/ensemble", final, final_w, features, data.schema, method)
+    save_ensemble(spark, f"{out_dir}/ensemble_{run}", final, final_w, features, data.schema, method, target, meta_model)
     data.unpersist()
     return scores
 
 
 def predict_job(spark: SparkSession, train: DataFrame, test: DataFrame, ensemble_dir: str, out_path: str) -> DataFrame:
-    """Load the ensemble, clean both tables with TRAIN statistics, refit
-    members on all train rows, vote, decode labels, write ``id,class`` CSV."""
+    """Load the ensemble, clean both tables with TRAIN statistics, fit
+    members on all train rows (or load those fitted on equal rows before), vote or
+    stack, decode labels, write ``id,class`` CSV."""
     members, weights, features, _ = load_ensemble(spark, ensemble_dir)
     cats = cleaning.string_columns(train, exclude=("class",))
     kept = cleaning.fit_category_filter(train, cats)
     tr = cleaning.label_targets(cleaning.clean_categorical(train, cats, fitted=kept)).withColumn("class", F.col("class").cast("double"))
     te = cleaning.clean_categorical(test, cats, fitted=kept)
     tr = tr.persist()
-    method = ensemble_method(spark, ensemble_dir)
+    method, target, meta = ensemble_decision(spark, ensemble_dir)
+    config = {"members": {n: list(m) for n, m in members.items()}, "features": features}
     if method == "stacking":
-        voted = ens.StackingEnsemble(members, features, "class").fit(tr).transform(te).withColumn("prediction", F.col("prediction").cast("int"))
+        stage = Stacking(members, features, "class", meta=meta, target=target)
+        config |= {p.name: v for p, v in stage.extractParamMap().items()}
+        model = fit_or_load(f"{ensemble_dir}/fitted", tr, config, lambda df: {"stacking": stage.fit(df)})["stacking"]
+        voted = model.transform(te).withColumn("prediction", F.col("prediction").cast("int"))
     else:
-        models = ens.fit_members(tr, members, features, "class")
+        models = fit_or_load(f"{ensemble_dir}/fitted", tr, config, lambda df: ens.fit_members(df, members, features, "class"))
         voted = (ens.hard_vote_predict if method == "hard" else ens.soft_vote_predict)(models, te, weights)
     out = cleaning.unlabel_targets(voted.withColumnRenamed("prediction", "class"))
     csvio.write_csv(out.select("id", "class"), out_path)
@@ -318,18 +341,29 @@ def predict_job(spark: SparkSession, train: DataFrame, test: DataFrame, ensemble
     return csvio.read_csv_table(spark, out_path, "id bigint, class string")
 
 
-def prediction_parity_check(models: Mapping, df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+def prediction_parity_check(models: Mapping, df: DataFrame, alone: Mapping) -> DataFrame:
     """R4 for fitted members: predictions made inside the voting ensemble vs
-    the stand-alone members (should never differ)."""
+    the stand-alone models ``alone`` (should never differ)."""
     inside = ens.predict_members(models, df, ["id"])
     outside = None
-    for n, m in models.items():
+    for n, m in alone.items():
         one = m.transform(df).select("id", F.col("prediction").cast("int").alias(n))
         outside = one if outside is None else outside.join(one, "id", "full_outer")
-    from tabula.plans.reports import prediction_parity
-
     return prediction_parity(inside, outside, list(models))
 
 
+def fitted_parity(df: DataFrame, members: ens.Members, features: Sequence[str], path: str) -> DataFrame:
+    """An ensemble fitted, saved and loaded against each member's whole pipeline fitted by itself on the same rows."""
+    df = df.persist()
+    config = {"members": {n: list(m) for n, m in members.items()}, "features": list(features)}
+    fit = lambda rows: ens.fit_members(rows, members, features, "class")
+    fit_or_load(path, df, config, fit)
+    loaded = fit_or_load(path, df, config, fit)
+    alone = {n: ens.member_pipeline(df.schema, m[0], m[1], ens.member_features(m, features), "class").fit(df) for n, m in members.items()}
+    out = checkpointed(prediction_parity_check(loaded, df, alone))
+    df.unpersist()
+    return out
+
+
 def members_accuracy(preds: DataFrame, names: Sequence[str], label_col: str) -> DataFrame:
     return metrics.model_accuracy(preds, names, label_col)
