@@ -4,13 +4,10 @@
   draws a uniform from md5, mapped into the parameter's range; the trial table
   is generated by Spark, nothing is sampled on the driver.
 * H4/H5 patience: the resume scan is a sequential fold, but its state only
-  changes at "new best" trials, which form a chain ``b_{i+1}`` = first later
-  value above ``b_i * (1 + min_improvement)``. Each chain step is one
-  distributed filter + min aggregate over all studies at once; the number of
-  steps is the chain length (logarithmic in max/min for a positive
-  improvement), and no study is ever gathered into one task. With positive
-  values every chain element is a running record, so the steps scan only the
-  record trials (found with bucketed running maxima, no per-study window).
+  changes at "new best" trials. Buckets of trial numbers are summed up as maps from the
+  best they are entered with to the best they leave, the maps are passed through in order, and
+  the buckets where the best changes list their steps: a fixed number of jobs, no
+  study in one task, values of any sign.
 * H6 ``top_trials``: ``row_number() <= k`` per study, which Spark executes
   with a partial WindowGroupLimit before the shuffle.
 * H2/H3/H8: cross-validated objective and the search job over Spark ML
@@ -20,8 +17,10 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,12 +158,6 @@ def sample_trials(trial_keys: DataFrame, models: Sequence[str], seed: int = 42)
     )
 
 
-def _improves(value: Column, best: Column, min_improvement: float, direction: str) -> Column:
-    if direction == "maximize":
-        return value > best * F.lit(1.0 + min_improvement)
-    return value < best * F.lit(1.0 - min_improvement)
-
-
 def improves(value: float | None, best: float | None, min_improvement: float, direction: str = "maximize") -> bool:
     """Whether a finished trial's value is a new best; a failed trial never is."""
     if value is None or best is None:
@@ -199,70 +192,107 @@ def running_records(trials: DataFrame, direction: str = "maximize", bucket_rows:
     return j.where(prev.isNull() | beats).select("study", "number", "value")
 
 
-CHAIN_BATCH = 20_000
-
-
-def best_chain(
-    trials: DataFrame, min_improvement: float, direction: str = "maximize", batch: int = CHAIN_BATCH
-) -> DataFrame:
+CHAIN_BUCKET = 100_000
+"""Trial numbers of one bucket."""
+
+
+def _beaten_by(values: Sequence[float], factor: float) -> tuple[list[int], list[int]]:
+    """For each place the first later one whose value is above ``factor`` times its own (-1: none),
+    and the places of the running maxima, first to last. One pass from the end, with
+    the running maxima of what follows as a stack."""
+    places: list[int] = []
+    keys: list[float] = []  # negated values of ``places``, ascending
+    after = [-1] * len(values)
+    for i in range(len(values) - 1, -1, -1):
+        k = bisect_left(keys, -(values[i] * factor))
+        if k:
+            after[i] = places[k - 1]
+        while keys and keys[-1] >= -values[i]:
+            keys.pop()
+            places.pop()
+        keys.append(-values[i])
+        places.append(i)
+    return after, places[::-1]
+
+
+def _summary(values: Sequence[float], factor: float) -> tuple[list[float], list[float]]:
+    """What a bucket does to any best value it is entered with: (tops, exits), both by place.
+
+    A best whose bar is below ``tops[k]``, but not below ``tops[k - 1]``, leaves as
+    ``exits[k]``; one whose bar no top exceeds leaves as it came. The first value above a bar is
+    a running maximum, and from there the way is fixed; maxima that leave alike are one entry.
+    """
+    after, maxima = _beaten_by(values, factor)
+    end = list(range(len(values)))
+    for i in range(len(values) - 1, -1, -1):
+        if after[i] >= 0:
+            end[i] = end[after[i]]
+    tops: list[float] = []
+    exits: list[int] = []
+    for i in maxima:
+        if exits and exits[-1] == end[i]:
+            tops[-1] = values[i]
+        else:
+            tops.append(values[i])
+            exits.append(end[i])
+    return tops, [values[i] for i in exits]
+
+
+def best_chain(trials: DataFrame, min_improvement: float, direction: str = "maximize", batch: int = CHAIN_BUCKET) -> DataFrame:
     """All "new best" trials per study, in order: ``(study, step, number, value)``.
 
-    Step 0 is the first trial with a value; step i+1 is the first later trial
-    whose value beats step i by more than ``min_improvement``. When no value is
-    negative, each chain element beats all earlier values, so only the
-    running-record trials are scanned. Each round takes the next ``batch``
-    candidates of every study (a window-limited, bounded array) and folds them
-    with a JVM ``aggregate``; rounds = candidates / batch, not chain length."""
-    spark = trials.sparkSession
-    lowest = trials.select(F.min("value")).first()[0]
-    # with values >= 0 and a non-negative improvement, b' > b*(1+m) >= b (or
-    # b' < b*(1-m) <= b when minimising): every chain element is a record
-    if lowest is not None and lowest >= 0 and min_improvement >= 0:
-        t = running_records(trials, direction)
-    else:
-        t = trials.where(F.col("value").isNotNull()).select("study", "number", "value")
-    t = checkpointed(t)
-    frontier = checkpointed(t.select("study").distinct().select(
-        "study", F.lit(-1).cast("long").alias("__pos"), F.lit(None).cast("double").alias("__best"), F.lit(0).alias("__steps")
-    ))
-    chains = []
-    elem = "struct<number:bigint,value:double>"
-    while True:
-        cand = t.join(frontier, "study").where(F.col("number") > F.col("__pos"))
-        w = Window.partitionBy("study").orderBy("number")
-        cand = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= batch)
-        grouped = cand.groupBy("study").agg(
-            F.array_sort(F.collect_list(F.struct("number", "value"))).alias("__xs"),
-            F.first("__best").alias("__best"),
-            F.first("__steps").alias("__steps"),
-            F.max("number").alias("__last"),
-        )
-        init = F.struct(F.col("__best").alias("best"), F.array().cast(f"array<{elem}>").alias("chain"))
-
-        def step(acc, x):
-            take = acc["best"].isNull() | _improves(x["value"], acc["best"], min_improvement, direction)
-            return F.when(
-                take,
-                F.struct(x["value"].alias("best"), F.concat(acc["chain"], F.array(F.struct(x["number"].alias("number"), x["value"].alias("value")))).alias("chain")),
-            ).otherwise(acc)
-
-        folded = checkpointed(grouped.select("study", "__last", "__steps", F.aggregate("__xs", init, step).alias("__f")))
-        if folded.isEmpty():
-            break
-        chains.append(
-            folded.select("study", "__steps", F.posexplode("__f.chain").alias("__i", "__e")).select(
-                "study", (F.col("__steps") + F.col("__i")).alias("step"), F.col("__e.number").alias("number"), F.col("__e.value").alias("value")
-            )
-        )
-        frontier = checkpointed(folded.select(
-            "study", F.col("__last").alias("__pos"), F.col("__f.best").alias("__best"), (F.col("__steps") + F.size("__f.chain")).alias("__steps")
-        ))
-    if not chains:
-        return spark.createDataFrame([], "study string, step int, number bigint, value double")
-    out = chains[0]
-    for c in chains[1:]:
-        out = out.unionByName(c)
-    return checkpointed(out)
+    Step 0 is the first trial with a value; step i+1 is the first later trial whose value
+    beats step i by more than ``min_improvement``. Values may have any sign. Trial numbers are cut
+    into buckets of ``batch``, a study of any size into many: every bucket is summed up by
+    :func:`_summary`, the summaries of a study are passed through in order, one at a time (what a
+    task holds is one batch of them), and the buckets where the best changes list their
+    steps. NaN never is a new best. The number of jobs depends on nothing in the data.
+    """
+    sign = 1.0 if direction == "maximize" else -1.0
+    factor = 1.0 + sign * min_improvement
+    usable = F.col("value").isNotNull() & ~F.isnan("value")
+    t = trials.where(usable).select("study", F.col("number").cast("long").alias("number"), (F.col("value").cast("double") * F.lit(sign)).alias("w"))
+    t = t.withColumn("bucket", F.floor(F.col("number") / F.lit(batch)).cast("long"))
+    key = t.select("study").schema["study"].dataType.simpleString()
+
+    def summed(own: pd.DataFrame) -> pd.DataFrame:
+        tops, exits = _summary(own.sort_values(["number", "w"])["w"].tolist(), factor)
+        return pd.DataFrame({"study": own["study"].iloc[:1].tolist(), "bucket": own["bucket"].iloc[:1].tolist(), "tops": [tops], "exits": [exits]})
+
+    def entered(batches):
+        study, best = None, None
+        for batch in batches:
+            rows = []
+            for s, b, tops, exits in zip(batch["study"].tolist(), batch["bucket"], batch["tops"], batch["exits"], strict=True):
+                if s != study:
+                    study, best = s, None
+                k = 0 if best is None else bisect_right(tops, best * factor)
+                if k < len(tops):
+                    rows.append((s, b, best))
+                    best = float(exits[k])
+            yield pd.DataFrame(rows, columns=["study", "bucket", "entry"]).astype({"bucket": "int64", "entry": "float64"})
+
+    def steps(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["number", "w"])
+        entry, rows = own["entry"].iloc[0], []
+        best = None if pd.isna(entry) else entry
+        for at, w in enumerate(own["w"].tolist()):
+            if best is None or w > best * factor:
+                best = w
+                rows.append(at)
+        out = own.iloc[rows]
+        return pd.DataFrame({"study": out["study"], "bucket": out["bucket"], "place": range(len(rows)), "number": out["number"], "w": out["w"]})
+
+    folder = t.groupBy("study", "bucket").applyInPandas(summed, f"study {key}, bucket long, tops array<double>, exits array<double>")
+    ordered = folder.repartition("study").sortWithinPartitions("study", "bucket")
+    entries = checkpointed(ordered.mapInPandas(entered, f"study {key}, bucket long, entry double"))
+    listed = t.join(entries, ["study", "bucket"]).groupBy("study", "bucket").applyInPandas(steps, f"study {key}, bucket long, place long, number long, w double")
+    listed = checkpointed(listed)
+    # one row per bucket with a step
+    sizes = listed.groupBy("study", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("study").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("study", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    return listed.join(offsets, ["study", "bucket"]).select("study", (F.col("before") + F.col("place")).cast("int").alias("step"), "number", (F.col("w") * F.lit(sign)).alias("value"))
 
 
 def patience_state(trials: DataFrame, min_improvement: float, direction: str = "maximize") -> DataFrame:
