@@ -116,3 +116,39 @@ def test_build_with_a_meta_model_is_not_optimised(spark):
 def test_fitted_members_predict_alike_inside_and_alone(spark, labelled):
     got = jobs.fitted_parity(labelled, MEMBERS, FEATURES, scratch_path(spark, "parity")).collect()
     assert {(r.model, r.n, r.mismatches) for r in got} == {(m, labelled.count(), 0) for m in MEMBERS}
+
+
+def small(spark):
+    made = [(i, float(i * 37 % 101), float(i % 12), f"c{i % 3}", None if i % 5 == 0 else "abc"[i % 4 % 3], float((i * 37 % 101 > 50) != (i % 9 == 0))) for i in range(240)]
+    return spark.createDataFrame(made, "id long, x_price double, x_month double, c_priority string, c_status string, class double")
+
+
+TREES = {"f": ("RandomForestClassifier", {"n_estimators": 2, "max_depth": 3}), "l": ("LGBMClassifier", {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3})}
+
+
+def test_members_share_folds_and_encodings(spark, monkeypatch):
+    """Each member's cross-validation once dealt the folds and fitted the preprocessing by itself."""
+    df, made = small(spark), []
+    members = {**TREES, "r": ("RidgeClassifier", {"alpha": 1.0})}
+    alone = {n: jobs.cv_objective(df, m[0], [m[1]], FEATURES, "class", n_cv=3)[0] for n, m in members.items()}
+    build = jobs.pp.build_preprocessing
+    monkeypatch.setattr(jobs.pp, "build_preprocessing", lambda *a, **k: made.append(1) or build(*a, **k))
+    assert jobs.members_cv_accuracy(df, members, FEATURES, "class", n_cv=3) == pytest.approx(alone)
+    assert len(made) == 3
+
+
+def test_compared_ensembles_fit_the_voting_members_once(spark, monkeypatch):
+    fits, fit = [], ens.fit_members
+    monkeypatch.setattr(ens, "fit_members", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    got = {r.model: r.score for r in ens.compare_ensembles(small(spark), TREES, FEATURES, "class", k=2, inner_k=2).collect()}
+    assert set(got) == {"soft_voting", "stacking"} and len(fits) == 2 * (1 + 2)  # the stacked members were fitted again: 8
+
+
+def test_loaded_pipelines_share_one_encoding(spark):
+    df, path = small(spark), scratch_path(spark, "ensemble")
+    jobs.save_ensemble(spark, path, TREES, {"f": 0.5, "l": 0.5}, FEATURES, df.schema)
+    pipes = jobs.load_ensemble(spark, path)[3]
+    together = ens.fit_pipelines(pipes, df, "class")
+    assert together["f"].stages[0] is together["l"].stages[0]
+    for n, p in pipes.items():
+        assert rows(together[n].transform(df), "prediction") == rows(p.fit(df).transform(df), "prediction")
