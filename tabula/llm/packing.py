@@ -35,8 +35,8 @@ END_ID = 1
 SHORTEST_CUT = 64
 """A rest up to this length isn't cut further."""
 
-SLICE_BYTES = 1 << 19
-CACHE_WORDS = 1 << 16
+SLICE_BYTES = 1 << 21
+CACHE_WORDS = 1 << 18
 
 
 def cut_lengths(tokens: int, capacity: int = CAPACITY, shortest: int = SHORTEST_CUT) -> list[int]:
@@ -88,50 +88,66 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[str, int] = {"": 0}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.known = pa.array([""], pa.large_string())
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
-    def _put(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.row.update(zip(parts, range(len(self.row), len(self.row) + len(parts)), strict=True))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+    def _put(self, parts: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, parts])
+        self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
 
-    def _rows(self, parts: list[str], plain: bool) -> np.ndarray:
-        """Each part's row; new ones are encoded."""
-        row = self.row
-        new = [p for p in parts if p not in row]
-        if new and plain:
+    def _rows(self, parts: pa.Array, plain: bool) -> np.ndarray:
+        """The row of each of the (distinct) parts; new ones are encoded."""
+        at = pc.index_in(parts, value_set=self.known)
+        fresh = at.is_null()
+        rows = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+        unknown = parts.filter(fresh)
+        if not len(unknown):
+            return rows
+        rows[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(unknown))
+        new = unknown.to_pylist()
+        if plain:
             got = self.parts.encode_batch_fast([" ".join(new[k : k + 2000]) for k in range(0, len(new), 2000)], add_special_tokens=False)
             ids = np.concatenate([np.array(g.ids, np.uint32) for g in got])
-            self._put(new, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
-        elif new:
+            self._put(unknown, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        else:
             got = [g.ids for g in self.whole.encode_batch_fast(new, add_special_tokens=False)]
-            self._put(new, np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got]))
-        return np.fromiter(map(row.__getitem__, parts), np.int64, len(parts))
+            self._put(unknown, np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got]))
+        return rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the (non-null) texts in order, and how many each text has."""
-        if len(self.row) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self._clear()
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary
         split = pc.extract_regex(distinct, _PLAIN)
         # rows of each distinct word's one or two parts; row 0 is the empty part
-        part = np.zeros((len(distinct), 2), np.int64)
+        part = np.zeros((len(distinct), 2), np.int32)
         plain = split.is_valid().to_numpy(zero_copy_only=False)
         for k, name in enumerate(("core", "tail")):
             coded = pc.struct_field(split, name).filter(pa.array(plain)).dictionary_encode()
-            part[plain, k] = self._rows(coded.dictionary.to_pylist(), True)[coded.indices.to_numpy()]
-        part[~plain, 0] = self._rows(distinct.filter(pa.array(~plain)).to_pylist(), False)
-        rows = part[words.indices.to_numpy()].ravel()
-        n = self.size[rows]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[rows] - (ends - n), n)
-        total = np.concatenate([[0], ends[1::2]])
+            part[plain, k] = self._rows(coded.dictionary, True)[coded.indices.to_numpy()]
+        part[~plain, 0] = self._rows(distinct.filter(pa.array(~plain)), False)
+        # the distinct words' ids one behind the other, then those of every word
+        of_word, n_word = self._spans(self.first[part.ravel()], self.size[part.ravel()])
+        n_word = n_word[::2] + n_word[1::2]
+        which = words.indices.to_numpy()
+        at, n = self._spans((np.cumsum(n_word, dtype=np.int32) - n_word)[which], n_word[which])
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
         bounds = lists.offsets.to_numpy()
-        return self.flat[at], np.diff(total[bounds - bounds[0]])
+        return self.flat[of_word][at], np.diff(total[bounds - bounds[0]])
+
+    @staticmethod
+    def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places first .. first + size - 1 of each span, one span behind the other; the sizes."""
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(first - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return at, size
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -39,6 +39,20 @@ def test_word_ids_are_the_tokenizers(documents):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_words_of_a_large_vocabulary_are_encoded_once():
+    """The parts' cache once began anew beyond 65,536 of them: each slice encoded most of its words again."""
+    encoder = packing.WordEncoder(tokenizer_file())
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    words = ["".join(letters[[k // 8000, k // 400 % 20, k // 20 % 20, k % 20]]) for k in range(100_000)]
+    texts = pa.array([" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)], pa.large_string())
+    first, _ = encoder.encode(texts)
+    known = len(encoder.known)
+    for k in range(len(texts)):
+        encoder.encode(texts.slice(k, 1))
+    again, _ = encoder.encode(texts)
+    assert known > len(words) and len(encoder.known) == known and (again == first).all()
+
+
 def test_query_places_every_id_once(spark, documents):
     got = QUERIES["op8_harmonic_packing"](spark, SF_SMALL).toPandas()
     whole = Tokenizer.from_file(tokenizer_file())
