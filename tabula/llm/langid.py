@@ -27,6 +27,8 @@ UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
 BLOCK_GRAMS = 1 << 11
 """Distinct trigrams whose vectors are held at once: a text of many different ones takes no more memory."""
+BLOCK_ROWS = 1 << 10
+"""Texts that are counted and compared at once: many short ones take no more memory."""
 KNOWN_LETTERS = 1 << 15
 DENSE = 1 << 23
 """Trigram codes below this are counted in a table, others by sorting."""
@@ -74,9 +76,11 @@ def trigrams(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     inside = (row[:-2] == row[2:]) & (low[1:-1] != _SPACE)
     key, row = key[inside], row[:-2][inside]
     if m**3 <= DENSE:
-        seen = np.flatnonzero(np.bincount(key, minlength=m**3))
-        place = np.zeros(m**3, np.int64)
-        place[seen] = np.arange(len(seen))
+        known = np.zeros(m**3, bool)
+        known[key] = True
+        seen = np.flatnonzero(known)
+        place = np.zeros(m**3, np.int32)
+        place[seen] = np.arange(len(seen), dtype=np.int32)
         index = place[key]
     else:
         seen, index = np.unique(key, return_inverse=True)
@@ -112,8 +116,15 @@ def bundles(rows: np.ndarray, index: np.ndarray, grams: np.ndarray, n: int, dime
     for lo in range(0, len(grams), BLOCK_GRAMS):
         block = grams[lo : lo + BLOCK_GRAMS]
         a, b = np.searchsorted(index, [lo, lo + len(block)])
-        counts = np.bincount(rows[a:b] * len(block) + index[a:b] - lo, minlength=n * len(block)).reshape(n, len(block))
-        out += counts.astype(np.float32) @ gram_vectors(block, dimension).astype(np.float32)
+        at, gram, vectors = rows[a:b], index[a:b] - lo, gram_vectors(block, dimension).astype(np.float32)
+        if n > BLOCK_ROWS:
+            by_row = np.argsort(at, kind="stable")
+            at, gram = at[by_row], gram[by_row]
+        for first in range(0, n, BLOCK_ROWS):
+            m = min(BLOCK_ROWS, n - first)
+            c, d = np.searchsorted(at, [first, first + m]) if n > BLOCK_ROWS else (0, len(at))
+            counts = np.bincount((at[c:d] - first) * len(block) + gram[c:d], minlength=m * len(block)).reshape(m, len(block))
+            out[first : first + m] += counts.astype(np.float32) @ vectors
     return out
 
 
@@ -154,20 +165,27 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     dimension = len(next(iter(prototypes.values()), [0]))
     unit = np.array([v / max(np.linalg.norm(v), 1e-300) for v in prototypes.values()]).reshape(len(names), dimension).T
     cols = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    src = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    src = docs.select(*[F.col(f"`{c}`") for c in cols])
+    kept = src.schema.fields
+    # a text that is kept anyway isn't sent twice
+    text_at = cols.index(text_col) if text_col in cols and isinstance(src.schema[text_col].dataType, T.StringType) else len(cols)
+    if text_at == len(cols):
+        src = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            for at, end, texts in tb.slices(tb.texts_of(batch.column(len(cols))), SLICE_BYTES):
+            for at, end, texts in tb.slices(tb.texts_of(batch.column(text_at)), SLICE_BYTES):
                 row, index, grams, letters = trigrams(texts)
                 vectors = bundles(row, index, grams, end - at, dimension or 1)
                 best, score = np.full(end - at, -1), np.zeros(end - at)
                 if names:
-                    norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
-                    cosine = (vectors @ unit) / np.maximum(norm, 1e-300)[:, None]
-                    best = np.where(letters > 0, cosine.argmax(1), -1)
-                    score = np.where(best >= 0, np.clip(cosine.max(1), 0, 1), 0.0)
+                    for first in range(0, end - at, BLOCK_ROWS):
+                        some = slice(first, first + BLOCK_ROWS)
+                        own = vectors[some].astype(np.float64)
+                        cosine = (own @ unit) / np.maximum(np.sqrt((own**2).sum(1)), 1e-300)[:, None]
+                        best[some] = np.where(letters[some] > 0, cosine.argmax(1), -1)
+                        score[some] = np.where(best[some] >= 0, np.clip(cosine.max(1), 0, 1), 0.0)
                 choice = pa.array([names[b] if b >= 0 else UNKNOWN for b in best], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, end - at) for k in range(len(cols))), choice, pa.array(score)], names=[f.name for f in schema])
 

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -52,3 +54,19 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert langid.train(empty) == {} and langid.predict(empty, {}).collect() == []
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
+
+
+def test_many_short_texts_take_bounded_memory():
+    """10,000 rows in a slice once made count matrices and cosines of some 300 MB."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, 5).tolist()).decode() for _ in range(300)]
+    texts = textbytes.texts_of(pa.array([" ".join(rng.choice(words, 3)) for _ in range(10_000)]))
+    row, index, grams, _ = langid.trigrams(texts)
+    tracemalloc.start()
+    got = langid.bundles(row, index, grams, len(texts), 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    vectors = langid.gram_vectors(grams, 256).astype(int)
+    for r in (0, 1023, 1024, 9_999):
+        assert (got[r] == vectors[index[row == r]].sum(0)).all()
