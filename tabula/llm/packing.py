@@ -16,6 +16,7 @@ first fit, longest first.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Callable
 
@@ -37,6 +38,7 @@ SHORTEST_CUT = 64
 
 SLICE_BYTES = 1 << 21
 CACHE_WORDS = 1 << 18
+ENCODED_PARTS = 2000
 
 
 def cut_lengths(tokens: int, capacity: int = CAPACITY, shortest: int = SHORTEST_CUT) -> list[int]:
@@ -75,6 +77,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # Spark's tasks fill the cores: threads of the tokenizer would only add their own memory and spinning
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -107,13 +111,15 @@ class WordEncoder:
             return rows
         rows[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(unknown))
         new = unknown.to_pylist()
+        # a few parts at a time: an encoding takes far more memory than its ids
         if plain:
-            got = self.parts.encode_batch_fast([" ".join(new[k : k + 2000]) for k in range(0, len(new), 2000)], add_special_tokens=False)
-            ids = np.concatenate([np.array(g.ids, np.uint32) for g in got])
+            got = (self.parts.encode_batch_fast([" ".join(new[k : k + ENCODED_PARTS])], add_special_tokens=False)[0].ids for k in range(0, len(new), ENCODED_PARTS))
+            ids = np.concatenate([np.array(g, np.uint32) for g in got])
             self._put(unknown, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
         else:
-            got = [g.ids for g in self.whole.encode_batch_fast(new, add_special_tokens=False)]
-            self._put(unknown, np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got]))
+            each = [[np.array(g.ids, np.uint32) for g in self.whole.encode_batch_fast(new[k : k + ENCODED_PARTS], add_special_tokens=False)] for k in range(0, len(new), ENCODED_PARTS)]
+            got = [g for some in each for g in some]
+            self._put(unknown, np.concatenate(got), np.array([len(g) for g in got]))
         return rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
