@@ -58,9 +58,12 @@ def trigrams(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         _LETTER = _letters()
     n = len(texts)
     points = np.frombuffer(texts.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    starts = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])[texts.offsets]
+    ends = np.zeros(len(texts.data) + 1, np.int32)  # one text is below 2 GB
+    np.cumsum((texts.data & 0xC0) != 0x80, dtype=np.int32, out=ends[1:])
+    starts = ends[texts.offsets].astype(np.int64)
+    del ends
     low = np.insert(_LETTER[points], starts[:-1], _SPACE)  # each row begins with a space
-    row = np.repeat(np.arange(n), np.diff(starts) + 1)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts) + 1)
     letter = low != _SPACE
     counts = np.bincount(row[letter], minlength=n)
     keep = letter.copy()
@@ -69,9 +72,13 @@ def trigrams(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     low, row = low[keep], row[keep]
     if len(low) < 3:
         return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 3), np.uint32), counts
-    symbols, code = np.unique(low, return_inverse=True)
+    used = np.zeros(int(low.max()) + 1, bool)
+    used[low] = True
+    symbols = np.flatnonzero(used).astype(np.uint32)
     m = len(symbols)
-    code = code.astype(np.int64)
+    number = np.zeros(len(used), np.int32 if m**3 <= DENSE else np.int64)
+    number[symbols] = np.arange(m)
+    code = number[low]
     key = (code[:-2] * m + code[1:-1]) * m + code[2:]
     inside = (row[:-2] == row[2:]) & (low[1:-1] != _SPACE)
     key, row = key[inside], row[:-2][inside]
@@ -148,7 +155,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([list(v) for v in total.values()], pa.list_(pa.float64()))], names=["lang", "bundle"])
 
-    parts = src.mapInArrow(run, "lang string, bundle array<double>")
+    parts = src.mapInArrow(tb.freeing(run), "lang string, bundle array<double>")
     cells = parts.select("lang", F.posexplode("bundle").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
     got = cells.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("cells")).select("lang", "cells.v").collect()
     return {r.lang: np.array(r.v) for r in sorted(got, key=lambda r: r.lang)}
@@ -189,4 +196,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 choice = pa.array([names[b] if b >= 0 else UNKNOWN for b in best], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, end - at) for k in range(len(cols))), choice, pa.array(score)], names=[f.name for f in schema])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tb.freeing(run), schema)

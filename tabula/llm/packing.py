@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, tokenizer: Callable[[], str], id_col: str = "doc_id"
                     arrays.append(tb.list_array(np.concatenate(cols[5]).astype(np.int64), np.array([len(p) for p in cols[5]]), pa.int64()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tb.freeing(run), schema)
 
 
 def _first_fit(capacity: int):

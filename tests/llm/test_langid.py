@@ -70,3 +70,22 @@ def test_many_short_texts_take_bounded_memory():
     vectors = langid.gram_vectors(grams, 256).astype(int)
     for r in (0, 1023, 1024, 9_999):
         assert (got[r] == vectors[index[row == r]].sum(0)).all()
+
+
+def test_trigrams_of_a_slice_take_bounded_memory():
+    """A slice of 1 MB once took 64-bit rows, numbers and starts for each character."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßñéсловK  "))
+    texts = ["".join(rng.choice(letters, 2000)) for _ in range(450)]
+    one = textbytes.texts_of(pa.array(texts))
+    langid.trigrams(one)
+    tracemalloc.start()
+    row, index, grams, _ = langid.trigrams(one)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 35 << 20
+    own = ["".join(map(chr, g)) for g in grams[index[row == 7]]]
+    text = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in texts[7]).split(" "))
+    while "  " in text:
+        text = text.replace("  ", " ")
+    assert own == [text[i : i + 3] for i in range(len(text) - 2) if text[i + 1] != " "]
