@@ -35,7 +35,11 @@ KEPT_ROWS = 1 << 20
 """Kept terms up to so many rows are broadcast; more of them are joined by shuffle."""
 BLOCK_PLACES = 1 << 21
 """Accumulator places (groups of a task x peers) that a task holds."""
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
+"""Texts that are cut into terms at once: their numbers take some 20 times that."""
+MERGE_ROWS = 1 << 19
+"""Counts of slices that a task holds before it adds them up (some 30 bytes a row, twice that meanwhile)."""
+SENT_ROWS = 1 << 16
 
 NO_TERM = np.ones(256, bool)
 NO_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -43,36 +47,71 @@ NO_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _TERM_ROWS = "lang string, source string, term string, n long, docs long"
 
 
-def _term_counts(lang: pa.Array, source: pa.Array, texts: tb.Texts) -> pa.RecordBatch:
+def _added(lang: pa.Array, source: pa.Array, term: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.Table:
+    """One row for each (lang, source, term), with the sums of ``n`` and ``docs``; the columns of
+    strings are dictionaries, and so are those of the result."""
+    codes = [c.indices.to_numpy().astype(np.int64) for c in (lang, source, term)]
+    pair, group = np.unique(codes[0] * max(len(source.dictionary), 1) + codes[1], return_inverse=True)
+    size = max(len(term.dictionary), 1)
+    key, at = np.unique(group * size + codes[2], return_inverse=True)
+    del codes, group
+    sums = [np.zeros(len(key), np.int64) for _ in range(2)]
+    for total, part in zip(sums, (n, docs), strict=True):
+        np.add.at(total, at, part)
+    langs, sources = np.divmod(pair[key // size], max(len(source.dictionary), 1))
+    strings = [pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), c.dictionary) for code, c in ((langs, lang), (sources, source), (key % size, term))]
+    return pa.table([*strings, *map(pa.array, sums)], names=["lang", "source", "term", "n", "docs"])
+
+
+def _term_counts(lang: pa.Array, source: pa.Array, texts: tb.Texts) -> pa.Table:
     """Occurrences and documents of each (lang, source, term) of a slice of rows."""
     words = tb.words_of(texts, NO_TERM)
     terms = tb.span_strings(tb.LOWER[texts.data], words.start, words.end).dictionary_encode()
     size = max(len(terms.dictionary), 1)
-    groups = pa.StructArray.from_arrays([lang, source], names=["lang", "source"])
-    langs, sources = lang.dictionary_encode(), source.dictionary_encode()
-    pair = langs.indices.to_numpy().astype(np.int64) * max(len(sources.dictionary), 1) + sources.indices.to_numpy()
-    _, first, group = np.unique(pair, return_index=True, return_inverse=True)
-    doc_term, times = np.unique(words.row * size + terms.indices.to_numpy(), return_counts=True)
-    key, at = np.unique(group[doc_term // size] * size + doc_term % size, return_inverse=True)
-    n = np.zeros(len(key), np.int64)
-    np.add.at(n, at, times)
-    where = groups.take(pa.array(first[key // size]))
-    return pa.RecordBatch.from_arrays(
-        [where.field(0), where.field(1), terms.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array(n), pa.array(np.bincount(at, minlength=len(key)))],
-        names=["lang", "source", "term", "n", "docs"],
-    )
+    doc_term, n = np.unique(words.row * size + terms.indices.to_numpy(), return_counts=True)
+    # dictionaries hold what has rows only: texts without terms leave nothing behind
+    row, at = np.unique(doc_term // size, return_inverse=True)
+    own = [c.take(pa.array(row)).dictionary_encode().take(pa.array(at)) for c in (lang, source)]
+    term = pa.DictionaryArray.from_arrays(pa.array((doc_term % size).astype(np.int32)), terms.dictionary.cast(pa.string()))
+    return _added(*own, term, n, np.ones(len(n), np.int64))
+
+
+def _merged(parts: list[pa.Table]) -> pa.Table:
+    if len(parts) == 1:
+        return parts[0]
+    whole = pa.concat_tables(parts).unify_dictionaries().combine_chunks()
+    return _added(*(whole[c].chunk(0) for c in ("lang", "source", "term")), *(whole[c].to_numpy() for c in ("n", "docs")))
 
 
 def term_rows(docs: DataFrame, lang: Column, source: Column, text: Column) -> DataFrame:
-    """(lang, source, term, n, docs), added up within slices of the rows; nulls count as ''."""
+    """(lang, source, term, n, docs), added up over slices of the rows; nulls count as ''."""
     src = docs.select(*(F.coalesce(c.cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))))
 
+    def sent(table: pa.Table):
+        for at in range(0, table.num_rows, SENT_ROWS):
+            piece = table.slice(at, SENT_ROWS)
+            yield pa.RecordBatch.from_arrays([c.combine_chunks().cast(pa.string()) if pa.types.is_dictionary(c.type) else c.combine_chunks() for c in piece.columns], names=piece.column_names)
+
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
             for at, end, texts in tb.slices(tb.texts_of(batch.column(2)), SLICE_BYTES):
-                yield _term_counts(batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), texts)
-
-    return src.mapInArrow(run, _TERM_ROWS)
+                part = _term_counts(batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), texts)
+                if not part.num_rows:
+                    continue
+                parts.append(part)
+                held += part.num_rows
+                if held < MERGE_ROWS:
+                    continue
+                parts = [_merged(parts)]
+                held = parts[0].num_rows
+                if 2 * held >= MERGE_ROWS:  # else there is room for more
+                    yield from sent(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield from sent(_merged(parts))
+
+    return src.mapInArrow(tb.freeing(run), _TERM_ROWS)
 
 
 def _share(n: str, total: str, kept: str) -> Column:
@@ -80,16 +119,17 @@ def _share(n: str, total: str, kept: str) -> Column:
     return F.expr(f"1 + ({SCALE}BD * (cast({n} as decimal(20, 0)) + {PRIOR})) div (cast({total} as decimal(20, 0)) + {PRIOR}BD * {kept})")
 
 
-def _by_group(values: np.ndarray, group: np.ndarray, bases: np.ndarray, groups: int) -> np.ndarray:
-    """(groups, len(bases)): the sum of |value - base| over each group's values."""
+def _by_group(values: np.ndarray, group: np.ndarray, bases: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """(wanted, bases): the sum of |value - base| over the values of each wanted group."""
     order = np.lexsort((values, group))
-    values, ends = values[order], np.searchsorted(group[order], np.arange(groups + 1))
-    out = np.zeros((groups, len(bases)), np.int64)
-    for g in range(groups):
-        own = values[ends[g] : ends[g + 1]]
+    values, group = values[order], group[order]
+    first, ends = np.searchsorted(group, wanted), np.searchsorted(group, wanted, "right")
+    out = np.zeros((len(wanted), len(bases)), np.int64)
+    for k in range(len(wanted)):
+        own = values[first[k] : ends[k]]
         sums = np.concatenate([[0], np.cumsum(own)])
         low = np.searchsorted(own, bases)
-        out[g] = sums[-1] - 2 * sums[low] + bases * (2 * low - len(own))
+        out[k] = sums[-1] - 2 * sums[low] + bases * (2 * low - len(own))
     return out
 
 
@@ -100,7 +140,7 @@ def accumulate(group: np.ndarray, term: np.ndarray, share: np.ndarray, base: np.
     ``group``, ``term``, ``share``: the block's cells; ``base``: each group's share of a term it lacks.
     """
     groups = len(base)
-    out = _by_group(share, group, base, groups)[rows] + _by_group(share, group, base[rows], groups).T
+    out = _by_group(share, group, base, rows) + _by_group(share, group, base[rows], np.arange(groups)).T
     # the term-major index, and the cells of each group
     by_term = np.argsort(term, kind="stable")
     starts = np.searchsorted(term[by_term], np.arange(int(term.max(initial=-1)) + 2))
@@ -161,10 +201,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     has no pairs. An empty table gives no rows; extra columns are ignored.
     """
     lang, source, text = (F.col(f"`{c}`") for c in (lang_col, source_col, text_col))
-    rows = term_rows(docs, lang, source, text)
-    kept = stored(rows.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"), "terms")
+    rows = term_rows(docs, lang, source, text).groupBy("lang", "source", "term")
+    counts = stored(rows.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")  # texts are read once
+    kept = stored(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"), "terms")
     wanted = F.broadcast(kept) if kept.limit(KEPT_ROWS + 1).count() <= KEPT_ROWS else kept
-    cells = stored(rows.join(wanted, ["lang", "term"]).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "cells")
+    cells = stored(counts.join(wanted, ["lang", "term"]).select("lang", "source", "term", "n"), "cells")
 
     named = docs.select(F.coalesce(lang.cast("string"), F.lit("")).alias("lang"), F.coalesce(source.cast("string"), F.lit("")).alias("source")).distinct()
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))

@@ -1,9 +1,11 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
-from tabula.llm import divergence
+from tabula.llm import divergence, textbytes
 from tabula.llm.queries import ORACLE, QUERIES
 from tests.conftest import SF_SMALL
 
@@ -88,6 +90,79 @@ def test_accumulators_equal_the_full_sum():
         assert got[k].tolist() == [a + b for a, b in zip(want, both, strict=True)]
 
 
+def test_accumulators_of_a_few_rows_take_bounded_memory():
+    """Sums over the values of all groups were made for all groups before a task took its own rows."""
+    rng = np.random.default_rng(2)
+    groups = 3000
+    base, g, t = rng.integers(1, 50, groups), np.arange(groups), np.arange(groups) % 7
+    share = base + rng.integers(0, 100, groups)
+    tracemalloc.start()
+    got = divergence.accumulate(g, t, share, base, np.array([1, 2500]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    for k, r in enumerate((1, 2500)):
+        # the term of both groups, or their two terms; see above for terms of both
+        same = np.abs(share[r] - share) + np.abs(base[r] - base)
+        two = np.abs(share[r] - base) + np.abs(share - base[r])
+        want = np.where(t == t[r], same, two)
+        assert np.delete(got[k], r).tolist() == np.delete(want, r).tolist()
+
+
+def test_a_batch_of_texts_takes_bounded_memory(spark, monkeypatch):
+    """A worker cut 16 MB of text at once, in some 250 MB of numbers, and kept the freed memory."""
+    runs, back = [], []
+    docs = spark.createDataFrame([("en", "s", "a")], "lang string, source string, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: runs.append(run))
+    monkeypatch.setattr(textbytes, "give_back", lambda: back.append(1))
+    divergence.term_rows(docs, *(docs[c] for c in docs.columns))
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(chr(97 + int(c)) for c in f"{k:05}") for k in range(5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 400)]) for _ in range(6000)] + ["", "1 2"] * 500
+    lang, source = ["de", "en"] * 3500, [f"s{k % 3}" for k in range(7000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array(texts)], names=docs.columns)
+    tracemalloc.start()
+    got = list(runs[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 << 20 and back == [1]
+    want, n, of = defaultdict(Counter), Counter(), Counter()
+    for at, text in enumerate(texts):
+        want[lang[at], source[at]].update(TERM.findall(text))
+        of.update((lang[at], source[at], w) for w in set(TERM.findall(text)))
+    sums = Counter()
+    for b in got:
+        for a, s, w, k, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n[a, s, w] += k
+            sums[a, s, w] += d
+    assert n == Counter({(*g, w): k for g, c in want.items() for w, k in c.items()}) and sums == of
+
+
+def test_counts_of_many_slices_are_added_up(spark, monkeypatch):
+    docs = small(spark)
+    want = brute([tuple(r[:3]) for r in docs.collect()], 3, 50)
+    monkeypatch.setattr(divergence, "SLICE_BYTES", 64)
+    monkeypatch.setattr(divergence, "MERGE_ROWS", 40)
+    monkeypatch.setattr(divergence, "SENT_ROWS", 7)
+    assert rows_of(divergence.audit(docs, min_docs=3)) == want
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    cut, terms = spark.sparkContext.accumulator(0), divergence.term_rows
+
+    def counted(docs, lang, source, text):
+        def tick(batches):
+            for batch in batches:
+                cut.add(batch.num_rows)
+                yield batch
+
+        return terms(docs.mapInArrow(tick, docs.schema), lang, source, text)
+
+    monkeypatch.setattr(divergence, "term_rows", counted)
+    docs = small(spark)
+    assert divergence.audit(docs, min_docs=3).count() and cut.value == docs.count()
+
+
 def test_query_equals_sql(spark, duck):
     got = rows_of(QUERIES["op13_source_divergence"](spark, SF_SMALL))
     assert got == set(duck.execute(ORACLE["op13_source_divergence"]).fetchall()) and got
