@@ -29,14 +29,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabula.llm import textbytes as tb
-from tabula.llm.scratch import stored
+from tabula.llm.scratch import small_batches, stored
 
 CAPACITY = 2048
 END_ID = 1
 SHORTEST_CUT = 64
 """A rest up to this length isn't cut further."""
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+"""Texts that are encoded at once: their words and ids take some 40 times that."""
 CACHE_WORDS = 1 << 18
 ENCODED_PARTS = 2000
 
@@ -103,13 +104,17 @@ class WordEncoder:
 
     def _rows(self, parts: pa.Array, plain: bool) -> np.ndarray:
         """The row of each of the (distinct) parts; new ones are encoded."""
-        at = pc.index_in(parts, value_set=self.known)
-        fresh = at.is_null()
-        rows = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
-        unknown = parts.filter(fresh)
+        if not len(parts):
+            return np.zeros(0, np.int32)
+        # the known ones are looked up among the parts: a table of all known ones would be built anew each time
+        at = pc.index_in(self.known, value_set=parts)
+        rows = np.full(len(parts), -1, np.int32)
+        rows[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        fresh = rows < 0
+        unknown = parts.filter(pa.array(fresh))
         if not len(unknown):
             return rows
-        rows[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(unknown))
+        rows[fresh] = len(self.known) + np.arange(len(unknown))
         new = unknown.to_pylist()
         # a few parts at a time: an encoding takes far more memory than its ids
         if plain:
@@ -133,9 +138,12 @@ class WordEncoder:
         # rows of each distinct word's one or two parts; row 0 is the empty part
         part = np.zeros((len(distinct), 2), np.int32)
         plain = split.is_valid().to_numpy(zero_copy_only=False)
-        for k, name in enumerate(("core", "tail")):
-            coded = pc.struct_field(split, name).filter(pa.array(plain)).dictionary_encode()
-            part[plain, k] = self._rows(coded.dictionary, True)[coded.indices.to_numpy()]
+        coded = [pc.struct_field(split, name).filter(pa.array(plain)).dictionary_encode() for name in ("core", "tail")]
+        # no core is a tail: both are looked up at once
+        rows = self._rows(pa.concat_arrays([c.dictionary for c in coded]), True)
+        cores = len(coded[0].dictionary)
+        for k, own in enumerate((rows[:cores], rows[cores:])):
+            part[plain, k] = own[coded[k].indices.to_numpy()]
         part[~plain, 0] = self._rows(distinct.filter(pa.array(~plain)), False)
         # the distinct words' ids one behind the other, then those of every word
         of_word, n_word = self._spans(self.first[part.ravel()], self.size[part.ravel()])
@@ -162,6 +170,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def _encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+        tb.give_back()  # the vocabulary's text
     return _ENCODERS[path]
 
 
@@ -175,26 +184,29 @@ def pieces(docs: DataFrame, tokenizer: Callable[[], str], id_col: str = "doc_id"
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]
     schema = T.StructType([src.schema[id_col], *longs, *([T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else [])])
 
+    def cut(encoder: WordEncoder, own_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        ids, counts = encoder.encode(texts.cast(pa.large_string()).fill_null(""))
+        stops = np.cumsum(counts)
+        out: list[tuple] = []
+        for k, (lo, hi) in enumerate(zip(stops - counts, stops, strict=True)):
+            own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
+            start = 0
+            for length in cut_lengths(len(own), capacity, shortest):
+                piece = own[start : start + length]
+                out.append((k, start, length, zlib.crc32(piece.tobytes()), len(own), *([piece] if with_ids else [])))
+                start += length
+        cols = list(zip(*out, strict=True))
+        arrays = [own_ids.take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:5])]
+        if with_ids:
+            arrays.append(tb.list_array(np.concatenate(cols[5]).astype(np.int64), np.array([len(p) for p in cols[5]]), pa.int64()))
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
     def run(batches):
         encoder = _encoder(tokenizer())
         for batch in batches:
             for at, end, _ in tb.slices(tb.texts_of(batch.column(1)), SLICE_BYTES):
-                texts = batch.column(1).slice(at, end - at).cast(pa.large_string()).fill_null("")
-                ids, counts = encoder.encode(texts)
-                stops = np.cumsum(counts)
-                out: list[tuple] = []
-                for k, (lo, hi) in enumerate(zip(stops - counts, stops, strict=True)):
-                    own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
-                    start = 0
-                    for length in cut_lengths(len(own), capacity, shortest):
-                        piece = own[start : start + length]
-                        out.append((at + k, start, length, zlib.crc32(piece.tobytes()), len(own), *([piece] if with_ids else [])))
-                        start += length
-                cols = list(zip(*out, strict=True))
-                arrays = [batch.column(0).take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:5])]
-                if with_ids:
-                    arrays.append(tb.list_array(np.concatenate(cols[5]).astype(np.int64), np.array([len(p) for p in cols[5]]), pa.int64()))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                yield cut(encoder, batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at))
+                tb.give_back()  # else new parts lie scattered over what the slice has freed
 
     return src.mapInArrow(tb.freeing(run), schema)
 
@@ -254,4 +266,5 @@ def pack_documents(docs: DataFrame, tokenizer: Callable[[], str], id_col: str =
     rows are packed each; rows with a null id too. An empty table gives no piece.
     """
     rows = pieces(docs, tokenizer, id_col, text_col, capacity, shortest, end_id, with_ids)
-    return pack(rows, [id_col, "start", "length", "ids_crc32", "doc_tokens"], capacity)
+    with small_batches(docs.sparkSession):  # `pack` writes the pieces at once
+        return pack(rows, [id_col, "start", "length", "ids_crc32", "doc_tokens"], capacity)

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from tabula.llm import packing
 from tabula.llm.queries import QUERIES, tokenizer_file
+from tabula.llm.scratch import small_batches
 from tests.conftest import SF_SMALL
 
 
@@ -81,3 +82,28 @@ def test_odd_rows_and_small_capacity(spark):
 
 def test_bound_of_left_over_pieces():
     assert packing.leftover_bound() < 12_000
+
+
+def test_known_words_take_no_table_of_their_own(monkeypatch):
+    """Each slice once built a hash table of all the words seen before: it took more than the words themselves."""
+    encoder = packing.WordEncoder(tokenizer_file())
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    words = ["".join(letters[[k // 8000, k // 400 % 20, k // 20 % 20, k % 20]]) for k in range(100_000)]
+    encoder.encode(pa.array([" ".join(words)], pa.large_string()))
+    sizes, real = [], packing.pc.index_in
+    monkeypatch.setattr(packing.pc, "index_in", lambda values, value_set: sizes.append(len(value_set)) or real(values, value_set=value_set))
+    ids, _ = encoder.encode(pa.array(["abcd, tttt dcba x1"], pa.large_string()))
+    assert ids.tolist() == Tokenizer.from_file(tokenizer_file()).encode("abcd, tttt dcba x1", add_special_tokens=False).ids
+    assert sizes and max(sizes) < 10
+
+
+def test_workers_get_small_batches(spark):
+    text = "some words of a text " * 500
+    docs = spark.range(2000, numPartitions=1).selectExpr("id doc_id", f"'{text}' text")
+    sizes = "n long, b long"
+    run = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "b"]) for b in batches)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with small_batches(spark):
+        got = docs.mapInArrow(run, sizes).collect()
+    assert sum(r.n for r in got) == 2000 and max(r.b for r in got) < 2 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
